@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import mixing, quality_rules, url_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op4_url_rules": url_rules.op4_url_rules,
+    "op7_mix_sources": mixing.op7_mix_sources,
 }
 
 ORACLES = {
     "op2_quality_rules": quality_rules.ORACLE,
+    "op4_url_rules": url_rules.ORACLE,
+    "op7_mix_sources": mixing.ORACLE,
 }
