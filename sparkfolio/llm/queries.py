@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, mixing, quality_rules, url_rules
+from . import bpe, dart_minhash, mixing, quality_rules, url_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_url_rules": url_rules.op4_url_rules,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op9_dart_minhash": dart_minhash.op9_dart_minhash,
     "op10_bpe": bpe.op10_bpe,
 }
 
