@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, dart_minhash, mixing, quality_rules, url_rules
+from . import bpe, dart_minhash, line_dedup, mixing, quality_gbt, quality_rules, url_rules
 
 QUERIES = {
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_rules": url_rules.op4_url_rules,
     "op7_mix_sources": mixing.op7_mix_sources,
+    "op8_quality_gbt": quality_gbt.op8_quality_gbt,
     "op9_dart_minhash": dart_minhash.op9_dart_minhash,
     "op10_bpe": bpe.op10_bpe,
 }
