@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, dart_minhash, line_dedup, mixing, quality_gbt, quality_rules, url_rules
+from . import bpe, dart_minhash, html_extract, line_dedup, mixing, quality_gbt, quality_rules, url_rules
 
 QUERIES = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_rules": url_rules.op4_url_rules,
