@@ -10,7 +10,8 @@ The chunking pass emits hashes only.  Repeated hashes are found by an aggregate
 map-side combining; texts of candidate chunks are cut out natively after a join by
 doc_id.  A chunk that a third of all documents share is one row per map task in every
 aggregate and meets its occurrences only in plain sort-merge joins of stored tables,
-which adaptive execution splits.  Nothing is collected.
+which adaptive execution splits.  Nothing is collected, and no side of a join is broadcast:
+all of them grow with the corpus.
 
 Defined results for odd input: null and empty texts stay as they are; texts of one line
 have no multi-line chunk and stay; very long texts are processed whole; rows that
@@ -102,12 +103,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         .select(F.col("hash").alias("_h")),
         "repeats",
     )
-    found = stash(chunks.join(repeats, F.col("hash") == F.col("_h")).drop("_h"), "occurrences")
+    found = stash(chunks.join(repeats.hint("merge"), F.col("hash") == F.col("_h")).drop("_h"), "occurrences")
     ranges = found.groupBy(F.col("doc_id").alias("_d")).agg(F.array_sort(F.collect_set(F.struct("start", "n", "hash"))).alias("ranges"))
     texts = (
         docs.where(F.contains("text", F.lit("\n")))
         .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(ranges, F.col("doc_id").eqNullSafe(F.col("_d")))
+        .join(ranges.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")))
         .select("doc_id", F.split("text", "\n").alias("_lines"), F.explode("ranges").alias("r"))
         .select(
             "doc_id", F.col("r.start").alias("start"), F.col("r.n").alias("n"), F.col("r.hash").alias("hash"),
@@ -123,7 +124,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         "groups",
     )
     losers = (
-        found.join(per_hash, F.col("hash") == F.col("_h"))
+        found.join(per_hash.hint("merge"), F.col("hash") == F.col("_h"))
         .where((F.col("_texts") == 1) & ~place.eqNullSafe(F.col("first")))
         .select("doc_id", "start", "n", "hash")
     )
@@ -147,7 +148,7 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     """
     removals = repeated_chunks(docs).select(F.col("doc_id").alias("_d"), F.col("ranges").alias("_ranges"))
     columns = docs.columns
-    joined = docs.join(removals, F.col("doc_id").cast("long") == F.col("_d"), "left").withColumn(
+    joined = docs.join(removals.hint("merge"), F.col("doc_id").cast("long") == F.col("_d"), "left").withColumn(
         "_lines", F.when(F.col("_ranges").isNotNull() & F.col("text").isNotNull(), F.split("text", "\n"))
     )
     here = joined.withColumn(
