@@ -11,12 +11,14 @@ documents with a coordinate left empty go on to higher ranks until none is.
 *Whole and without quadratic work.*  Byte-equal texts are collapsed first.  Documents
 with an equal band form a bucket.  Each document is verified against the least member
 of its buckets; verified links give components.  Then only buckets that still hold
-several components are looked at again, and only across components: members outside a
-bucket's largest component against all others of similar size.  Copies in one
+several components are looked at again, and only across components: first against a
+leader drawn from each bucket's largest component, then by an exact join of rare prefix
+shingles, in which a document that shares too few shingles with any other drops out,
+and members outside a group's largest component meet the others that their size and
+their signature (one bit per coordinate, compared inside the join) leave possible.  Copies in one
 component are thus never paired with each other, and no partner or candidate is
-capped.  Buckets for which even that is too much (many different texts around one
-shared passage) are joined by rare prefix shingles, which is exact.  Verification
-compares the sets of shingles of both texts.
+capped; many different texts around one shared passage don't meet, as their rare
+shingles differ.  Verification compares the sets of shingles of both texts.
 
 All groups are spread: a leader's group is salted by its size, hot keys only meet in
 plain sort-merge joins (which adaptive execution splits) or in aggregates with
@@ -33,7 +35,7 @@ import functools
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WS_CHARS, stash
@@ -46,8 +48,10 @@ BANDS, ROWS = 34, 6
 BLOCK_BYTES = 400_000
 #: Members of one leader compared in one task's group.
 GROUP = 128
-#: A mixed bucket with more cross pairs than this is joined by prefixes.
-CROSS_PAIRS = 20_000
+#: A pair at the threshold passes the comparison of signature bits within so many standard deviations (missed: 3e-6).
+DEVIATIONS = 4.5
+#: Coordinates of the longer signatures of documents in buckets with several components.
+FINE = 1024
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -188,8 +192,23 @@ def _blocks(texts):
         yield texts[start:]
 
 
+def signature_bits(signature: np.ndarray) -> np.ndarray:
+    """Two bits of every coordinate, packed as two planes of 64-bit integers: (n_docs, 2 * words)."""
+    n, k = signature.shape
+    bits = np.zeros((n, 2, -(-k // 64) * 64), dtype=np.uint8)
+    for plane in range(2):
+        bits[:, plane, :k] = (signature >> _U(13 + plane)) & _U(1)
+    return np.packbits(bits.reshape(n, -1), axis=1).view(_U)
+
+
+def most_apart(k: int, threshold: float) -> float:
+    """The number of coordinates whose two bits may differ if the similarity is at the threshold."""
+    p = (1 - threshold) * 0.75
+    return k * p + DEVIATIONS * (k * p * (1 - p)) ** 0.5
+
+
 def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """doc_id, hash (SHA-256 of the text), n (shingles), keys (band keys; null without shingles); null texts are left out.
+    """doc_id, hash (SHA-256 of the text), n (shingles), keys (band keys; null without shingles), bits (of the signature); null texts are left out.
 
     ``weights``: ``set`` gives every distinct shingle weight 1 (Jaccard similarity),
     ``count`` its number of occurrences (weighted Jaccard similarity).
@@ -197,20 +216,22 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weights: str
 
     def run(batches):
         for batch in batches:
-            sizes, keys = [], []
+            sizes, keys, bits = [], [], []
             for block in _blocks(batch["text"].tolist()):
                 element, count, doc = shingle_sets(block)
                 weight = np.ones(len(element)) if weights == "set" else count.astype(float)
                 own = np.bincount(doc, minlength=len(block))
-                found = band_keys(dart_minhash(element, weight, doc, len(block), bands * rows), bands, rows).view(np.int64)
+                signature = dart_minhash(element, weight, doc, len(block), bands * rows)
+                found = band_keys(signature, bands, rows).view(np.int64)
                 sizes += own.tolist()
+                bits += list(signature_bits(signature).view(np.int64))
                 keys += [k if n else None for k, n in zip(found, own, strict=True)]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "n": sizes, "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "n": sizes, "keys": keys, "bits": bits})
 
     return (
         docs.where(F.col("text").isNotNull())
         .select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("hash"), "text")
-        .mapInPandas(run, "doc_id long, hash binary, n long, keys array<long>")
+        .mapInPandas(run, "doc_id long, hash binary, n long, keys array<long>, bits array<long>")
     )
 
 
@@ -312,58 +333,104 @@ def components(edges: DataFrame) -> DataFrame:
             return found
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Pairs (a, b) across components of one bucket that share a rare prefix shingle.
+def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, weights: str) -> DataFrame:
+    """Pairs (a < b) across components that share a rare prefix shingle.
 
     Two sets of similarity t or more share one of the first ``n - ceil(t n) + 1``
-    elements in any common order; the order is by frequency inside the bucket.
+    elements in any common order; the order is by frequency among the members.
+    ``members``: rep, n, comp.  Longer signatures than those of the bands tell apart
+    what the threshold rules out.
     """
 
+    def fine(batches):
+        for batch in batches:
+            bits = []
+            for block in _blocks(batch["text"].tolist()):
+                element, count, doc = shingle_sets(block)
+                weight = np.ones(len(element)) if weights == "set" else count.astype(float)
+                bits += list(signature_bits(dart_minhash(element, weight, doc, len(block), FINE)).view(np.int64))
+            yield pd.DataFrame({"_rep": batch["doc_id"], "bits": bits})
+
     def run(batches):
         for batch in batches:
-            ids, shingles = [], []
+            ids, shingles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             done = 0
             for block in _blocks(batch["text"].tolist()):
                 element, _, doc = shingle_sets(block)
                 ids.append(batch["doc_id"].to_numpy()[done : done + len(block)][doc])
                 shingles.append(element.view(np.int64))
                 done += len(block)
-            yield pd.DataFrame({"rep": np.concatenate(ids), "shingle": np.concatenate(shingles)}) if ids else pd.DataFrame(
-                {"rep": np.zeros(0, np.int64), "shingle": np.zeros(0, np.int64)}
-            )
-
-    from pyspark.sql import Window
-
-    wanted = texts.join(members.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").select("doc_id", "text")
-    rows = members.join(wanted.mapInPandas(run, "rep long, shingle long").distinct(), "rep")
-    often = rows.groupBy("key", "shingle").agg(F.count("*").alias("_f"))
-    ranked = stash(
-        rows.join(often, ["key", "shingle"])
-        .select("*", F.row_number().over(Window.partitionBy("key", "rep").orderBy("_f", "shingle")).alias("_k"))
-        .where(F.col("_k") <= F.col("n") - F.ceil(threshold * F.col("n")) + 1)
+            yield pd.DataFrame({"rep": np.concatenate(ids), "shingle": np.concatenate(shingles)})
+
+    wanted = texts.join(members.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+    signed = stash(wanted.mapInPandas(fine, "_rep long, bits array<long>"), "fine")
+    members = stash(members.join(signed.hint("merge"), F.col("rep") == F.col("_rep")).drop("_rep"), "open")
+    rows = stash(wanted.mapInPandas(run, "rep long, shingle long"), "shingles")
+    # A shingle of one document makes no pair but has its place in the prefix; it gets no partner below and drops out.
+    often = stash(rows.groupBy("shingle").agg(F.count("*").alias("_f")).where("_f > 1"), "frequencies")
+    ranked = (
+        rows.join(often.hint("merge"), "shingle", "left")
+        .select("rep", "shingle", F.coalesce("_f", F.lit(1)).alias("_f"))
+        .select("*", F.row_number().over(Window.partitionBy("rep").orderBy("_f", "shingle")).alias("_k"))
         .where("_f > 1")
-        .select("key", "shingle", "rep", "n", "comp"),
+    )
+    prefixes = stash(
+        ranked.join(members.hint("merge"), "rep")
+        .where(F.col("_k") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
+        .select("shingle", "rep", "n", "comp", "bits"),
         "prefixes",
     )
-    # Within one shingle's group only different components meet, as in a bucket.
-    return _cross(ranked, ["key", "shingle"], threshold)
+    return _cross(prefixes, ["shingle"], threshold, most_apart(FINE, threshold))
 
 
-def _cross(members: DataFrame, by: list[str], threshold: float) -> DataFrame:
-    """Pairs (a < b) of one group, of different components and of similar size; the largest component isn't paired with itself."""
+def _possible(n, m, bits, other, threshold: float, far: float):
+    """Whether sizes and signature bits leave the threshold possible."""
+    differ = lambda i: F.get(bits, i).bitwiseXOR(F.get(other, i))
+    half = (F.size(bits) / 2).cast("int")
+    apart = F.aggregate(
+        F.sequence(F.lit(0), half - 1), F.lit(0), lambda a, i: a + F.bit_count(differ(i).bitwiseOR(differ(i + half)))
+    )
+    return (F.least(n, m) >= threshold * F.greatest(n, m)) & (apart <= far)
+
+
+def _largest(members: DataFrame, by: list[str]) -> DataFrame:
+    """The largest component of every group that holds several."""
     per = members.groupBy(*by, "comp").agg(F.count("*").alias("_c"))
-    largest = per.groupBy(*by).agg(
-        F.max(F.struct("_c", "comp"))["comp"].alias("_largest"), F.count("*").alias("_comps")
-    ).where("_comps > 1").drop("_comps")
-    largest = stash(largest, "largest")
-    mixed = members.join(largest, by)
-    few = mixed.where("comp <> _largest").select(*by, F.col("rep").alias("_x"), F.col("n").alias("_nx"), F.col("comp").alias("_cx"))
+    return (
+        per.groupBy(*by)
+        .agg(F.max(F.struct("_c", "comp")).alias("_m"), F.count("*").alias("_comps"))
+        .where("_comps > 1")
+        .select(*by, F.col("_m.comp").alias("_largest"))
+    )
+
+
+def _cross(members: DataFrame, by: list[str], threshold: float, far: float) -> DataFrame:
+    """Pairs (a < b) of one group, of different components; the largest component isn't paired with itself."""
+    mixed = members.join(stash(_largest(members, by), "largest"), by)
+    few = mixed.where("comp <> _largest").select(
+        *by, F.col("rep").alias("_x"), F.col("n").alias("_nx"), F.col("comp").alias("_cx"), F.col("bits").alias("_bx")
+    )
     return (
         few.join(mixed, by)
-        .where(
-            (F.col("comp") != F.col("_cx"))
-            & (F.least("n", "_nx") >= threshold * F.greatest("n", "_nx"))
-        )
+        .where((F.col("comp") != F.col("_cx")) & _possible(F.col("n"), F.col("_nx"), F.col("bits"), F.col("_bx"), threshold, far))
+        .select(F.least("rep", "_x").alias("a"), F.greatest("rep", "_x").alias("b"))
+        .distinct()
+    )
+
+
+def _drawn(members: DataFrame, largest: DataFrame, threshold: float, far: float) -> DataFrame:
+    """Pairs (a < b): members outside the largest component of a bucket against one member drawn from it."""
+    mixed = members.join(largest, "key")
+    chosen = (
+        mixed.where("comp = _largest")
+        .groupBy("key")
+        .agg(F.min(F.struct(F.xxhash64("rep").alias("_o"), "rep", "n", "bits")).alias("_l"))
+        .select("key", F.col("_l.rep").alias("_x"), F.col("_l.n").alias("_nx"), F.col("_l.bits").alias("_bx"))
+    )
+    return (
+        mixed.where("comp <> _largest")
+        .join(stash(chosen, "drawn"), "key")
+        .where(_possible(F.col("n"), F.col("_nx"), F.col("bits"), F.col("_bx"), threshold, far))
         .select(F.least("rep", "_x").alias("a"), F.greatest("rep", "_x").alias("b"))
         .distinct()
     )
@@ -380,7 +447,7 @@ def near_duplicates(
     sketch = stash(sketches(docs, bands, rows, weights), "sketches")
     reps = stash(
         sketch.groupBy("hash").agg(
-            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys")
+            F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("keys").alias("keys"), F.first("bits").alias("bits")
         ),
         "representatives",
     )
@@ -391,40 +458,46 @@ def near_duplicates(
     members = stash(buckets.join(leaders, "key"), "members")
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = stash(
-        docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted, "doc_id", "left_semi"), "texts"
+        docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "texts"
     )
     starred = members.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a"))
     links = stash(verify_pairs(stash(starred.select("a", "b"), "pairs"), texts, threshold).distinct(), "links")
     found = components(links)
-    labelled = stash(
-        members.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("comp")), "labelled"
-    )
-    # Buckets that still hold several components.
-    per = labelled.groupBy("key", "comp").agg(F.count("*").alias("_c"))
-    mixed = stash(
-        per.groupBy("key")
-        .agg(F.count("*").alias("_comps"), F.sum("_c").alias("_all"), F.max("_c").alias("_most"))
-        .where("_comps > 1")
-        .select("key", ((F.col("_all") - F.col("_most")) * F.col("_all")).alias("_pairs")),
-        "mixed",
-    )
-    again = labelled.join(mixed, "key")
-    pairs = _cross(again.where(F.col("_pairs") <= CROSS_PAIRS).drop("_pairs"), ["key"], threshold)
-    if not mixed.where(F.col("_pairs") > CROSS_PAIRS).isEmpty():
-        large = again.where(F.col("_pairs") > CROSS_PAIRS).drop("_pairs")
-        pairs = pairs.unionByName(_prefix_pairs(large, texts, threshold)).distinct()
-    pairs = stash(pairs, "pairs")
-    if not pairs.isEmpty():
-        more = stash(verify_pairs(pairs, texts, threshold).distinct(), "links")
-        if not more.isEmpty():
-            found = components(stash(links.unionByName(more).distinct(), "links"))
+    far = most_apart(bands * rows, threshold)
+    bits = reps.select(F.col("rep").alias("_rep"), "bits")
+
+    def labelled(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of the buckets that hold several components, with their components; those buckets."""
+        of = members.join(found, F.col("rep") == F.col("node"), "left").select("key", "rep", "n", F.coalesce("root", "rep").alias("comp"))
+        largest = stash(_largest(of, ["key"]), "largest")
+        inside = of.join(largest.select("key"), "key", "left_semi")
+        return stash(inside.join(bits, F.col("rep") == F.col("_rep")).drop("_rep"), "labelled"), largest
+
+    def extend(pairs: DataFrame) -> bool:
+        """Verify more pairs; whether components have changed."""
+        nonlocal links, found
+        pairs = stash(pairs, "pairs")
+        if pairs.isEmpty():
+            return False
+        more = stash(verify_pairs(pairs, texts, threshold), "links")
+        if more.isEmpty():
+            return False
+        links = stash(links.unionByName(more).distinct(), "links")
+        found = components(links)
+        return True
+
+    inside, largest = labelled(found)
+    if extend(_drawn(inside, largest, threshold, far)):
+        inside, largest = labelled(found)
+    alone = stash(inside.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "open")
+    extend(_prefix_pairs(alone, texts, threshold, weights))
     classes = stash(
         reps.join(found, F.col("rep") == F.col("node"), "left").select(
             F.col("hash").alias("_h"), F.coalesce("root", "rep").alias("class_id"), "copies"
         ),
         "classes",
     )
-    known = sketch.select("doc_id", "hash").join(classes, F.col("hash") == F.col("_h")).select("doc_id", "class_id", "copies")
+    known = sketch.select("doc_id", "hash").join(classes.hint("merge"), F.col("hash") == F.col("_h")).select("doc_id", "class_id", "copies")
     without = docs.where(F.col("text").isNull()).select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("doc_id").cast("long").alias("class_id"), F.lit(1).cast("long").alias("copies")
     )
@@ -433,13 +506,11 @@ def near_duplicates(
 
 def keep_one(docs: DataFrame, **options) -> DataFrame:
     """The documents that stay: of each class the one with the least doc_id, once; columns as in ``docs``."""
-    from pyspark.sql import Window
-
     classes = near_duplicates(docs, **options)
     kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
     once = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
     return (
-        docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+        docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
         .select("*", F.row_number().over(once).alias("_copy"))
         .where("_copy = 1")
         .drop("_copy")
