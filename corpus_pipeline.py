@@ -8,7 +8,6 @@ of ``documents``.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sparkfolio.llm import bpe, dart_minhash, line_dedup, mixing, quality_gbt
 from sparkfolio.llm.common import stash
@@ -21,8 +20,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated chunks of lines go; so does a document of which nothing is left."""
-    cleaned = line_dedup.line_dedup(docs)
-    return cleaned.where(~((F.col("removed_lines") > 0) & (F.col("text") == ""))).select(*docs.columns)
+    return line_dedup.line_dedup(docs, drop_emptied=True).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

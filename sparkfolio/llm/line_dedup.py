@@ -141,10 +141,11 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame) -> DataFrame:
+def line_dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
     """The documents with repeated chunks removed, and ``removed_lines``; ``n_chars``, if there, follows the text.
 
-    A document all of whose lines repeat earlier ones keeps its row with an empty text.
+    A document all of whose lines repeat earlier ones keeps its row with an empty text,
+    or goes if ``drop_emptied``.
     """
     removals = repeated_chunks(docs).select(F.col("doc_id").alias("_d"), F.col("ranges").alias("_ranges"))
     columns = docs.columns
@@ -168,6 +169,10 @@ def line_dedup(docs: DataFrame) -> DataFrame:
     cut = here.withColumn("_text", F.coalesce(left, F.col("text"))).withColumn(
         "removed_lines", F.coalesce(F.aggregate("_ranges", F.lit(0), lambda a, r: a + r["n"]), F.lit(0)).cast("long")
     )
+    if drop_emptied:
+        # Exploding none or one text drops the row; a filter would be pushed below the columns it tests and compute them again for every line.
+        texts = F.when((F.col("removed_lines") > 0) & (F.col("_text") == ""), F.array().cast("array<string>")).otherwise(F.array("_text"))
+        cut = cut.select(*[c for c in cut.columns if c not in ("_text", "_lines", "_ranges")], F.explode(texts).alias("_text"))
     out = []
     for c in columns:
         if c == "text":
