@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, dart_minhash, html_extract, line_dedup, mixing, quality_gbt, quality_rules, surrogates, url_rules
+from . import bpe, dart_minhash, html_extract, line_dedup, mixing, quality_gbt, quality_rules, surrogates, telephony, url_rules
 
 QUERIES = {
     "op1_html_extract": html_extract.op1_html_extract,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_url_rules": url_rules.op4_url_rules,
+    "op5_telephony": telephony.op5_telephony,
     "op6_surrogates": surrogates.op6_surrogates,
     "op7_mix_sources": mixing.op7_mix_sources,
     "op8_quality_gbt": quality_gbt.op8_quality_gbt,
