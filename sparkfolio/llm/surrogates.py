@@ -179,7 +179,7 @@ def _secret(value: Column, salt: Column) -> Column:
 
 def _name(value: Column, salt: Column) -> Column:
     title = F.regexp_extract(value, rf"^(?:{_TITLE})\.?", 0)
-    bare = F.rtrim(F.lit("."), title)
+    bare = F.rtrim(title, F.lit("."))
     words = F.regexp_replace(value, rf"^(?:{_TITLE})\.? ", "")
     script = F.when(words.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")
     female = bare.isin(*FEMALE_TITLES)

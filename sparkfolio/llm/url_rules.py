@@ -123,7 +123,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         asked.unionByName(listed).repartitionByRange(*order).select(F.spark_partition_id().alias("part"), "*"), "url-stream"
     )
     first = stream.groupBy("part").agg(F.min(F.struct(*order)).alias("first"))
-    labels = F.split(F.rtrim(F.col("first.key")), r"(?<=\.)")
+    labels = F.split(F.col("first.key"), r"(?<=\.)")
     starts = first.select(
         "part",
         "first",
