@@ -362,12 +362,12 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, weight
                 done += len(block)
             yield pd.DataFrame({"rep": np.concatenate(ids), "shingle": np.concatenate(shingles)})
 
-    wanted = texts.join(members.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
-    signed = stash(wanted.mapInPandas(fine, "_rep long, bits array<long>"), "fine")
-    members = stash(members.join(signed.hint("merge"), F.col("rep") == F.col("_rep")).drop("_rep"), "open")
-    rows = stash(wanted.mapInPandas(run, "rep long, shingle long"), "shingles")
-    # A shingle of one document makes no pair but has its place in the prefix; it gets no partner below and drops out.
+    def of(ids: DataFrame) -> DataFrame:
+        return texts.join(ids.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
+
+    rows = stash(of(members).mapInPandas(run, "rep long, shingle long"), "shingles")
     often = stash(rows.groupBy("shingle").agg(F.count("*").alias("_f")).where("_f > 1"), "frequencies")
+    # A shingle of one document makes no pair but has its place in the prefix.
     ranked = (
         rows.join(often.hint("merge"), "shingle", "left")
         .select("rep", "shingle", F.coalesce("_f", F.lit(1)).alias("_f"))
@@ -377,10 +377,16 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, weight
     prefixes = stash(
         ranked.join(members.hint("merge"), "rep")
         .where(F.col("_k") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-        .select("shingle", "rep", "n", "comp", "bits"),
+        .select("shingle", "rep", "n", "comp"),
         "prefixes",
     )
-    return _cross(prefixes, ["shingle"], threshold, most_apart(FINE, threshold))
+    # Shingles with the same documents (one change makes several) make the same pairs: one of them will do.
+    same = [F.count("*").alias("_n"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("_y")]
+    shapes = prefixes.groupBy("shingle").agg(*same, F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a <> _z")
+    chosen = stash(shapes.groupBy("_n", "_x", "_y").agg(F.min("shingle").alias("shingle")).select("shingle"), "chosen")
+    kept = stash(prefixes.join(chosen.hint("merge"), "shingle", "left_semi"), "kept")
+    signed = stash(of(kept.select("rep").distinct()).mapInPandas(fine, "_rep long, bits array<long>"), "fine")
+    return _cross(kept.join(signed.hint("merge"), F.col("rep") == F.col("_rep")).drop("_rep"), ["shingle"], threshold, most_apart(FINE, threshold))
 
 
 def _possible(n, m, bits, other, threshold: float, far: float):
