@@ -294,3 +294,17 @@ def rr_cross(spark, sf_dir):
 def jn_vocab(spark, sf_dir):
     phrases = spark.createDataFrame([("the",), ("and",), ("zz",)], "phrase string")
     return X.questions(spark, sf_dir).join(F.broadcast(phrases), F.contains(F.lower("question"), "phrase")).select("query_id", "phrase")
+
+
+query("bm25", f"{_BM} SELECT query_id, chunk_id, score FROM bm")(lambda spark, sf_dir: R.bm25(X.questions(spark, sf_dir), R.lexical_index(X.chunks(spark, sf_dir))))
+query("top_sparse", f"{_BM} SELECT query_id, chunk_id, rank FROM sparse WHERE rank <= 5")(lambda spark, sf_dir: sparse(spark, sf_dir, 5).select("query_id", "chunk_id", "rank"))
+query("top_dense", f"{_KNN} SELECT query_id, item_id, rank FROM knn WHERE rank <= 5")(lambda spark, sf_dir: knn(spark, sf_dir, 5).select("query_id", "item_id", "rank"))
+query("jn_knn", f"{_KNN} SELECT query_id, count(*) AS n FROM s GROUP BY 1")(lambda spark, sf_dir: knn(spark, sf_dir, 10**9).groupBy("query_id").agg(F.count("*").alias("n")))
+query("win_rank", f"WITH {X.CHUNKS_SQL}, {X.QUESTIONS_SQL}, {_DENSE_SQL} SELECT query_id, chunk_id, rank FROM dense")(lambda spark, sf_dir: dense(spark, sf_dir).select("query_id", "chunk_id", "rank"))
+
+
+@query("emb_query")
+def emb_query(spark, sf_dir):
+    from sparkfolio.operators.models import embed_queries
+
+    return embed_queries(X.questions(spark, sf_dir), "question").select("query_id", F.size("vector").alias("size"))
