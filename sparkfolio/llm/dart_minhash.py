@@ -14,8 +14,8 @@ of its buckets; verified links give components.  Then only buckets that still ho
 several components are looked at again, and only across components: first against a
 leader drawn from each bucket's largest component, then by an exact join of rare prefix
 shingles, in which a document that shares too few shingles with any other drops out,
-and members outside a group's largest component meet the others that their size and
-their signature (one bit per coordinate, compared inside the join) leave possible.  Copies in one
+and members outside a group's largest component meet the others that the size of both
+and the place of the shared shingle leave possible.  Copies in one
 component are thus never paired with each other, and no partner or candidate is
 capped; many different texts around one shared passage don't meet, as their rare
 shingles differ.  Verification compares the sets of shingles of both texts.
@@ -50,8 +50,6 @@ BLOCK_BYTES = 400_000
 GROUP = 128
 #: A pair at the threshold passes the comparison of signature bits within so many standard deviations (missed: 3e-6).
 DEVIATIONS = 4.5
-#: Coordinates of the longer signatures of documents in buckets with several components.
-FINE = 1024
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -333,24 +331,14 @@ def components(edges: DataFrame) -> DataFrame:
             return found
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, weights: str) -> DataFrame:
+def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Pairs (a < b) across components that share a rare prefix shingle.
 
     Two sets of similarity t or more share one of the first ``n - ceil(t n) + 1``
     elements in any common order; the order is by frequency among the members.
-    ``members``: rep, n, comp.  Longer signatures than those of the bands tell apart
-    what the threshold rules out.
+    ``members``: rep, n, comp.
     """
 
-    def fine(batches):
-        for batch in batches:
-            bits = []
-            for block in _blocks(batch["text"].tolist()):
-                element, count, doc = shingle_sets(block)
-                weight = np.ones(len(element)) if weights == "set" else count.astype(float)
-                bits += list(signature_bits(dart_minhash(element, weight, doc, len(block), FINE)).view(np.int64))
-            yield pd.DataFrame({"_rep": batch["doc_id"], "bits": bits})
-
     def run(batches):
         for batch in batches:
             ids, shingles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -377,16 +365,14 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, weight
     prefixes = stash(
         ranked.join(members.hint("merge"), "rep")
         .where(F.col("_k") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-        .select("shingle", "rep", "n", "comp"),
+        .select("shingle", "rep", "n", "comp", "_k"),
         "prefixes",
     )
     # Shingles with the same documents (one change makes several) make the same pairs: one of them will do.
     same = [F.count("*").alias("_n"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("_y")]
     shapes = prefixes.groupBy("shingle").agg(*same, F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a <> _z")
     chosen = stash(shapes.groupBy("_n", "_x", "_y").agg(F.min("shingle").alias("shingle")).select("shingle"), "chosen")
-    kept = stash(prefixes.join(chosen.hint("merge"), "shingle", "left_semi"), "kept")
-    signed = stash(of(kept.select("rep").distinct()).mapInPandas(fine, "_rep long, bits array<long>"), "fine")
-    return _cross(kept.join(signed.hint("merge"), F.col("rep") == F.col("_rep")).drop("_rep"), ["shingle"], threshold, most_apart(FINE, threshold))
+    return _cross(stash(prefixes.join(chosen.hint("merge"), "shingle", "left_semi"), "kept"), ["shingle"], threshold)
 
 
 def _possible(n, m, bits, other, threshold: float, far: float):
@@ -410,15 +396,21 @@ def _largest(members: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def _cross(members: DataFrame, by: list[str], threshold: float, far: float) -> DataFrame:
-    """Pairs (a < b) of one group, of different components; the largest component isn't paired with itself."""
+def _cross(members: DataFrame, by: list[str], threshold: float) -> DataFrame:
+    """Pairs (a < b) of one prefix shingle, of different components; the largest component isn't paired with itself.
+
+    ``_k`` is the shingle's place in the document's order.
+    """
     mixed = members.join(stash(_largest(members, by), "largest"), by)
     few = mixed.where("comp <> _largest").select(
-        *by, F.col("rep").alias("_x"), F.col("n").alias("_nx"), F.col("comp").alias("_cx"), F.col("bits").alias("_bx")
+        *by, F.col("rep").alias("_x"), F.col("n").alias("_nx"), F.col("comp").alias("_cx"), F.col("_k").alias("_kx")
     )
+    # So many shingles must be common; the first common one stands no later than this in either document.
+    least = F.ceil(threshold / (1 + threshold) * (F.col("n") + F.col("_nx")) - 1e-9)
+    early = (F.col("_k") <= F.col("n") - least + 1) & (F.col("_kx") <= F.col("_nx") - least + 1)
     return (
         few.join(mixed, by)
-        .where((F.col("comp") != F.col("_cx")) & _possible(F.col("n"), F.col("_nx"), F.col("bits"), F.col("_bx"), threshold, far))
+        .where((F.col("comp") != F.col("_cx")) & early & (F.least("n", "_nx") >= threshold * F.greatest("n", "_nx")))
         .select(F.least("rep", "_x").alias("a"), F.greatest("rep", "_x").alias("b"))
         .distinct()
     )
@@ -496,7 +488,7 @@ def near_duplicates(
     if extend(_drawn(inside, largest, threshold, far)):
         inside, largest = labelled(found)
     alone = stash(inside.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "open")
-    extend(_prefix_pairs(alone, texts, threshold, weights))
+    extend(_prefix_pairs(alone, texts, threshold))
     classes = stash(
         reps.join(found, F.col("rep") == F.col("node"), "left").select(
             F.col("hash").alias("_h"), F.coalesce("root", "rep").alias("class_id"), "copies"
