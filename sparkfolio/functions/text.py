@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Private-use glyphs of subset fonts and the no-break space.
 GLYPHS = (("\uf001", "fi"), ("\uf002", "fl"), ("\uf000", "ff"), ("\uf0b7", "•"), ("\u00a0", " "))
@@ -27,7 +28,7 @@ def fix_glyphs(c: Column) -> Column:
     return c
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(s: pd.Series) -> pd.Series:
     """Compatibility composition; the engine has no built-in for it."""
     return s.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -224,7 +224,7 @@ def src_glob(spark, sf_dir):
 
     path = f"{_shared(spark)}/corpus-{uuid.uuid4().hex}"
     for folder in ("", "/inner"):
-        spark.range(3).selectExpr("CAST(id AS string) AS value", "id").repartition(3, "id").select("value").write.mode("append").text(path + folder)
+        spark.range(0, 3, 1, 3).selectExpr("CAST(id AS string) AS value").write.mode("append").text(path + folder)
     return corpus_files(spark, path, "part-*.txt").where(F.col("length") > 0).agg(F.least(F.count("*"), F.lit(3)).cast("int").alias("n_files"))
 
 
