@@ -1,0 +1,424 @@
+"""The training-data operators on small tables: odd input, and brute force."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+
+from sparkfolio.llm import bpe, common, dart_minhash, html_extract, line_dedup, mixing, quality_gbt, quality_rules, surrogates, telephony, url_rules
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def docs(spark, rows):
+    return spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, blanks, one endless word, a very long text, repeated rows, unusual white space."""
+    long_text = "the word " * 30_000
+    rows = [(1, None, "a"), (2, "", "a"), (3, " \t\n ", None), (4, "x" * 50_000, "b"), (5, long_text, "b"), (6, "same line\nsame line", None), (6, "same line\nsame line", None), (None, "no id here", "a"), (7, "tab\x0bvt\x0cff\x1cfs", "a")]
+    return docs(spark, rows)
+
+
+# ---- quality rules -------------------------------------------------------------------
+
+
+def repeat_words(words):
+    seen = {}
+    for i in range(len(words) - 2):
+        seen.setdefault(tuple(words[i : i + 3]), []).append(i)
+    return len({i + k for at in seen.values() if len(at) > 1 for i in at for k in range(3)})
+
+
+def test_rules_against_brute_force(spark, odd):
+    rng = random.Random(1)
+    rows = [(i, " ".join(rng.choice("the of a b# c d. e\nf | g".split(" ")) for _ in range(rng.randint(0, 120))), "s") for i in range(60)]
+    frame = docs(spark, rows)
+    got = {r["doc_id"]: r for r in quality_rules.quality_rules(frame).collect()}
+    for i, t, _ in rows:
+        words = WORD.findall(t)
+        lines = [x for x in t.split("\n") if WORD.search(x)]
+        assert got[i]["n_words"] == len(words)
+        assert got[i]["word_chars"] == sum(map(len, words))
+        assert got[i]["n_symbols"] == sum(t.count(c) for c in "#*$%&|<>")
+        assert got[i]["n_dup_lines"] == len(lines) - len(set(lines))
+        assert got[i]["n_repeat_words"] == repeat_words(words)
+    assert quality_rules.quality_rules(odd).count() == 9
+    by = {r["doc_id"]: r for r in quality_rules.quality_rules(odd).collect()}
+    assert by[1]["n_words"] == by[2]["n_words"] == by[3]["n_words"] == 0 and not by[1]["kept"]
+    assert by[5]["n_repeat_words"] == 60_000 and by[5]["base_failed"]
+    assert quality_rules.quality_rules(odd.limit(0)).count() == 0
+
+
+# ---- url rules -----------------------------------------------------------------------
+
+
+def judge(url, rules):
+    host, path = "", ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
+        path = re.split(r"[?#]", rest[len(host) :], maxsplit=1)[0]
+    best = None
+    for rule, verdict in rules:
+        h, _, p = rule.partition("/")
+        if (host == h or host.endswith("." + h)) and path.startswith("/" + p) and (best is None or (len(rule), len(h)) > (len(best[0]), len(best[0].partition("/")[0]))):
+            best = (rule, verdict)
+    return (host, path, *(best or (None, "allow")))
+
+
+def test_urls_against_brute_force(spark):
+    rng = random.Random(2)
+    labels = ["a", "b", "example", "ex", "blog"]
+    host = lambda: ".".join(rng.choice(labels) for _ in range(rng.randint(0, 3))) + rng.choice([".org", ".com", ".net"])
+    urls = [f"{rng.choice(['http', 'HTTPS'])}://{host().lstrip('.').upper() if rng.random() < 0.2 else host().lstrip('.')}/{rng.choice(['', 'en/1', 'en/12/x', 'es/', 'e'])}{rng.choice(['', '?q=/es/', '#f'])}" for _ in range(300)]
+    urls += [None, "", "no scheme", "http://", "http://org", "http://org/", "x://a.org?/en/1"]
+    rules = list({f"{h}/{p}": (f"{h}/{p}", v) for h, p, v in ((host().lstrip("."), rng.choice(["", "en/", "en/1", "e"]), rng.choice(["allow", "block"])) for _ in range(40))}.values())
+    pages = spark.createDataFrame([(i, u, "extra") for i, u in enumerate(urls)], "page_id long, url string, rule string")
+    got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in url_rules.judge_urls(pages, spark.createDataFrame(rules, "rule string, verdict string")).collect()}
+    assert got == {i: judge(u, rules) for i, u in enumerate(urls)}
+
+
+def test_url_tables_may_be_empty(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    rules = spark.createDataFrame(list(url_rules.RULES), "rule string, verdict string")
+    assert url_rules.judge_urls(none, rules).count() == 0
+    one = spark.createDataFrame([(1, "http://a.org/x")], "page_id long, url string")
+    assert url_rules.judge_urls(one, rules.limit(0)).first()["verdict"] == "allow"
+
+
+# ---- mixing --------------------------------------------------------------------------
+
+
+def shares(sizes, weights=(5, 2, 1), most=3):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % 3] for i, s in enumerate(order)}
+    total, capped = sum(sizes.values()), {}
+    while True:
+        rest = total - sum(capped.values())
+        free = [s for s in order if s not in capped]
+        share = {s: rest * w[s] / sum(w[x] for x in free) for s in free}
+        over = [s for s in free if share[s] > most * sizes[s]]
+        if not over:
+            return capped | share
+        capped |= {s: most * sizes[s] for s in over}
+
+
+def test_targets_and_copies(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(["w"] * rng.randint(1, 60)), rng.choice(["a", "b", "c", "d", None]) if i % 3 else "a") for i in range(900)]
+    got = mixing.mix_sources(docs(spark, rows)).collect()
+    sizes = {}
+    for _, t, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(t.split())
+    want = shares(sizes)
+    source = {i: s for i, _, s in rows}
+    taken = {}
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(want[s])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] = taken.get(s, 0) + r["taken"]
+    for s, w in want.items():
+        assert taken[s] == pytest.approx(w, rel=0.1)
+    again = mixing.mix_sources(docs(spark, rows).repartition(7)).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+
+
+def test_mix_odd_input(spark, odd):
+    assert mixing.mix_sources(odd).count() == 9
+    mixed = mixing.emit_mix(odd)
+    assert mixed.columns == odd.columns and mixed.count() > 0
+    assert mixing.mix_sources(odd.where("doc_id < 4")).agg({"taken": "sum"}).first()[0] == 0
+    assert mixing.mix_sources(odd.limit(0)).count() == 0
+
+
+# ---- line dedup ----------------------------------------------------------------------
+
+
+def test_chunks_cover_and_shift():
+    lines = [f"line {i}".encode() for i in range(200)]
+    chunks = line_dedup.boundaries(lines)
+    assert [i for s, n in chunks for i in range(s, s + n)] == list(range(200))
+    shifted = line_dedup.boundaries([b"new"] + lines)
+    old = {(tuple(lines[s : s + n])) for s, n in chunks}
+    new = {tuple(([b"new"] + lines)[s : s + n]) for s, n in shifted}
+    assert len(old & new) >= len(old) - 3
+
+
+def test_line_dedup_against_brute_force(spark):
+    rng = random.Random(4)
+    passage = "\n".join(f"shared passage line {i}" for i in range(40))
+    rows = [(i, "\n".join([f"doc {i} line {k}" for k in range(rng.randint(0, 12))] + ([passage] if i % 3 == 0 else [])), "s") for i in range(30)]
+    rows += [(100, None, "s"), (101, "", "s"), (102, "one line", "s")]
+    frame = docs(spark, rows)
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(frame).collect()}
+    seen = set()
+    for i, t, _ in rows:
+        if t is None:
+            assert got[i]["text"] is None
+            continue
+        lines, out = t.encode().split(b"\n"), []
+        for s, n in line_dedup.boundaries(lines):
+            chunk = b"\n".join(lines[s : s + n])
+            if n >= 2 and chunk in seen:
+                continue
+            if n >= 2:
+                seen.add(chunk)
+            out.append(chunk)
+        assert got[i]["text"].encode() == b"\n".join(out)
+        assert got[i]["n_chars"] == len(got[i]["text"])
+    assert sum(r["removed_lines"] for r in got.values()) > 200
+
+
+def test_line_dedup_odd_input(spark, odd):
+    out = line_dedup.line_dedup(odd)
+    assert out.count() == 9 and out.drop("removed_lines").columns == odd.columns
+    assert line_dedup.line_dedup(odd.limit(0)).count() == 0
+    copies = docs(spark, [(1, "a\nb\nc", "s"), (2, "a\nb\nc", "s")])
+    assert line_dedup.line_dedup(copies, drop_emptied=True).count() == 1
+
+
+# ---- near duplicates -----------------------------------------------------------------
+
+
+def shingles(t):
+    w = WORD.findall(t or "")
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+
+
+def classes(rows, threshold=0.8):
+    parent = {i: i for i, _, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (i, a, _), (j, b, _) in itertools.combinations(rows, 2):
+        if a is None or b is None:
+            continue
+        x, y = shingles(a), shingles(b)
+        if a == b or (x and y and len(x & y) >= threshold * len(x | y)):
+            lo, hi = sorted((find(i), find(j)))
+            parent[hi] = lo
+    return {i: find(i) for i in parent}
+
+
+def near_rows():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(300)]
+    rows, n = [], 0
+    for _ in range(12):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(3, 120))]
+        for _ in range(rng.randint(1, 8)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 4)):
+                copy[rng.randrange(len(copy))] = rng.choice(vocabulary)
+            rows.append((n, " ".join(copy), "s"))
+            n += 1
+    common = [rng.choice(vocabulary) for _ in range(60)]
+    for _ in range(15):  # one passage, different rest
+        rows.append((n, " ".join(common + [rng.choice(vocabulary) for _ in range(60)]), "s"))
+        n += 1
+    return rows + [(900, None, "s"), (901, None, "s"), (902, "", "s"), (903, "", "s"), (904, " ", "s"), (905, "two words", "s"), (906, "two  words", "s")]
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rows = near_rows()
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == classes(rows)
+
+
+def test_keep_one_and_odd_input(spark, odd):
+    kept = dart_minhash.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert kept.where("doc_id = 6").count() == 1
+    assert dart_minhash.near_duplicates(odd.limit(0)).count() == 0
+    assert dart_minhash.near_duplicates(odd, weights="count").count() == 9
+
+
+def test_dart_signatures_estimate_weighted_similarity():
+    rng = np.random.default_rng(6)
+    e = rng.integers(1, 2**63, 200, dtype=np.uint64)
+    a, b = rng.uniform(0.2, 3, 200), rng.uniform(0.2, 3, 200)
+    order = np.argsort(np.r_[np.zeros(200), np.ones(200)], kind="stable")
+    sig = dart_minhash.dart_minhash(np.r_[e, e][order], np.r_[a, b][order], np.r_[np.zeros(200, int), np.ones(200, int)], 2, 2048)
+    want = np.minimum(a, b).sum() / np.maximum(a, b).sum()
+    assert (sig[0] == sig[1]).mean() == pytest.approx(want, abs=0.05)
+    assert (sig != 0).all()
+
+
+# ---- classifier ----------------------------------------------------------------------
+
+
+def test_boosting_separates_and_ignores_held_out(spark):
+    rng = random.Random(7)
+    rows = []
+    for i in range(600):
+        n = rng.randint(5, 60)
+        rows.append((i, " ".join(rng.choice(["the", "river", "flows"]) + ("%%%" if i % 4 == 0 else "") for _ in range(n)), "s"))
+    labels = spark.createDataFrame([(i, 0 if i % 4 == 0 else 1, 0) for i in range(600)] + [(5, None, 0)], "doc_id long, quality int, toxic int")
+    frame = docs(spark, rows)
+    trees = quality_gbt.fit_quality(frame, labels)
+    scored = {r["doc_id"]: r["_score"] for r in quality_gbt.score_quality(frame, trees).collect()}
+    held = [i for i in range(600) if zlib.crc32(str(i).encode()) % 3 == 1]
+    assert all((scored[i] >= 0.5) == (i % 4 != 0) for i in held) and len(held) > 100
+    flipped = labels.selectExpr("doc_id", "IF(crc32(CAST(doc_id AS string)) % 3 = 1, 1 - quality, quality) AS quality", "toxic")
+    assert np.array_equal(quality_gbt.fit_quality(frame, flipped).leaf, trees.leaf)
+    assert quality_gbt.keep_good(frame, labels).columns == frame.columns
+
+
+def test_classifier_odd_input(spark, odd):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    trees = quality_gbt.fit_quality(odd, labels)
+    assert {r["_score"] for r in quality_gbt.score_quality(odd, trees).collect()} == {0.5}
+    assert len(quality_gbt.text_statistics(None)) == len(quality_gbt.FEATURES) == len(quality_gbt.text_statistics("a b. C\n%"))
+
+
+# ---- bpe -----------------------------------------------------------------------------
+
+
+def test_bpe_equals_the_library(spark, odd):
+    from tokenizers import Tokenizer
+
+    path = bpe.default_path()
+    library, codec = Tokenizer.from_file(path), bpe.Codec(bpe.load_vocabulary(path))
+    rng = random.Random(8)
+    letters = "abcdefgh é́Σσςİıǅﬁ'sdtrevm!?.,0123<|endoftext|>中日😀\x1c\x85\xa0\t\n"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    texts += ["", " ", "<|endoftext|>", "a<|startoftext|>b", "aaaa" * 500, "don't CAN'T it'S", "x" * 20_000, "É<|endoftext|>́"]
+    for t, ours in zip(texts, codec.encode(texts), strict=True):
+        theirs = library.encode(t, add_special_tokens=False).ids
+        assert ours.tolist() == theirs
+        assert codec.decode([ours])[0] == library.decode(theirs, skip_special_tokens=False)
+    rows = {r["doc_id"]: r for r in bpe.bpe_digests(odd, path).collect()}
+    assert rows[1]["n_tokens"] == 0 and rows[1]["ids_sha256"] == hashlib.sha256(b"").hexdigest()
+    assert bpe.bpe_decode(bpe.bpe_encode(odd, path), path).count() == 9
+
+
+# ---- telephony -----------------------------------------------------------------------
+
+
+def test_payload_round_trip(spark, odd):
+    rows = {r["doc_id"]: r for r in telephony.media_features(telephony.store_documents(odd)).collect()}
+    for r in odd.where("doc_id IS NOT NULL").collect():
+        raw = (r["text"] or "").encode()
+        padded = raw + b" " * (max(1, -(-len(raw) // 192)) * 192 - len(raw))
+        got = rows[r["doc_id"]]
+        assert (got["n_bytes"], got["payload_bytes"]) == (len(raw), len(padded))
+        assert got["payload_sha256"] == hashlib.sha256(padded).hexdigest() and got["tail_crc32"] == zlib.crc32(padded[-16:])
+
+
+def test_codecs():
+    assert telephony.MULAW_TABLE[[0x00, 0x80, 0x7F, 0xFF]].tolist() == [-32124, 32124, 0, 0]
+    assert telephony.ALAW_TABLE[[0x55, 0xD5, 0x2A, 0xAA]].tolist() == [-8, 8, -32256, 32256]
+    t = np.arange(4000)
+    x = (8000 * np.sin(t * 0.05)).astype(np.int16)
+    media = telephony.wave_bytes(telephony.adpcm_encode(x), telephony.ADPCM, 4, block=256, samples=len(x))
+    (back,) = telephony.decode_batch([media])
+    assert len(back) == len(x) and np.abs(back.astype(int) - x).mean() < 60
+    wide = telephony.resample_double(x)
+    assert np.array_equal(wide[0::2], x) and np.abs(wide[1::2][10:-10] - 8000 * np.sin((t + 0.5) * 0.05)[10:-10]).max() < 4
+    assert telephony.decode_batch([b"not audio", None, b""]) == [None, None, None]
+
+
+def test_decoded_column(spark):
+    x = telephony.wave_bytes(bytes(range(256)), telephony.MULAW, 8)
+    rows = telephony.decode_audio(spark.createDataFrame([(1, bytearray(x)), (2, None)], "id long, media binary")).orderBy("id").collect()
+    assert telephony.wave_parts(bytes(rows[0]["pcm"]))["rate"] == 16000 and rows[1]["pcm"] is None
+
+
+# ---- surrogates ----------------------------------------------------------------------
+
+PII = "Mail anna.90@mail2.example.com or ANNA.90@mail2.example.com, call +1 (136) 555-7479, card 4952935900253052, ip 97.51.17.173. Mr. Gray met Mrs Gray and Frau Müller; Господин Иванов."
+
+
+def test_surrogates_keep_shape_and_identity(spark):
+    frame = docs(spark, [(1, PII, "a"), (2, PII + " again 4952935900253052", "b"), (3, "clean text, 2024 and 12 apples", "a"), (4, None, "a"), (5, "", "a")])
+    got = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(frame).collect()}
+    assert got[3] == "clean text, 2024 and 12 apples" and got[4] is None and got[5] == ""
+    for secret in ("anna.90", "555-7479", "4952935900253052", "97.51.17.173", "Gray", "Müller", "Иванов"):
+        assert secret not in got[1] and secret not in got[2]
+    assert got[2].startswith(got[1])
+    card = re.search(r"card (\d+)", got[2])[1]
+    assert len(card) == 16 and got[2].endswith(card)
+    assert re.search(r"\+1 \(\d{3}\) \d{3}-\d{4}", got[1])
+    assert all(0 <= int(o) <= 255 for o in re.search(r"ip (\d+)\.(\d+)\.(\d+)\.(\d+)", got[1]).groups())
+    male, female = re.search(r"Mr\. (\w+) met Mrs (\w+)", got[1]).groups()
+    assert male == female != "Gray"
+    assert re.search(r"Господин [А-Яа-яё]+", got[1])
+
+
+def test_surrogates_are_distinct(spark):
+    rows = [(i, f"+1 (136) 555-{i:04d} and {i // 250}.{i % 250}.3.4", "s") for i in range(2000)]
+    got = [r["text"] for r in surrogates.pseudonymise(docs(spark, rows)).collect()]
+    assert len({t.split(" and ")[0] for t in got}) == len({t.split(" and ")[1] for t in got}) == 2000
+    real = {t.split(" and ")[1] for _, t, _ in rows}
+    assert not real & {t.split(" and ")[1] for t in got}
+
+
+def test_luhn_distance_is_kept(spark):
+    def luhn(d):
+        total = sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(d)))
+        return total % 10
+
+    cards = ["4111111111111111", "5555555555554444", "4952935900253052"]
+    got = [r["text"] for r in surrogates.pseudonymise(docs(spark, [(i, c, "s") for i, c in enumerate(cards)])).orderBy("doc_id").collect()]
+    assert [luhn(g) for g in got] == [luhn(c) for c in cards]
+
+
+def test_surrogates_odd_input(spark, odd):
+    out = surrogates.pseudonymise(odd)
+    assert out.count() == 9 and out.columns == [*odd.columns, "n_entities"]
+    assert surrogates.pseudonymise(odd.limit(0)).count() == 0
+
+
+# ---- html ----------------------------------------------------------------------------
+
+
+def page(body):
+    return f"<!DOCTYPE html><html><head><title>T</title><script>x='</p>'</script></head><body><nav><ul><li><a href=/>Home</a></li></ul></nav>{body}<footer>&copy; me</footer></body></html>"
+
+
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ("<article><h1>Title</h1><p>One&nbsp;&amp; two<br>three<p><b>Four</article>", "Title\nOne & two three\nFour"),
+        ("<main><div class='cookie-notice'>We use cookies</div><p>Text</p><aside>Ad</aside><form><input></form></main>", "Text"),
+        ("<article><p>Body</p><section id='comments'><p>First!</p></section></article>", "Body"),
+        ("<article><p>cut &am", "cut &am"),
+        ("<article><p>cut <p cla", "cut"),
+        ("<div class='ad'>Buy</div><div class=content><h2>Head</h2><ul><li>a<li>b</ul></div>", "Head\na\nb"),
+        ("<article><p>a < b and <!-- no --> c</p></article>", "a < b and c"),
+    ],
+)
+def test_structure(body, text):
+    assert html_extract.page_text(page(body), "h", {})[0] == text or body.endswith(("&am", "cla")) and html_extract.page_text(page(body).split("<footer>")[0], "h", {})[0] == text
+
+
+def test_style_tree_removes_what_a_host_repeats(spark):
+    rows = [(i, f"http://h.org/{i}", f"<html><body><div class=x><p>Same words on every page</p></div><div class=y><p>Page {i} says {i * 7}</p></div></body></html>") for i in range(12)]
+    rows += [(100, None, None), (101, "http://h.org/e", ""), (102, "http://solo.org/", "<p>Same words on every page</p>")]
+    got = {r["page_id"]: r for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3]["text"] == "Page 3 says 21" and got[3]["removed_branches"] >= 1
+    assert got[100]["text"] == got[101]["text"] == "" and got[102]["text"] == "Same words on every page"
+    assert html_extract.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_copies_of_one_page_keep_their_text(spark):
+    rows = [(i, "http://h.org/", "<body><div><p>The same article again</p></div></body>") for i in range(20)]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).select("text").distinct().collect()
+    assert [r["text"] for r in got] == ["The same article again"]
+
+
+def test_stash_is_in_the_shared_folder(spark):
+    assert common.stash(spark.range(5), "t").count() == 5
+    assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
