@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from sparkfolio.operators.state import COOLDOWN_S, SESSION_CAP
+from sparkfolio.operators import state
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -44,6 +46,9 @@ def first_seen(requests: DataFrame, late: str = "1 hour") -> DataFrame:
 class SessionCap(StatefulProcessor):
     """Counts a session's requests and says whether each is still allowed, and whether it falls into a cooldown."""
 
+    def __init__(self, cap: int, cooldown: float):
+        self.cap, self.cooldown = cap, cooldown
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.used = handle.getValueState("used", "n long")
         self.mark = handle.getValueState("mark", "at double")
@@ -56,7 +61,7 @@ class SessionCap(StatefulProcessor):
             out = []
             for event, ts, failed in zip(batch["event_id"], batch["ts"], batch["failed"], strict=True):
                 at = ts.timestamp()
-                out.append((event, key[0], used, used < SESSION_CAP, mark is not None and mark + COOLDOWN_S > at))
+                out.append((event, key[0], used, used < self.cap, mark is not None and mark + self.cooldown > at))
                 used += 1
                 if failed:
                     mark = at if mark is None else max(mark, at)
@@ -70,9 +75,13 @@ class SessionCap(StatefulProcessor):
 
 
 def capped(requests: DataFrame) -> DataFrame:
-    """Stateful session cap and cooldown (needs the RocksDB state store)."""
+    """Stateful session cap and cooldown (needs the RocksDB state store).
+
+    The processor travels by value: the driver's own state worker sees no shipped files.
+    """
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
     return requests.groupBy("session_id").transformWithStateInPandas(
-        SessionCap(), outputStructType="event_id long, session_id long, used long, allowed boolean, cooling boolean", outputMode="Append", timeMode="None"
+        SessionCap(state.SESSION_CAP, state.COOLDOWN_S), outputStructType="event_id long, session_id long, used long, allowed boolean, cooling boolean", outputMode="Append", timeMode="None"
     )
 
 
