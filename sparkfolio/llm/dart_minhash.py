@@ -365,13 +365,13 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
     prefixes = stash(
         ranked.join(members.hint("merge"), "rep")
         .where(F.col("_k") <= F.col("n") - F.ceil(threshold * F.col("n") - 1e-9) + 1)
-        .select("shingle", "rep", "n", "comp", "_k"),
+        .select("shingle", "rep", "n", "comp", "_k", "_f"),
         "prefixes",
     )
-    # Shingles with the same documents (one change makes several) make the same pairs: one of them will do.
+    # Shingles with the same documents (one change makes several) make the same pairs: the first in the common order will do.
     same = [F.count("*").alias("_n"), F.bit_xor(F.xxhash64("rep")).alias("_x"), F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("_y")]
-    shapes = prefixes.groupBy("shingle").agg(*same, F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a <> _z")
-    chosen = stash(shapes.groupBy("_n", "_x", "_y").agg(F.min("shingle").alias("shingle")).select("shingle"), "chosen")
+    shapes = prefixes.groupBy("_f", "shingle").agg(*same, F.min("comp").alias("_a"), F.max("comp").alias("_z")).where("_a <> _z")
+    chosen = stash(shapes.groupBy("_n", "_x", "_y").agg(F.min(F.struct("_f", "shingle")).alias("_c")).select("_c.shingle"), "chosen")
     return _cross(stash(prefixes.join(chosen.hint("merge"), "shingle", "left_semi"), "kept"), ["shingle"], threshold)
 
 
