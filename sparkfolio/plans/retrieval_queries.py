@@ -296,8 +296,8 @@ def jn_vocab(spark, sf_dir):
     return X.questions(spark, sf_dir).join(F.broadcast(phrases), F.contains(F.lower("question"), "phrase")).select("query_id", "phrase")
 
 
-query("bm25", f"{_BM} SELECT query_id, chunk_id, round(score, 4) AS score FROM bm")(
-    lambda spark, sf_dir: R.bm25(X.questions(spark, sf_dir), R.lexical_index(X.chunks(spark, sf_dir))).withColumn("score", F.round("score", 4))
+query("bm25", f"{_BM} SELECT query_id, chunk_id, floor(score * 10000 + 0.333)::BIGINT AS score_e4 FROM bm")(
+    lambda spark, sf_dir: R.bm25(X.questions(spark, sf_dir), R.lexical_index(X.chunks(spark, sf_dir))).select("query_id", "chunk_id", F.floor(F.col("score") * 10000 + 0.333).alias("score_e4"))
 )
 query("top_sparse", f"{_BM} SELECT query_id, chunk_id, rank FROM sparse WHERE rank <= 5")(lambda spark, sf_dir: sparse(spark, sf_dir, 5).select("query_id", "chunk_id", "rank"))
 query("top_dense", f"{_KNN} SELECT query_id, item_id, rank FROM knn WHERE rank <= 5")(lambda spark, sf_dir: knn(spark, sf_dir, 5).select("query_id", "item_id", "rank"))
