@@ -63,8 +63,14 @@ def term_statistics(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame,
     return terms, total
 
 
-def lexical_index(chunks: DataFrame) -> LexicalIndex:
+def lexical_index(chunks: DataFrame, persist: bool = True) -> LexicalIndex:
+    """Postings, statistics and mean length; the postings feed all three, so they are kept (memory, then disk).
+
+    A corpus that is asked again and again is better served from stored tables
+    (``sources.files.write_index`` and ``read_index``).
+    """
     postings = term_counts(chunks)
+    postings = postings.persist() if persist else postings
     lengths = chunks.select("chunk_id", F.size(T.tokens(F.col("content"))).alias("dl"))
     terms, total = term_statistics(postings, lengths)
     return LexicalIndex(postings, terms, total.select("avgdl"))
