@@ -49,10 +49,12 @@ def boundaries(lines: list[bytes]) -> list[tuple[int, int]]:
     rolled *= _U(0xBF58476D1CE4E5B9)
     ends = np.flatnonzero((rolled >> _U(32)) % _U(MEAN_LINES) == 0) + 1
     chunks, start = [], 0
-    for end in [*ends.tolist(), n]:
+    # No chunk ends where fewer than MIN_LINES lines would be left: they could never be removed.
+    for end in [*ends[ends <= n - MIN_LINES].tolist(), n]:
         while end - start > MAX_LINES:
-            chunks.append((start, MAX_LINES))
-            start += MAX_LINES
+            size = min(MAX_LINES, end - start - MIN_LINES)
+            chunks.append((start, size))
+            start += size
         if end - start >= MIN_LINES or (end == n and end > start):
             chunks.append((start, end - start))
             start = end

@@ -186,6 +186,23 @@ def test_line_dedup_odd_input(spark, odd):
     assert line_dedup.line_dedup(copies, drop_emptied=True).count() == 1
 
 
+def test_every_line_is_in_a_chunk_of_two_lines():
+    for n in [*range(2, 12), 63, 64, 65, 66, 127, 128, 129, 130]:
+        for k in range(200):
+            chunks = line_dedup.boundaries([b"%d %d" % (k, i) for i in range(n)])
+            assert [i for s, m in chunks for i in range(s, s + m)] == list(range(n))
+            assert all(line_dedup.MIN_LINES <= m <= line_dedup.MAX_LINES for _, m in chunks)
+        assert all(m <= line_dedup.MAX_LINES for _, m in line_dedup.boundaries([b"same"] * n))
+
+
+def test_exact_copies_vanish_whole(spark):
+    texts = ["\n".join(f"text {k} line {i}" for i in range(2 + k % 9)) for k in range(60)]
+    frame = docs(spark, [(i, t, "s") for i, t in enumerate(texts + texts)])
+    got = {r["doc_id"]: r["text"] for r in line_dedup.line_dedup(frame).collect()}
+    assert [got[i] for i in range(120)] == texts + [""] * 60
+    assert line_dedup.line_dedup(frame, drop_emptied=True).count() == 60
+
+
 # ---- near duplicates -----------------------------------------------------------------
 
 
