@@ -9,7 +9,7 @@ surrogates in the whole corpus (coreference).  Card, phone, social-security and
 numbers are mapped by a keyed Feistel permutation of their digits (or 16-bit halves),
 which keeps the format and is one-to-one; a card keeps its distance from a valid check
 digit.  Mail addresses keep their shape (a local part with digits if it had some) under
-reserved example domains; equal domains stay equal.  Secrets keep length and alphabet.
+reserved example domains; equal domains stay equal.  Secrets (hex digits of either case) keep length and case.
 Names keep their title, take a first name of the gender that the title implies, and
 are written in the script of the original (Latin or Cyrillic).
 
@@ -49,12 +49,17 @@ SYLLABLES = {
 }
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+_IP = rf"{_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"
+#: Entities that begin with a digit, as they may follow a phone.
+_NEXT = rf"(?:{_IP}|(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-])|(?<![\w-])\d{{4}}(?:[ -]\d{{4}}){{3}}(?![\w-]|[ -]\d{{4}})|\d{{13,19}}(?!\d)|[0-9a-fA-F]{{32}}|[\p{{L}}\p{{N}}._%+-]{{1,64}}@)"
 _TITLE = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
 PATTERNS = (
     r"[\p{L}\p{N}._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    r"(?<![0-9A-Za-z])[0-9a-f]{32,128}(?![0-9A-Za-z])",
-    rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)",
-    r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)",
+    r"(?<![0-9A-Za-z])[0-9a-fA-F]{32,}+(?![0-9A-Za-z])",
+    rf"(?<![\d.]){_IP}",
+    # A phone ends before an entity that follows it; only without such an end may its groups look like one.
+    rf"(?<![\d+])\+\d{{1,3}}[ .-]?\(?\d{{2,4}}\)?(?:(?:\.?|[ -](?!{_NEXT}))\d{{2,4}}){{2,4}}(?!\d)",
+    r"(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d|\.\d)",
     r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     r"(?<![\w-])\d{4}([ -])\d{4}\1\d{4}\1\d{4}(?![\w-])",
     r"(?<!\d)\d{13,19}(?!\d)",
@@ -62,7 +67,7 @@ PATTERNS = (
 )
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS).replace(r"([ -])\d{4}\1\d{4}\1", r"(?:[ -]\d{4}){2}[ -]")
 #: What any entity contains: a text without it is not searched further.
-_QUICK = rf"@|\d{{3}}|\d\.\d|[0-9a-f]{{32}}|(?:{_TITLE})"
+_QUICK = rf"@|\+\d|\d{{3}}|\d\.\d|[0-9a-fA-F]{{32}}|(?:{_TITLE})"
 
 
 def _let(value: Column, body) -> Column:
@@ -173,8 +178,18 @@ def _email(value: Column, salt: Column) -> Column:
 
 
 def _secret(value: Column, salt: Column) -> Column:
-    word = F.concat_ws("|", salt, value)
-    return F.substring(F.concat(F.sha2(word, 512), F.sha2(F.concat(word, F.lit("+")), 512)), F.lit(1), F.length(value))
+    """Hex digits of the same number and case; secrets that differ in case only get the same digits."""
+    word, n = F.concat_ws("|", salt, F.lower(value)), F.length(value)
+    # 128 digits a part; parts after the second start from the first, so that a long secret is hashed twice only.
+    def parts(first):
+        rest = F.when(n > 256, F.transform(F.sequence(F.lit(2), F.floor((n + 127) / 128).cast("int")), lambda i: F.sha2(F.concat(first, F.lit("+"), i.cast("string")), 512)))
+        return F.concat(first, F.sha2(F.concat(word, F.lit("+")), 512), F.coalesce(F.array_join(rest, ""), F.lit("")))
+
+    def cased(made):
+        each = F.zip_with(F.split(value, ""), F.split(made, ""), lambda old, new: F.when(old.rlike("[A-F]"), F.upper(new)).otherwise(new))
+        return F.when(~value.rlike("[A-F]"), made).when(~value.rlike("[a-f]"), F.upper(made)).otherwise(F.array_join(each, ""))
+
+    return _let(F.substring(_let(F.sha2(word, 512), parts), F.lit(1), n), cased)
 
 
 def _name(value: Column, salt: Column) -> Column:
@@ -205,7 +220,7 @@ def entity_type(value: Column) -> Column:
         .when(value.startswith("+"), "phone")
         .when(value.rlike(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"), "ip")
         .when(value.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(value.rlike(r"^[0-9a-f]{32,}$"), "secret")
+        .when(value.rlike(r"^[0-9a-fA-F]{32,}$"), "secret")
         .otherwise("card")
     )
 

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkfolio.llm import bpe, common, dart_minhash, html_extract, line_dedup, mixing, quality_gbt, quality_rules, surrogates, telephony, url_rules
 
@@ -392,6 +393,28 @@ def test_luhn_distance_is_kept(spark):
     assert [luhn(g) for g in got] == [luhn(c) for c in cards]
 
 
+def test_entities_are_found_whole(spark):
+    upper, mixed, long = "9233A8EC" * 5, "9233a8EC" * 5, "0123456789abcdef" * 50
+    ip, phone, ssn, card = "190.137.223.204", "+1 (826) 555-4081", "123-45-6789", "4111 1111 1111 1111"
+    cases = [
+        (f'TOKEN = "{upper}"', [upper]), (f"{mixed} {long}", [mixed, long]), (f"{phone} {ip} x", [phone, ip]), (f"{phone} {ssn}", [phone, ssn]),
+        (f"{phone} {card}", [phone, card]), (f"+1 826 555 4081 {card}", ["+1 826 555 4081", card]), (f"{phone} 4111111111111111", [phone, "4111111111111111"]), (f"{phone} 12{upper}", [phone, f"12{upper}"]),
+        (f"{phone} 1234@example.com", [phone, "1234@example.com"]), (f"+44 20 7946 {ip}", ["+44 20 7946", ip]), ("+49 30 12 34 56", ["+49 30 12 34 56"]),
+        ("+49 30 123-45-6789", ["+49 30 123-45-6789"]), ("+49.30.12.34.56.78", ["+49.30.12.34.56.78"]),
+    ]
+    frame = docs(spark, [(i, t, "s") for i, (t, _) in enumerate(cases)])
+    found = {r["doc_id"]: r["f"] for r in frame.select("doc_id", surrogates.found_in(F.col("text")).alias("f")).collect()}
+    assert [found[i] for i in range(len(cases))] == [e for _, e in cases]
+    got = {r["doc_id"]: r for r in surrogates.pseudonymise(frame).collect()}
+    assert [got[i]["n_entities"] for i in range(len(cases))] == [len(e) for _, e in cases]
+    one, (two, three) = got[0]["text"][9:-1], got[1]["text"].split(" ")
+    assert re.fullmatch("[0-9A-F]{40}", one) and one.lower() == two.lower() != two and one != upper
+    assert re.fullmatch("[0-9a-f]{800}", three) and len({three[i : i + 32] for i in range(0, 800, 32)}) == 25
+    # Coreference: the phone and the address get the same surrogates alone as behind each other.
+    alone = {r["doc_id"]: r["text"] for r in surrogates.pseudonymise(docs(spark, [(1, phone, "s"), (2, ip, "s")])).collect()}
+    assert got[2]["text"] == f"{alone[1]} {alone[2]} x"
+
+
 def test_surrogates_odd_input(spark, odd):
     out = surrogates.pseudonymise(odd)
     assert out.count() == 9 and out.columns == [*odd.columns, "n_entities"]
