@@ -19,8 +19,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated chunks of lines go; so does a document of which nothing is left."""
-    return line_dedup.line_dedup(docs, drop_emptied=True).select(*docs.columns)
+    """Repeated chunks and runs of lines go; so does a document of which nothing is left."""
+    return line_dedup.line_dedup(docs, drop_emptied=True, runs=True).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,13 +25,17 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, word_array
 
 #: Lines in the rolling window, mean lines between boundaries, least and most lines of a chunk.
 WINDOW, MEAN_LINES, MIN_LINES, MAX_LINES = 3, 4, 2, 64
+#: Runs of repeated lines are removed if they have more words.
+RUN_WORDS = 50
+#: Added to the hashes of windows, so that a window and a chunk are never one group.
+_WINDOW_MARK = 0x5851F42D4C957F2D
 #: The seed that Spark's xxhash64 uses, so that both sides agree on a chunk's hash.
 _SEED = 42
 _U = np.uint64
@@ -61,8 +65,13 @@ def boundaries(lines: list[bytes]) -> list[tuple[int, int]]:
     return chunks
 
 
-def chunk_table(docs: DataFrame) -> DataFrame:
-    """doc_id, start, n, hash of every chunk of two lines or more."""
+def windows(lines: list[bytes]) -> list[tuple[int, int]]:
+    """(start, number of lines) of every two neighbouring lines, and of every line of over RUN_WORDS words."""
+    return [(i, 2) for i in range(len(lines) - 1)] + [(i, 1) for i, x in enumerate(lines) if len(x) > 2 * RUN_WORDS and len(x.split()) > RUN_WORDS]
+
+
+def chunk_table(docs: DataFrame, runs: bool = False) -> DataFrame:
+    """doc_id, start, n, hash of every chunk of two lines or more; n is negative for the windows of ``runs``."""
 
     def run(batches):
         for batch in batches:
@@ -77,6 +86,11 @@ def chunk_table(docs: DataFrame) -> DataFrame:
                         starts.append(start)
                         sizes.append(n)
                         hashes.append(xxhash.xxh64_intdigest(b"\n".join(lines[start : start + n]), _SEED))
+                for start, n in windows(lines) if runs else ():
+                    ids.append(doc_id)
+                    starts.append(start)
+                    sizes.append(-n)
+                    hashes.append(xxhash.xxh64_intdigest(b"\n".join(lines[start : start + n]), _SEED) ^ _WINDOW_MARK)
             yield pd.DataFrame(
                 {
                     "doc_id": pd.array(ids, dtype="Int64"),
@@ -93,10 +107,18 @@ def chunk_table(docs: DataFrame) -> DataFrame:
     )
 
 
+def _cut_out(lines: Column, r: Column) -> Column:
+    """The text of a chunk or window."""
+    return F.array_join(F.slice(lines, r["start"] + 1, F.abs(r["n"])), "\n")
+
+
+def _hash_of(text: Column, n: Column) -> Column:
+    return F.xxhash64(text).bitwiseXOR(F.when(n < 0, F.lit(_WINDOW_MARK)).otherwise(F.lit(0).cast("long")))
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
+
+def repeated_chunks(docs: DataFrame, runs: bool = False) -> DataFrame:
     """doc_id and ``ranges`` (start, n, hash) of the chunks to remove: proven repeats of an earlier chunk."""
-    chunks = stash(chunk_table(docs), "chunks")
+    chunks = stash(chunk_table(docs, runs), "chunks")
     place = F.struct("doc_id", "start")
     repeats = stash(
         chunks.groupBy("hash")
@@ -111,13 +133,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
         docs.where(F.contains("text", F.lit("\n")))
         .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
         .join(ranges.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_d")))
-        .select("doc_id", F.split("text", "\n").alias("_lines"), F.explode("ranges").alias("r"))
-        .select(
-            "doc_id", F.col("r.start").alias("start"), F.col("r.n").alias("n"), F.col("r.hash").alias("hash"),
-            F.array_join(F.slice("_lines", F.col("r.start") + 1, F.col("r.n")), "\n").alias("chunk"),
-        )
+        # Cut before exploding, or every row would carry all lines of its text.
+        .select("doc_id", "ranges", F.split("text", "\n").alias("_lines"))
+        .select("doc_id", F.explode(F.transform("ranges", lambda r: F.struct(r["start"].alias("start"), r["n"].alias("n"), r["hash"].alias("hash"), _cut_out(F.col("_lines"), r).alias("chunk")))).alias("r"))
+        .select("doc_id", "r.*")
         # Rows that repeat a doc_id with another text don't hold the chunk at that place.
-        .where(F.xxhash64("chunk") == F.col("hash"))
+        .where(_hash_of(F.col("chunk"), F.col("n")) == F.col("hash"))
     )
     # Byte comparison: one group for each different text; nearly always one to a hash.
     equal = stash(texts.groupBy("hash", "chunk").agg(F.min(place).alias("first")), "byte-groups")
@@ -143,13 +164,36 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     )
 
 
-def line_dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
+def _joined(ranges: Column, gap: int) -> Column:
+    """Sorted (start, end) without overlaps; neighbours at most ``gap`` lines apart become one."""
+
+    def step(done, r):
+        last = F.element_at(done, -1)
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], r["end"]).alias("end"))
+        apart = (F.size(done) == 0) | (r["start"] > F.try_element_at(done, F.lit(-1))["end"] + gap)
+        return F.when(apart, F.concat(done, F.array(r))).otherwise(F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(longer)))
+
+    return F.aggregate(F.array_sort(ranges), F.array().cast("array<struct<start:int,end:int>>"), step)
+
+
+def _removed(lines: Column, ranges: Column) -> Column:
+    """(start, end) of the lines to remove: repeated chunks, and stretches of repeated windows that have the words."""
+    ends = lambda rs: F.transform(rs, lambda r: F.struct(r["start"].alias("start"), (r["start"] + F.abs(r["n"])).alias("end")))
+    words = lambda r: F.size(word_array(F.array_join(F.slice(lines, r["start"] + 1, r["end"] - r["start"]), "\n")))
+    # Windows that only touch are two stretches: the lines on both sides were not seen together.
+    runs = F.filter(_joined(ends(F.filter(ranges, lambda r: r["n"] < 0)), -1), lambda r: words(r) > RUN_WORDS)
+    return _joined(F.concat(ends(F.filter(ranges, lambda r: r["n"] > 0)), runs), 0)
+
+
+def line_dedup(docs: DataFrame, drop_emptied: bool = False, runs: bool = False) -> DataFrame:
     """The documents with repeated chunks removed, and ``removed_lines``; ``n_chars``, if there, follows the text.
 
+    With ``runs``, repeated runs of lines of over RUN_WORDS words go too, wherever chunks end.
+
     A document all of whose lines repeat earlier ones keeps its row with an empty text,
     or goes if ``drop_emptied``.
     """
-    removals = repeated_chunks(docs).select(F.col("doc_id").alias("_d"), F.col("ranges").alias("_ranges"))
+    removals = repeated_chunks(docs, runs).select(F.col("doc_id").alias("_d"), F.col("ranges").alias("_ranges"))
     columns = docs.columns
     joined = docs.join(removals.hint("merge"), F.col("doc_id").cast("long") == F.col("_d"), "left").withColumn(
         "_lines", F.when(F.col("_ranges").isNotNull() & F.col("text").isNotNull(), F.split("text", "\n"))
@@ -158,18 +202,18 @@ def line_dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
         "_ranges",
         F.filter(
             "_ranges",
-            lambda r: F.xxhash64(F.array_join(F.slice(F.col("_lines"), r["start"] + 1, r["n"]), "\n")) == r["hash"],
+            lambda r: _hash_of(_cut_out(F.col("_lines"), r), r["n"]) == r["hash"],
         ),
-    )
+    ).withColumn("_ranges", _removed(F.col("_lines"), F.col("_ranges")))
     left = F.array_join(
         F.filter(
             "_lines",
-            lambda _, i: ~F.exists("_ranges", lambda r: (i >= r["start"]) & (i < r["start"] + r["n"])),
+            lambda _, i: ~F.exists("_ranges", lambda r: (i >= r["start"]) & (i < r["end"])),
         ),
         "\n",
     )
     cut = here.withColumn("_text", F.coalesce(left, F.col("text"))).withColumn(
-        "removed_lines", F.coalesce(F.aggregate("_ranges", F.lit(0), lambda a, r: a + r["n"]), F.lit(0)).cast("long")
+        "removed_lines", F.coalesce(F.aggregate("_ranges", F.lit(0), lambda a, r: a + r["end"] - r["start"]), F.lit(0)).cast("long")
     )
     if drop_emptied:
         # Exploding none or one text drops the row; a filter would be pushed below the columns it tests and compute them again for every line.
@@ -188,4 +232,4 @@ def line_dedup(docs: DataFrame, drop_emptied: bool = False) -> DataFrame:
 
 def op3_line_dedup(spark, sf_dir):
     """The registered query: all ``documents``, with what is left of each text."""
-    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+    return line_dedup(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), runs=True)

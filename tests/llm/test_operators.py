@@ -204,6 +204,45 @@ def test_exact_copies_vanish_whole(spark):
     assert line_dedup.line_dedup(frame, drop_emptied=True).count() == 60
 
 
+def line_runs(rows, most=50):
+    """By hand: what is left of each text, chunks and runs of over ``most`` words removed."""
+    seen, kept = set(), {}
+    for i, t, _ in sorted(rows):
+        lines = t.split("\n")
+        gone, covered = set(), []
+        if len(lines) > 1:
+            for s, n in line_dedup.boundaries([x.encode() for x in lines]):
+                key = ("chunk", *lines[s : s + n])
+                gone |= set(range(s, s + n)) if key in seen else set()
+                seen.add(key)
+            for s, n in sorted([(k, 2) for k in range(len(lines) - 1)] + [(k, 1) for k, x in enumerate(lines) if len(WORD.findall(x)) > most]):
+                key = ("run", *lines[s : s + n])
+                if key in seen and covered and s <= covered[-1][-1]:
+                    covered[-1] = sorted({*covered[-1], *range(s, s + n)})
+                elif key in seen:
+                    covered.append(list(range(s, s + n)))
+                seen.add(key)
+            for at in covered:
+                gone |= set(at) if len(WORD.findall("\n".join(lines[k] for k in at))) > most else set()
+        kept[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return kept
+
+
+def test_line_runs_against_brute_force(spark):
+    rng = random.Random(8)
+    passages = ["\n".join(" ".join(f"p{p}l{k}w{w}" for w in range(rng.randint(5, 40))) for k in range(rng.randint(2, 6))) for p in range(25)]
+    passages += [" ".join(f"single{p}w{w}" for w in range(rng.choice((50, 51, 80)))) for p in range(6)]
+    rows = [(i, "\n".join(x for k in range(rng.randint(1, 5)) for x in (f"own {i} {k}", rng.choice(passages), "")), "s") for i in range(80)]
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(docs(spark, rows), runs=True).collect()}
+    want = line_runs(rows)
+    assert {i: r["text"] for i, r in got.items()} == want
+    assert all(r["n_chars"] == len(r["text"]) and r["removed_lines"] >= 0 for r in got.values())
+    # Every passage of over 50 words stands in one place only.
+    for p in passages:
+        if len(p.split()) > 50:
+            assert sum(r["text"].count(p) for r in got.values()) <= 1
+
+
 # ---- near duplicates -----------------------------------------------------------------
 
 
