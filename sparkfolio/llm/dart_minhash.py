@@ -502,16 +502,47 @@ def near_duplicates(
     return known.unionByName(without)
 
 
+def _row_keys(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_key``: the doc_id, but a key of its own for each text whose id is missing or held by another text.
+
+    Of several texts with one doc_id the least keeps the id.  Own keys follow all ids,
+    in the order of doc_id and text; equal rows share a key.
+    """
+    doc_id, digest = F.col("doc_id").cast("long"), F.xxhash64("text")
+    shared = stash(
+        docs.where(F.col("doc_id").isNotNull()).groupBy(doc_id.alias("_d")).agg(F.min(digest).alias("_a"), F.max(digest).alias("_z")).where("_a <> _z").select("_d"), "shared-ids"
+    )
+    keyed = docs.withColumn("_key", doc_id)
+    missing = docs.where(F.col("doc_id").isNull()).select(doc_id.alias("_o"), F.col("text").alias("_t"))
+    if shared.isEmpty() and missing.isEmpty():
+        return keyed
+    several = docs.join(shared.hint("merge"), doc_id == F.col("_d"), "left_semi").select(doc_id.alias("_o"), F.col("text").alias("_t"))
+    # A text that is null sorts last: it keeps the id only if there is no other.
+    least = several.groupBy("_o").agg(F.min("_t").alias("_least"))
+    others = several.distinct().join(least.withColumnRenamed("_o", "_p").hint("merge"), F.col("_o") == F.col("_p")).where(~F.col("_t").eqNullSafe(F.col("_least"))).select("_o", "_t")
+    top = docs.agg(F.coalesce(F.max(doc_id), F.lit(0)).alias("_top"))
+    own = others.unionByName(missing.distinct()).orderBy(F.col("_o").asc_nulls_last(), F.col("_t").asc_nulls_last()).withColumn("_n", F.monotonically_increasing_id())
+    own = stash(own.crossJoin(F.broadcast(top)).select("_o", "_t", (F.col("_top") + 1 + F.col("_n")).alias("_own")), "own-keys")
+    keyed = keyed.join(own.hint("merge"), F.col("_key").eqNullSafe(F.col("_o")) & F.col("text").eqNullSafe(F.col("_t")), "left")
+    return stash(keyed.withColumn("_key", F.coalesce("_own", "_key")).drop("_o", "_t", "_own"), "keyed")
+
+
 def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay: of each class the one with the least doc_id, once; columns as in ``docs``."""
-    classes = near_duplicates(docs, **options)
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    once = Window.partitionBy("doc_id").orderBy(F.col("text").asc_nulls_last())
+    """The documents that stay: of each class the one with the least doc_id, once; columns as in ``docs``.
+
+    Rows without a doc_id, and different texts with one doc_id, are classed by their
+    text: they stay unless they repeat another row, and give way to rows with an id.
+    """
+    keyed = _row_keys(docs)
+    classes = near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"), **options)
+    kept = classes.where(F.col("doc_id") == F.col("class_id")).select(F.col("doc_id").alias("_kept")).distinct()
+    # All rows of a key are equal in their text.
+    once = Window.partitionBy("_key").orderBy(F.col("text").asc_nulls_last())
     return (
-        docs.join(kept.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+        keyed.join(kept.hint("merge"), F.col("_key") == F.col("_kept"), "left_semi")
         .select("*", F.row_number().over(once).alias("_copy"))
         .where("_copy = 1")
-        .drop("_copy")
+        .drop("_copy", "_key")
     )
 
 

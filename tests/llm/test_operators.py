@@ -302,6 +302,21 @@ def test_keep_one_and_odd_input(spark, odd):
     assert dart_minhash.near_duplicates(odd, weights="count").count() == 9
 
 
+def test_keep_one_without_and_with_shared_ids(spark):
+    def text(seed, n=60):
+        rng = random.Random(seed)
+        return " ".join(f"w{rng.randint(0, 10**6)}" for _ in range(n))
+
+    near = text(1, 200)
+    rows = [(None, text(2), "s"), (None, text(3), "s"), (None, text(2), "s"), (None, near + " end", "s"), (1, near, "s"), (None, None, "s"), (None, None, "s")]
+    rows += [(5, text(4), "s"), (5, text(5), "s"), (5, text(4), "s"), (5, None, "s"), (5, near + " more", "s"), (7, text(5), "s"), (8, text(3), "s")]
+    got = sorted(((r["doc_id"], r["text"]) for r in dart_minhash.keep_one(docs(spark, rows)).collect()), key=str)
+    # text(5) stays under 5 if it is the least text of that id, else under 7.
+    own = 5 if text(5) == min(t for i, t, _ in rows if i == 5 and t) else 7
+    fives = [(5, text(4)), (own, text(5)), (5, None)]
+    assert got == sorted([(None, text(2)), (None, None), (1, near), (8, text(3)), *fives], key=str)
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(6)
     e = rng.integers(1, 2**63, 200, dtype=np.uint64)
