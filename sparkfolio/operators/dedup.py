@@ -18,16 +18,7 @@ def drop_exact(chunks: DataFrame) -> DataFrame:
     return groups.select(F.col("first.chunk_id").alias("chunk_id"), F.array_except("ids", F.array("first.chunk_id")).alias("duplicate_ids"))
 
 
-def greedy_survivors(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """Walk in order: a node is dropped if a kept earlier node is similar to it.
-
-    ``nodes``: node, pos (the order).  ``pairs``: (early, late) similar nodes, the one
-    with the smaller pos first.  Returns node, kept.  This is the lexicographically
-    first maximal independent set: in each round, undecided nodes without an undecided
-    or kept earlier neighbour are kept, and neighbours of kept nodes are dropped.  Lineage is cut by
-    ``checkpoint`` to the folder all executors share.
-    """
-    spark = nodes.sparkSession
+def _checkpoint_dir(spark) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if found is None:
@@ -35,16 +26,33 @@ def greedy_survivors(nodes: DataFrame, pairs: DataFrame, rounds: int = 50) -> Da
 
             found = tempfile.mkdtemp(prefix="sparkfolio-")
         spark.sparkContext.setCheckpointDir(found)
-    kept = nodes.select("node").join(pairs.select(F.col("late").alias("node")).distinct(), "node", "left_anti").checkpoint()
-    gone = pairs.join(kept.withColumnRenamed("node", "early"), "early", "left_semi").select(F.col("late").alias("node")).distinct().checkpoint()
-    for _ in range(rounds):
-        open_ = nodes.select("node").join(kept, "node", "left_anti").join(gone, "node", "left_anti").checkpoint()
-        if open_.isEmpty():
+
+
+def greedy_survivors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Walk in order: a node is dropped if a kept earlier node is similar to it.
+
+    ``nodes``: node, pos (the order).  ``pairs``: (early, late) similar nodes, the one
+    with the smaller pos first.  Returns node, kept.  This is the lexicographically
+    first maximal independent set: in each round, open nodes without an open
+    earlier neighbour are kept, and neighbours of kept nodes are dropped, until no
+    node is open.  A round only reads what is open.  Lineage is cut by ``checkpoint``
+    to the folder all executors share.
+    """
+    _checkpoint_dir(nodes.sparkSession)
+    named = lambda df, name: df.withColumnRenamed("node", name)
+    open_ = nodes.select("node")
+    edges = pairs.select("early", "late").join(named(open_, "early"), "early", "left_semi").join(named(open_, "late"), "late", "left_semi").checkpoint()
+    kept = None
+    while True:
+        ready = open_.join(edges.select(F.col("late").alias("node")).distinct(), "node", "left_anti").checkpoint()
+        kept = ready if kept is None else kept.unionByName(ready).coalesce(max(1, ready.rdd.getNumPartitions())).checkpoint()
+        dropped = edges.join(named(ready, "early"), "early", "left_semi").select(F.col("late").alias("node")).distinct().checkpoint()
+        if dropped.isEmpty():
+            if not edges.isEmpty():
+                raise ValueError("pairs do not follow the order of the nodes")
             break
-        waits = pairs.join(open_.withColumnRenamed("node", "early"), "early", "left_semi").select(F.col("late").alias("node")).distinct()
-        more = open_.join(waits, "node", "left_anti").checkpoint()
-        kept = kept.unionByName(more).checkpoint()
-        gone = gone.unionByName(pairs.join(more.withColumnRenamed("node", "early"), "early", "left_semi").select(F.col("late").alias("node"))).distinct().checkpoint()
+        open_ = open_.join(ready, "node", "left_anti").join(dropped, "node", "left_anti").checkpoint()
+        edges = edges.join(named(dropped, "late"), "late", "left_anti").join(named(dropped, "early"), "early", "left_anti").checkpoint()
     return nodes.select("node").join(kept.withColumn("kept", F.lit(True)), "node", "left").select("node", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 

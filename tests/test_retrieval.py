@@ -48,6 +48,13 @@ def test_greedy_survivors_equal_the_walk(spark):
     assert kept == {0, 2, 4}
 
 
+def test_greedy_survivors_of_a_long_chain(spark):
+    n = 110
+    nodes = spark.createDataFrame([(i, i) for i in range(n)], "node long, pos long").coalesce(1)
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "early long, late long").coalesce(1)
+    assert {r["node"] for r in greedy_survivors(nodes, pairs).where("kept").collect()} == set(range(0, n, 2))
+
+
 def test_delta_states(spark):
     cur = spark.createDataFrame([("a", "1", 2), ("b", "2", 2), ("c", "3", 1)], "doc_id string, digest string, chunks int")
     old = spark.createDataFrame([("a", "1", 2), ("b", "x", 2), ("d", "4", 1)], "doc_id string, digest string, chunks int")
