@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,10 +58,48 @@ def greedy_survivors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
     return nodes.select("node").join(kept.withColumn("kept", F.lit(True)), "node", "left").select("node", F.coalesce("kept", F.lit(False)).alias("kept"))
 
 
+def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> DataFrame:
+    """early, late, score of all pairs of vectors (node, v) whose dot product, rounded to six places, is at least ``threshold``.
+
+    Blocks of about ``block`` vectors meet each other; a task holds two of them.
+    Products choose candidates, whose scores are added up in the order of the elements.
+    """
+    n = max(1, -(-vectors.count() // block))
+    placed = vectors.select("node", "v", F.pmod(F.xxhash64("node"), F.lit(n)).cast("int").alias("_b"))
+    left = placed.select(F.col("_b").alias("i"), F.explode(F.sequence(F.col("_b"), F.lit(n - 1))).alias("j"), "node", "v")
+    right = placed.select(F.explode(F.sequence(F.lit(0), F.col("_b"))).alias("i"), F.col("_b").alias("j"), "node", "v")
+
+    def run(key, a, b):
+        if len(a) and len(b):
+            x, y = (np.stack(f["v"].to_numpy()).astype(float) for f in (a, b))
+            p, q = a["node"].to_numpy(), b["node"].to_numpy()
+            ids, scores = [], []
+            for s in range(0, len(x), 512):
+                r, c = np.nonzero(x[s : s + 512] @ y.T >= threshold - 1e-5)
+                r = r + s
+                once = p[r] < q[c] if key[0] == key[1] else p[r] != q[c]
+                r, c = r[once], c[once]
+                score = np.zeros(len(r))
+                for d in range(x.shape[1]):
+                    score += x[r, d] * y[c, d]
+                ids.append(np.stack([np.minimum(p[r], q[c]), np.maximum(p[r], q[c])], 1))
+                scores.append(score)
+            at = np.concatenate(ids)
+            return pd.DataFrame({"early": at[:, 0], "late": at[:, 1], "score": np.concatenate(scores)})
+        return pd.DataFrame({"early": np.empty(0, np.int64), "late": np.empty(0, np.int64), "score": np.empty(0)})
+
+    found = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "early long, late long, score double")
+    return found.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
+
+
 def absorbers(nodes: DataFrame, pairs: DataFrame, survivors: DataFrame, block: int = 512) -> DataFrame:
     """node, absorber: the most similar kept earlier node within the first block of kept nodes that has one."""
-    kept = survivors.where("kept").join(nodes, "node").select("node", "pos")
-    ranked = kept.select("node", F.floor((F.row_number().over(Window.orderBy("pos")) - 1) / block).alias("block"), "pos")
+    _checkpoint_dir(nodes.sparkSession)
+    # Ranks in the order of pos, counted within sorted partitions.
+    placed = survivors.where("kept").join(nodes, "node").select("node", "pos").orderBy("pos").withColumn("_p", F.spark_partition_id()).checkpoint()
+    before = placed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy("pos")) + F.col("_n")
+    ranked = placed.join(F.broadcast(before), "_p").select("node", F.floor((rank - 1) / block).alias("block"), "pos")
     hits = pairs.join(ranked.withColumnRenamed("node", "early"), "early").join(survivors.where("NOT kept").select(F.col("node").alias("late")), "late", "left_semi")
     first = Window.partitionBy("late").orderBy("block", F.col("score").desc(), "pos")
     return hits.select("late", "early", F.row_number().over(first).alias("n")).where("n = 1").select(F.col("late").alias("node"), F.col("early").alias("absorber"))

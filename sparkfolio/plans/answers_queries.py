@@ -23,25 +23,23 @@ def dd_exact(spark, sf_dir):
     return D.drop_exact(X.chunks(spark, sf_dir)).select("chunk_id", F.array_join("duplicate_ids", ",").alias("absorbed"))
 
 
-def _similar(spark, sf_dir, threshold: float = 0.35):
-    v = X.vectors(spark, sf_dir).where("vec_id < 500")
-    o = v.select(F.col("vec_id").alias("late"), F.col("v").alias("w"))
-    score = F.round(R.dot(F.col("v"), F.col("w")), 6)
-    return v.select(F.col("vec_id").alias("early"), "v").join(o, F.col("early") < F.col("late")).select("early", "late", score.alias("score")).where(F.col("score") >= threshold)
+def _similar(vectors, threshold: float = 0.35):
+    return D.similar_pairs(vectors.select(F.col("vec_id").alias("node"), "v"), threshold)
 
 
 @query("dd_near")
 def dd_near(spark, sf_dir):
-    """Greedy survivors among the first 500 vectors, in the order of their ids."""
-    nodes = X.vectors(spark, sf_dir).where("vec_id < 500").select(F.col("vec_id").alias("node"), F.col("vec_id").alias("pos"))
-    pairs = _similar(spark, sf_dir).persist()
+    """Greedy survivors among all vectors, in the order of their ids."""
+    vectors = X.vectors(spark, sf_dir)
+    nodes = vectors.select(F.col("vec_id").alias("node"), F.col("vec_id").alias("pos"))
+    pairs = _similar(vectors).persist()
     survivors = D.greedy_survivors(nodes, pairs)
     return survivors.join(D.absorbers(nodes, pairs, survivors), "node", "left")
 
 
 @query("jn_sim", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 500) SELECT a.vec_id AS early, b.vec_id AS late, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.35")
 def jn_sim(spark, sf_dir):
-    return _similar(spark, sf_dir)
+    return _similar(X.vectors(spark, sf_dir).where("vec_id < 500"))
 
 
 @query("top_recency", f"{_C} SELECT chunk_id, row_number() OVER (ORDER BY coalesce(year, 0) DESC, doc_id, page_start, chunk_id) AS pos FROM chunks")

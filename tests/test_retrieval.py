@@ -1,9 +1,12 @@
 import math
 
+import numpy as np
 import pytest
 
 from sparkfolio.operators import retrieval as R
-from sparkfolio.operators.dedup import greedy_survivors, index_delta
+from sparkfolio.operators.dedup import greedy_survivors, index_delta, similar_pairs
+from sparkfolio.registry import QUERIES
+from sparkfolio.sources import fixtures as X
 
 
 def hits(spark, rows):
@@ -55,6 +58,39 @@ def test_greedy_survivors_of_a_long_chain(spark):
     assert {r["node"] for r in greedy_survivors(nodes, pairs).where("kept").collect()} == set(range(0, n, 2))
 
 
+def test_near_vectors_against_the_walk(spark):
+    rows = {r["vec_id"]: np.array(r["v"]) for r in X.vectors(spark, "/root/testdata/sf0.01").collect()}
+    ids, v = sorted(rows), np.stack([rows[i] for i in sorted(rows)])
+    score = np.round(v @ v.T, 6)
+    got = {(r["early"], r["late"]): r["score"] for r in similar_pairs(X.vectors(spark, "/root/testdata/sf0.01").withColumnRenamed("vec_id", "node"), 0.1, 64).collect()}
+    at = {(ids[a], ids[b]) for a, b in np.argwhere(np.triu(score >= 0.1, 1))}
+    assert set(got) == at and all(abs(got[p] - rows[p[0]] @ rows[p[1]]) < 1e-6 for p in at)
+
+
+def test_near_duplicates_of_all_vectors(spark):
+    rows = {r["vec_id"]: np.array(r["v"]) for r in X.vectors(spark, "/root/testdata/sf0.1").collect()}
+    ids = sorted(rows)
+    score = np.round((v := np.stack([rows[i] for i in ids])) @ v.T, 6)
+    kept = []
+    for k in range(len(ids)):
+        if not (score[k, kept] >= 0.35).any():
+            kept.append(k)
+    near = {r["node"]: r for r in QUERIES["dd_near"](spark, "/root/testdata/sf0.1").collect()}
+    assert len(ids) == 2000 and sorted(near) == ids and [i for i in ids if near[i]["kept"]] == [ids[k] for k in kept]
+    for k, i in enumerate(ids):
+        if near[i]["kept"]:
+            assert near[i]["absorber"] is None
+            continue
+        blocks = [[x for x in kept[s : s + 512] if x < k and score[k, x] >= 0.35] for s in range(0, len(kept), 512)]
+        first = next(b for b in blocks if b)
+        assert near[i]["absorber"] == ids[max(first, key=lambda x: (score[k, x], -x))]
+
+
+def test_recall_covers_every_fiftieth_vector(spark):
+    ids = {r["query_id"] for r in QUERIES["vec_ann_check"](spark, "/root/testdata/sf0.01").collect()}
+    assert ids == {r["vec_id"] for r in X.vectors(spark, "/root/testdata/sf0.01").where("vec_id % 50 = 0").collect()}
+
+
 def test_delta_states(spark):
     cur = spark.createDataFrame([("a", "1", 2), ("b", "2", 2), ("c", "3", 1)], "doc_id string, digest string, chunks int")
     old = spark.createDataFrame([("a", "1", 2), ("b", "x", 2), ("d", "4", 1)], "doc_id string, digest string, chunks int")
