@@ -32,6 +32,8 @@ import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 
+from .common import map_batches
+
 #: Texts are encoded in blocks of about so many characters: this bounds memory.
 BLOCK_CHARS = 1_000_000
 #: The cache of encoded pieces is emptied beyond this number.
@@ -287,7 +289,7 @@ def bpe_encode(docs: DataFrame, path: str, text_col: str = "text", ids_col: str
     from pyspark.sql import types as T
 
     kept = docs.drop(ids_col)
-    return kept.mapInPandas(run, T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return map_batches(kept, run, T.StructType([*kept.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
@@ -303,7 +305,7 @@ def bpe_decode(encoded: DataFrame, path: str, ids_col: str = "ids", text_col: st
     from pyspark.sql import types as T
 
     kept = encoded.drop(text_col)
-    return kept.mapInPandas(run, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
+    return map_batches(kept, run, T.StructType([*kept.schema.fields, T.StructField(text_col, T.StringType())]))
 
 
 def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
@@ -325,8 +327,8 @@ def bpe_digests(docs: DataFrame, path: str) -> DataFrame:
                 {"doc_id": batch["doc_id"].astype("Int64"), "n_tokens": sizes, "ids_sha256": of_ids, "decoded_sha256": of_text}
             )
 
-    return docs.select("doc_id", "text").mapInPandas(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return map_batches(
+        docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
 
 

@@ -31,14 +31,12 @@ of all their words; repeated rows are copies; an empty table gives an empty resu
 
 from __future__ import annotations
 
-import functools
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WS_CHARS, stash
+from .common import WS_CHARS, map_batches, stash
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
@@ -64,32 +62,53 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@functools.lru_cache(maxsize=4)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         up = np.cumprod(np.r_[_U(1), np.full(n - 1, _BASE, dtype=_U)])
         down = np.cumprod(np.r_[_U(1), np.full(n - 1, pow(_BASE, -1, 1 << 64), dtype=_U)])
     return up, down
 
 
+#: Bytes are hashed in pieces of this size, elements in pieces of so many cells: memory doesn't follow the longest text.
+PIECE, CELLS = 1 << 17, 1 << 18
+_UP, _DOWN = _power_tables(PIECE)
 _LETTER = mix64(np.arange(1, 257, dtype=_U) * _U(_BASE))
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[ord(c) for c in WS_CHARS]] = True
 
 
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and text number of every word of all texts, in order."""
+    """Hash and text number of every word of all texts, in order.
+
+    A word's letters are added up as a polynomial; a word that a piece's end cuts gets
+    its terms from both pieces.
+    """
     encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
     raw = np.frombuffer(b"".join(e + b"\n" for e in encoded), dtype=np.uint8)
     if not len(raw):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    size = 1 << max(12, int(len(raw)).bit_length())
-    up, down = _powers(size)
-    space = _SPACE[raw]
-    edge = np.diff(np.r_[True, space].astype(np.int8))
-    starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-    total = np.r_[_U(0), np.cumsum(_LETTER[raw] * up[: len(raw)])]
-    own = (total[ends] - total[starts]) * down[starts]
+    edges = []
+    before = True
+    for s in range(0, len(raw), PIECE):
+        space = _SPACE[raw[s : s + PIECE]]
+        edges.append(np.flatnonzero(np.diff(np.r_[before, space].astype(np.int8))) + s)
+        before = bool(space[-1])
+    # Every text ends in a space, so starts and ends of words take turns.
+    edge = np.concatenate(edges)
+    starts, ends = edge[0::2], edge[1::2]
+    own = np.zeros(len(starts), _U)
+    for s in range(0, len(raw), PIECE):
+        piece = raw[s : s + PIECE]
+        total = np.r_[_U(0), np.cumsum(_LETTER[piece] * _UP[: len(piece)])]
+        i, j = np.searchsorted(ends, s, side="right"), np.searchsorted(starts, s + len(piece), side="left")
+        if i == j:
+            continue
+        at, to = starts[i:j] - s, np.minimum(ends[i:j] - s, len(piece))
+        # Powers count from the word's start: down from a start in this piece, up from one in an earlier piece.
+        factor = _DOWN[np.maximum(at, 0)]
+        if at[0] < 0:
+            factor[0] = pow(_BASE, -int(at[0]), 1 << 64)
+        own[i:j] += (total[to] - total[np.maximum(at, 0)]) * factor
     bounds = np.cumsum([len(e) + 1 for e in encoded])
     return mix64(own + (ends - starts).astype(_U)), np.searchsorted(bounds, starts, side="right")
 
@@ -138,26 +157,31 @@ def dart_minhash(element: np.ndarray, weight: np.ndarray, doc: np.ndarray, n_doc
         e, w, d = element[mine], weight[mine].astype(float), doc[mine]
         highest = np.zeros(n_docs)
         highest[todo] = darts * factor / total[todo]
-        # One row for each unit of weight and of rank; the last unit of weight may be a part.
+        # One cell for each unit of weight and of rank; the last unit of weight may be a part.
         units = np.ceil(w).astype(np.int64)
         ranks = np.ceil(highest[d]).astype(np.int64)
         cells = units * ranks
-        row = np.repeat(np.arange(len(e)), cells)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(cells) - cells, cells)
-        unit, rank = nth // ranks[row], nth % ranks[row]
-        seed = mix64(e[row] + mix64((unit.astype(_U) << _U(32)) + rank.astype(_U) + _U(1)))
-        count = np.searchsorted(_POISSON, (seed >> _U(11)).astype(float) * 2.0**-53, side="right")
-        thrown = np.repeat(np.arange(len(row)), count)
-        order = np.arange(len(thrown)) - np.repeat(np.cumsum(count) - count, count)
-        dart = mix64(seed[thrown] + _U(_BASE) * (order.astype(_U) + _U(1)))
-        of = row[thrown]
-        height = rank[thrown] + (dart >> _U(32)).astype(float) * 2.0**-32
-        hit = height < highest[d[of]]
-        part = w[of] - unit[thrown] < 1
-        if part.any():
-            beside = (mix64(dart + _U(1)) >> _U(11)).astype(float) * 2.0**-53
-            hit &= ~part | (beside < w[of] - unit[thrown])
-        dart, height, slot = dart[hit], height[hit], d[of[hit]] * k
+        upto = np.cumsum(cells)
+        hits = []
+        for cell in range(0, int(upto[-1]), CELLS):
+            number = np.arange(cell, min(cell + CELLS, int(upto[-1])))
+            row = np.searchsorted(upto, number, side="right")
+            nth = number - (upto[row] - cells[row])
+            unit, rank = nth // ranks[row], nth % ranks[row]
+            seed = mix64(e[row] + mix64((unit.astype(_U) << _U(32)) + rank.astype(_U) + _U(1)))
+            count = np.searchsorted(_POISSON, (seed >> _U(11)).astype(float) * 2.0**-53, side="right")
+            thrown = np.repeat(np.arange(len(row)), count)
+            order = np.arange(len(thrown)) - np.repeat(np.cumsum(count) - count, count)
+            dart = mix64(seed[thrown] + _U(_BASE) * (order.astype(_U) + _U(1)))
+            of = row[thrown]
+            height = rank[thrown] + (dart >> _U(32)).astype(float) * 2.0**-32
+            hit = height < highest[d[of]]
+            part = w[of] - unit[thrown] < 1
+            if part.any():
+                beside = (mix64(dart + _U(1)) >> _U(11)).astype(float) * 2.0**-53
+                hit &= ~part | (beside < w[of] - unit[thrown])
+            hits.append((dart[hit], height[hit], d[of[hit]] * k))
+        dart, height, slot = (np.concatenate(x) for x in zip(*hits, strict=True))
         slot = slot + (((dart & _U(0xFFFFFFFF)) * _U(k)) >> _U(32)).astype(np.int64)
         best = np.lexsort((height, slot))
         slot = slot[best]
@@ -226,11 +250,10 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weights: str
                 keys += [k if n else None for k, n in zip(found, own, strict=True)]
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "hash": batch["hash"], "n": sizes, "keys": keys, "bits": bits})
 
-    return (
-        docs.where(F.col("text").isNotNull())
-        .select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("hash"), "text")
-        .mapInPandas(run, "doc_id long, hash binary, n long, keys array<long>, bits array<long>")
+    named = docs.where(F.col("text").isNotNull()).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("hash"), "text"
     )
+    return map_batches(named, run, "doc_id long, hash binary, n long, keys array<long>, bits array<long>")
 
 
 def verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
@@ -273,12 +296,8 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFr
                 done += len(block)
             yield pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return (
-        others.unionByName(leaders)
-        .repartition("a", "salt")
-        .sortWithinPartitions("a", "salt", "role")
-        .mapInPandas(run, "a long, b long")
-    )
+    dealt = others.unionByName(leaders).repartition("a", "salt").sortWithinPartitions("a", "salt", "role")
+    return map_batches(dealt, run, "a long, b long")
 
 
 def _roots(parent: DataFrame) -> DataFrame:
@@ -353,7 +372,7 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
     def of(ids: DataFrame) -> DataFrame:
         return texts.join(ids.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi").select("doc_id", "text").dropDuplicates(["doc_id"])
 
-    rows = stash(of(members).mapInPandas(run, "rep long, shingle long"), "shingles")
+    rows = stash(map_batches(of(members), run, "rep long, shingle long"), "shingles")
     often = stash(rows.groupBy("shingle").agg(F.count("*").alias("_f")).where("_f > 1"), "frequencies")
     # A shingle of one document makes no pair but has its place in the prefix.
     ranked = (
@@ -503,12 +522,13 @@ def near_duplicates(
 
 
 def _row_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_key``: the doc_id, but a key of its own for each text whose id is missing or held by another text.
+    """``_row`` (all columns of ``docs``), doc_id, text and ``_key``: the doc_id, but a key of its own for each text whose id is missing or held by another text.
 
     Of several texts with one doc_id the least keeps the id.  Own keys follow all ids,
     in the order of doc_id and text; equal rows share a key.
     """
     doc_id, digest = F.col("doc_id").cast("long"), F.xxhash64("text")
+    docs = docs.select(F.struct(*docs.columns).alias("_row"), doc_id.alias("doc_id"), "text")
     shared = stash(
         docs.where(F.col("doc_id").isNotNull()).groupBy(doc_id.alias("_d")).agg(F.min(digest).alias("_a"), F.max(digest).alias("_z")).where("_a <> _z").select("_d"), "shared-ids"
     )
@@ -540,9 +560,9 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     once = Window.partitionBy("_key").orderBy(F.col("text").asc_nulls_last())
     return (
         keyed.join(kept.hint("merge"), F.col("_key") == F.col("_kept"), "left_semi")
-        .select("*", F.row_number().over(once).alias("_copy"))
+        .select("_row", F.row_number().over(once).alias("_copy"))
         .where("_copy = 1")
-        .drop("_copy", "_key")
+        .select("_row.*")
     )
 
 

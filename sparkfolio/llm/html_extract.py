@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import map_batches, stash
 
 MIN_PAGES, MIN_IMPORTANCE, DAMPING = 5, 0.2, 0.9
 
@@ -291,11 +291,8 @@ def page_elements(pages: DataFrame) -> DataFrame:
                 }
             )
 
-    return (
-        pages.where(F.coalesce(F.length("html"), F.lit(0)) > 0)
-        .select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-        .mapInPandas(run, "page_id long, page long, element long, style long, content long")
-    )
+    filled = pages.where(F.coalesce(F.length("html"), F.lit(0)) > 0).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
+    return map_batches(filled, run, "page_id long, page long, element long, style long, content long")
 
 
 def _entropy(distinct: DataFrame, value: str, name: str) -> DataFrame:
@@ -412,7 +409,7 @@ def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: f
                 {"page_id": batch["page_id"].astype("Int64"), "url": batch["url"], "text": texts, "n_chars": list(map(len, texts)), "removed_branches": removed}
             )
 
-    return shaped.mapInPandas(run, "page_id long, url string, text string, n_chars long, removed_branches long")
+    return map_batches(shaped, run, "page_id long, url string, text string, n_chars long, removed_branches long")
 
 
 def op1_html_extract(spark, sf_dir):

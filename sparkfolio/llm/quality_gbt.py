@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_batches, map_batches
+
 FEATURES = (
     "n_chars", "n_words", "n_lines", "mean_word", "words_per_line", "distinct_words", "distinct_lines", "top_word",
     "repeat_trigrams", "upper_chars", "digit_chars", "space_chars", "alpha_words", "comma", "stop", "question",
@@ -194,7 +196,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TR
                 {"doc_id": batch["doc_id"], "quality": batch["quality"].astype("int32"), "x": [r.tobytes() for r in statistics_matrix(batch["text"])]}
             )
 
-    found = rows.mapInPandas(run, "doc_id long, quality int, x binary").toPandas()
+    found = map_batches(rows, run, "doc_id long, quality int, x binary").toPandas()
     # Repeated rows of one document count once; the order is that of the ids, so reruns agree.
     found = found.sort_values(["doc_id", "x"]).drop_duplicates("doc_id")
     x = np.frombuffer(b"".join(found["x"]), dtype=np.float32).reshape(-1, len(FEATURES))
@@ -215,7 +217,7 @@ def score_quality(docs: DataFrame, trees: Trees, keep=("doc_id",)) -> DataFrame:
             yield batch.drop(columns="_text").assign(_score=score)
 
     schema = T.StructType([*docs.select(*keep).schema.fields, T.StructField("_score", T.DoubleType())])
-    return kept.mapInPandas(run, schema)
+    return map_batches(kept, run, schema)
 
 
 def op8_quality_gbt(spark, sf_dir):
@@ -236,6 +238,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     Texts go to Python once and only a score comes back beside the row.
     """
     trees = fit_quality(docs, labels, **options)
+    bounded_batches(docs.sparkSession)
     base, depth = trees.base, trees.depth
     arrays = docs.sparkSession.sparkContext.broadcast((trees.feature, trees.threshold, trees.leaf))
 

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import map_batches, stash
 
 #: host/path, verdict
 RULES = (
@@ -138,7 +138,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow") -> Da
         stream.unionByName(carried)
         .repartition("part")
         .sortWithinPartitions("part", *order)
-        .mapInPandas(_sweep, _SWEPT)
+        .transform(map_batches, _sweep, _SWEPT)
     )
     return swept.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
