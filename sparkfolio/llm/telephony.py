@@ -9,8 +9,9 @@ every machine.
 The byte store: a payload is kept as 8-bit mu-law samples of a WAVE file (format 7,
 8 kHz, mono); reading the file back gives the payload's bytes.
 
-The operator is a narrow map over the scan: nothing is shuffled.  Blocks of a batch are
-bounded in bytes, whatever the length of a row.
+Storing and decoding are narrow maps: nothing is shuffled.  The registered query writes
+the files to a table in the shared folder and reads them back.  Blocks of a batch are
+bounded in bytes; a longer row is a block of its own.
 
 Defined results for odd input: a null text counts as an empty one; its payload is one
 unit of padding; long texts are stored whole; repeated rows give repeated rows; an empty
@@ -27,6 +28,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .common import map_batches, stash
+
 RATE, WIDE_RATE = 8000, 16000
 UNIT, PAD = 192, b" "
 MULAW, ALAW, ADPCM, PCM = 7, 6, 0x11, 1
@@ -206,7 +209,7 @@ def decode_audio(media: DataFrame, media_col: str = "media", wide: bool = True)
                         out.append(wave_bytes(pcm.astype("<i2").tobytes(), PCM, 16, WIDE_RATE if wide else RATE, 2))
             yield batch.assign(pcm=out)
 
-    return kept.mapInPandas(run, T.StructType([*kept.schema.fields, T.StructField("pcm", T.BinaryType())]))
+    return map_batches(kept, run, T.StructType([*kept.schema.fields, T.StructField("pcm", T.BinaryType())]))
 
 
 def _blocks(rows: list):
@@ -237,7 +240,7 @@ def store_documents(docs: DataFrame) -> DataFrame:
                 {"doc_id": batch["doc_id"].astype("Int64"), "n_bytes": [n for _, n in made], "media": [wave_bytes(p, MULAW, 8) for p, _ in made]}
             )
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n_bytes long, media binary")
+    return map_batches(docs.select("doc_id", "text"), run, "doc_id long, n_bytes long, media binary")
 
 
 def media_features(stored: DataFrame) -> DataFrame:
@@ -281,12 +284,14 @@ def media_features(stored: DataFrame) -> DataFrame:
             )
             yield frame.astype({"doc_id": "Int64"})
 
-    return stored.mapInPandas(
+    return map_batches(
+        stored,
         run,
         "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string",
     )
 
 
 def op5_telephony(spark, sf_dir):
-    """The registered query: every text of ``documents`` stored as telephony audio and read back."""
-    return media_features(store_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    """The registered query: every text of ``documents`` stored as telephony audio, and features of the files read back."""
+    media = stash(store_documents(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    return media_features(media)
