@@ -17,7 +17,8 @@ Defined results for odd input: null and empty texts stay as they are; texts of o
 have no multi-line chunk and stay; very long texts are processed whole; rows that
 repeat a doc_id count as one document and keep their chunks; rows without a doc_id are
 first occurrences, never losers; an empty table gives an empty result; further columns
-are passed through.
+are passed through whatever their names, but for ``removed_lines``, which the result's own
+column replaces.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash, word_array
+from .common import map_batches, stash, word_array
 
 #: Lines in the rolling window, mean lines between boundaries, least and most lines of a chunk.
 WINDOW, MEAN_LINES, MIN_LINES, MAX_LINES = 3, 4, 2, 64
@@ -100,11 +101,8 @@ def chunk_table(docs: DataFrame, runs: bool = False) -> DataFrame:
                 }
             )
 
-    return (
-        docs.where(F.contains("text", F.lit("\n")))
-        .select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .mapInPandas(run, "doc_id long, start int, n int, hash long")
-    )
+    several = docs.where(F.contains("text", F.lit("\n"))).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return map_batches(several, run, "doc_id long, start int, n int, hash long")
 
 
 def _cut_out(lines: Column, r: Column) -> Column:
@@ -195,7 +193,10 @@ def line_dedup(docs: DataFrame, drop_emptied: bool = False, runs: bool = False)
     """
     removals = repeated_chunks(docs, runs).select(F.col("doc_id").alias("_d"), F.col("ranges").alias("_ranges"))
     columns = docs.columns
-    joined = docs.join(removals.hint("merge"), F.col("doc_id").cast("long") == F.col("_d"), "left").withColumn(
+    # Rows travel as one struct beside their text, so that no column of theirs can clash with ours.
+    rest = [c for c in columns if c != "text"]
+    rows = docs.select(F.struct(*rest).alias("_row"), F.col("doc_id").cast("long").alias("_id"), "text")
+    joined = rows.join(removals.hint("merge"), F.col("_id") == F.col("_d"), "left").withColumn(
         "_lines", F.when(F.col("_ranges").isNotNull() & F.col("text").isNotNull(), F.split("text", "\n"))
     )
     here = joined.withColumn(
@@ -213,21 +214,21 @@ def line_dedup(docs: DataFrame, drop_emptied: bool = False, runs: bool = False)
         "\n",
     )
     cut = here.withColumn("_text", F.coalesce(left, F.col("text"))).withColumn(
-        "removed_lines", F.coalesce(F.aggregate("_ranges", F.lit(0), lambda a, r: a + r["end"] - r["start"]), F.lit(0)).cast("long")
+        "_removed", F.coalesce(F.aggregate("_ranges", F.lit(0), lambda a, r: a + r["end"] - r["start"]), F.lit(0)).cast("long")
     )
     if drop_emptied:
         # Exploding none or one text drops the row; a filter would be pushed below the columns it tests and compute them again for every line.
-        texts = F.when((F.col("removed_lines") > 0) & (F.col("_text") == ""), F.array().cast("array<string>")).otherwise(F.array("_text"))
-        cut = cut.select(*[c for c in cut.columns if c not in ("_text", "_lines", "_ranges")], F.explode(texts).alias("_text"))
+        texts = F.when((F.col("_removed") > 0) & (F.col("_text") == ""), F.array().cast("array<string>")).otherwise(F.array("_text"))
+        cut = cut.select("_row", "_removed", F.explode(texts).alias("_text"))
     out = []
     for c in columns:
         if c == "text":
             out.append(F.col("_text").alias("text"))
         elif c == "n_chars":
-            out.append(F.when(F.col("removed_lines") > 0, F.length("_text")).otherwise(F.col("n_chars")).cast(docs.schema[c].dataType).alias(c))
+            out.append(F.when(F.col("_removed") > 0, F.length("_text")).otherwise(F.col("_row")[c]).cast(docs.schema[c].dataType).alias(c))
         elif c != "removed_lines":
-            out.append(F.col(c))
-    return cut.select(*out, "removed_lines")
+            out.append(F.col("_row")[c].alias(c))
+    return cut.select(*out, F.col("_removed").alias("removed_lines"))
 
 
 def op3_line_dedup(spark, sf_dir):

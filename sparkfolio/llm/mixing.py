@@ -11,12 +11,14 @@ The prefix sum is two-level: a histogram over (source, size class, hash digits)
 pre-aggregated and prefix-summed per source; exact ranks are only computed inside
 one histogram cell.  A source that holds a third of all rows is thereby spread over
 as many tasks as it has cells, and no task sees a whole source.  Cells per source
-are bounded by ``16 ** digits`` times the square root of the largest size; raise
-``digits`` with the corpus.
+are bounded by ``16 ** digits`` times the square root of the largest size; ``digits``
+follows the number of documents, so a cell stays small.
 
 Defined results for odd input: a null text has size 0; a null source is a source of
 its own, sorted last; repeated rows are documents of their own; if all sizes are 0
-every target is 0 and nothing is taken; an empty table gives an empty result.
+every target is 0 and nothing is taken; long texts are counted whole; columns of the
+input may have any names (the mixture has them all; of the counts, those named like a
+result column give way); an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD
+from .common import WORD, stash
 
 WEIGHTS = (5, 2, 1)
 MAX_COPIES = 3
@@ -69,25 +71,35 @@ def _uniform(text: Column) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
 
 
-def mix_sources(
-    docs: DataFrame,
-    weights=WEIGHTS,
-    max_copies: int = MAX_COPIES,
-    seed: str = "mix",
-    digits: int = 1,
-    carry=(),
-) -> DataFrame:
-    """One row per document: doc_id, size, source_size, target, copies, taken, and the columns in ``carry``."""
+#: Rows of one cell that are ranked in one task: about so many, whatever the number of documents.
+CELL_ROWS = 100_000
+
+
+def _digits_for(n: int) -> int:
+    """Hash digits that keep a cell of a source with all ``n`` documents, spread over ten size classes, near CELL_ROWS."""
+    digits = 1
+    while digits < 8 and n > 10 * CELL_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def _drawn(docs: DataFrame, carry, weights=WEIGHTS, max_copies: int = MAX_COPIES, seed: str = "mix", digits: int | None = None) -> DataFrame:
+    """``_row`` (the columns in ``carry``), size, source_size, target and copies of every document.
+
+    ``digits`` only says how many cells there are; the order, and so the sample, is the same with any.
+    """
+    digits = digits or _digits_for(docs.count())
     order_key = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     base = docs.select(
-        F.struct("doc_id", "source", *[c for c in carry if c not in ("doc_id", "source")]).alias("_row"),
+        F.struct(*carry).alias("_row"), F.col("doc_id").alias("_id"), F.col("source").alias("_source"),
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.concat(F.lit("s"), "source"), F.lit("null")).alias("_sk"),
         order_key.alias("_k"),
         F.xxhash64("text").alias("_tie"),
     ).select("*", F.floor(F.sqrt("size")).cast("long").alias("_class"), F.substring("_k", 1, digits).alias("_sub"))
-    cells = base.groupBy("_sk", "_class", "_sub").agg(
-        F.count("*").alias("_n"), F.sum("size").alias("_words"), F.min("_row.source").alias("source")
+    # Read twice, so written once: one row for each cell.
+    cells = stash(
+        base.groupBy("_sk", "_class", "_sub").agg(F.count("*").alias("_n"), F.sum("size").alias("_words"), F.min("_source").alias("source")), "cells"
     )
     sizes = cells.groupBy(F.col("_sk").alias("key")).agg(F.min("source").alias("source"), F.sum("_words").alias("source_size"))
     along = Window.partitionBy("_sk").orderBy("_class", "_sub").rowsBetween(Window.unboundedPreceding, -1)
@@ -97,32 +109,33 @@ def mix_sources(
         F.col("_sub").alias("_csub"),
         F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"),
     ).join(source_targets(sizes, weights, max_copies), F.col("_csk") == F.col("key"))
-    within = Window.partitionBy("_sk", "_class", "_sub").orderBy("_k", "_row.doc_id", "_tie")
+    within = Window.partitionBy("_sk", "_class", "_sub").orderBy("_k", "_id", "_tie")
     ranked = base.select("*", F.row_number().over(within).alias("_rank"))
     placed = ranked.join(
-        starts,
+        starts.hint("merge"),
         (F.col("_sk") == F.col("_csk")) & (F.col("_class") == F.col("_cclass")) & (F.col("_sub") == F.col("_csub")),
     )
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = _uniform(F.concat(F.lit(f"{seed}:"), "_sk"))
     upto = F.col("_before") + F.col("_rank")
     copies = F.floor(offset + upto * rate) - F.floor(offset + (upto - 1) * rate)
-    return placed.select(
-        "_row.*",
-        "size",
-        "source_size",
-        "target",
-        F.least(copies, F.lit(max_copies)).cast("long").alias("copies"),
-    ).withColumn("taken", F.col("copies") * F.col("size"))
+    return placed.select("_row", "size", "source_size", "target", F.least(copies, F.lit(max_copies)).cast("long").alias("copies"))
+
+
+def mix_sources(docs: DataFrame, carry=(), **options) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies, taken, and the columns in ``carry``.
+
+    A column in ``carry`` that is named like one of the others is left out.
+    """
+    own = ("size", "source_size", "target", "copies", "taken")
+    columns = ["doc_id", "source", *[c for c in carry if c not in ("doc_id", "source", *own)]]
+    return _drawn(docs, columns, **options).select("_row.*", *own[:4], (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def emit_mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture itself: every document repeated as often as it was drawn, with the columns of ``docs``."""
-    columns = docs.columns
-    drawn = mix_sources(docs, carry=columns, **options).where("copies > 0")
-    return drawn.select(
-        *columns, F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")
-    ).drop("_copy")
+    drawn = _drawn(docs, docs.columns, **options).where("copies > 0")
+    return drawn.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))).alias("_copy")).select("_row.*")
 
 
 def op7_mix_sources(spark, sf_dir):
