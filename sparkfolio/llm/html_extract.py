@@ -8,13 +8,20 @@ what is the same everywhere has importance 0.  A page's node has the composite
 importance ``(1 - g**l) * presentation + g**l * mean(children)`` with ``l`` children,
 a leaf that of its content.  Branches under ``min_importance`` are removed.
 
+*Marked main parts.*  Where a page marks its main part (``main`` or ``article``), the
+text comes from there.  Inside it the tree judges blocks by the entropy of their content
+alone, over the host's *different main texts* (pages with the same one count once), and
+never headings, list items or words in a line: a block that different articles repeat at
+the same place is furniture.  If that would take more than ``MAX_SHARE`` of the text, the
+page is one of many copies of an article, whose text only looks like furniture, and
+keeps it all.  On pages without a mark the tree decides everywhere; if nothing would be
+left, the structural result stands.
+
 *Structure.*  Elements that say what they are (navigation, header, footer, aside, form,
-dialogs, roles, class and id words for menus, adverts, notices, reader comments, ...)
-are removed on any host, also on one with a single page.  Where a page marks its main
-part (``main`` or ``article``), the text comes from there, and the tree decides only
-about what surrounds it: copies of one article on a host would otherwise make its own
-text look like furniture.  On pages without such a mark the tree decides everywhere;
-if nothing would be left, the structural result stands.
+dialogs, roles, class and id names for menus, adverts, notices, reader comments, ...) are
+removed on any host, also on one with a single page.  A name counts if all its words are
+of that kind or neutral (``related-posts``, not ``related-work``).  An article's own
+header keeps its headings and lead paragraphs.
 
 Statistics are aggregates over (element, value) with map-side combining, so a host
 with a third of all pages is no group of its own anywhere; byte-equal pages count
@@ -23,7 +30,8 @@ once.  Importances come back to pages by a join of stored tables.
 Defined results for odd input: null or empty html gives an empty text; cut-off tags,
 references and comments are handled as browsers do; unclosed elements end where their
 parents do; null urls share the empty host; repeated rows give repeated rows; an empty
-table gives an empty result; further columns are ignored.
+table gives an empty result; very long pages are processed whole; further columns of any
+name are ignored.
 """
 
 from __future__ import annotations
@@ -39,7 +47,7 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, stash
 
-MIN_PAGES, MIN_IMPORTANCE, DAMPING = 5, 0.2, 0.9
+MIN_PAGES, MIN_IMPORTANCE, DAMPING, MAX_SHARE = 5, 0.2, 0.9, 1 / 3
 
 _RAW = "script|style|textarea|title|noscript|iframe|xmp|noembed|noframes|svg|math|template|select|object|canvas|video|audio"
 _TOKEN = re.compile(
@@ -52,7 +60,8 @@ _TOKEN = re.compile(
     r"|<[a-z][^>]*\Z",
     re.S | re.I,
 )
-_ATTR = re.compile(r"(class|id|role|hidden|aria-hidden|style|itemprop)\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_ATTR = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTR_NAMES = frozenset(("class", "id", "role", "hidden", "aria-hidden", "style", "itemprop"))
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
@@ -80,6 +89,18 @@ _DROP_WORDS = frozenset(
     "navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion promotions related "
     "replies respond search share sharing sidebar sidebars signup skip social sponsor sponsored subscribe subscription toolbar topbar widget".split()
 )
+#: Words that may stand beside those in a name without changing what it marks.
+_NEUTRAL_WORDS = frozenset(
+    "article articles area bar block bottom box btn button buttons col column container content cta field fixed global group holder icon icons "
+    "inner item items js label left link links list media message module outer page panel post posts primary region right row secondary section "
+    "site slot sticky text thread title tool tools top unit wrap wrapper".split()
+)
+#: Words in class or id names of paragraphs in an article's header that aren't its lead.
+_BYLINE_WORDS = frozenset("author byline date dateline meta published tags time timestamp updated".split())
+#: Blocks that the tree may remove inside a marked main part.
+_INNER = frozenset("address aside blockquote center details dir div dl figure menu ol p pre section table ul".split())
+#: Those of them that make an ``article`` no main part.
+_ARTICLE_WORDS = frozenset("ad advert comment comments promo related sponsored".split())
 _NEVER = frozenset("html body main".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -94,12 +115,22 @@ class _Node:
 
 
 def _attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): _html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text.strip() else {}
+    out: dict[str, str] = {}
+    for m in _ATTR.finditer(text) if text.strip() else ():
+        name = m[1].lower()
+        if name in _ATTR_NAMES and name not in out:
+            out[name] = _html.unescape(m[2] or m[3] or m[4] or "")
+    return out
 
 
 def _words(text: str) -> set[str]:
     spaced = re.sub(r"([a-z0-9])([A-Z])", r"\1 \2", text)
-    return set(re.split(r"[^a-z]+", spaced.lower()))
+    return set(re.split(r"[^a-z]+", spaced.lower())) - {""}
+
+
+def _marks(names: str, kinds: frozenset[str]) -> bool:
+    """Whether one of the names has such a word, and beside it only such or neutral ones."""
+    return any(words & kinds and words <= kinds | _DROP_WORDS | _NEUTRAL_WORDS for words in map(_words, names.split()))
 
 
 def _dropped(tag: str, attrs: dict[str, str]) -> bool:
@@ -109,10 +140,8 @@ def _dropped(tag: str, attrs: dict[str, str]) -> bool:
         return True
     if attrs.get("role", "").lower() in _DROP_ROLES or re.search(r"display\s*:\s*none", attrs.get("style", ""), re.I):
         return True
-    words = _words(attrs.get("class", "") + " " + attrs.get("id", ""))
-    if tag == "article":
-        return bool(words & {"comment", "comments", "related", "promo", "sponsored", "ad", "advert"})
-    return bool(words & _DROP_WORDS)
+    names = attrs.get("class", "") + " " + attrs.get("id", "")
+    return bool(names.strip()) and _marks(names, _ARTICLE_WORDS if tag == "article" else _DROP_WORDS)
 
 
 def parse(source: str) -> _Node:
@@ -241,20 +270,19 @@ def _blocks(start: list[_Node], skip) -> list[str]:
 
 
 def _elements(root: _Node, host: str, mains: list[_Node]):
-    """(node, element hash) of the merged tree: everything but what lies inside marked main parts."""
+    """(node, element hash, inside) of the merged tree; inside marked main parts only blocks that may be furniture."""
     closed = {id(n) for n in mains}
     out = []
-    stack = [(root, xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")))]
+    stack = [(root, xxhash.xxh64_intdigest(host.encode("utf-8", "surrogatepass")), False)]
     while stack:
-        node, element = stack.pop()
-        if node.parent is not None:
-            out.append((node, element))
-        if id(node) in closed:
-            continue
+        node, element, inside = stack.pop()
+        if node.parent is not None and (not inside or node.tag in _INNER):
+            out.append((node, element, inside))
+        inside = inside or id(node) in closed
         seen: dict[str, int] = {}
         for child in _children(node):
             nth = seen[child.name] = seen.get(child.name, -1) + 1
-            stack.append((child, xxhash.xxh64_intdigest(f"{element}/{child.name}:{nth}".encode("utf-8", "surrogatepass"))))
+            stack.append((child, xxhash.xxh64_intdigest(f"{element}{'>' if inside else '/'}{child.name}:{nth}".encode("utf-8", "surrogatepass")), inside))
     return out
 
 
@@ -268,59 +296,80 @@ def host_of(url) -> str:
     return re.split(r"[/?#]", url.split("://", 1)[1], maxsplit=1)[0].lower()
 
 
+def _hash(text: str) -> int:
+    return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
+
+
 def page_elements(pages: DataFrame) -> DataFrame:
-    """page_id, page (hash of the html), element, style and content hashes of every element of the merged trees."""
+    """page_id, page, element, style and content hashes and ``inside`` of every element of the merged trees.
+
+    ``page`` is what counts once: the html, or inside a marked main part its text.
+    """
 
     def run(batches):
         for batch in batches:
-            ids, digests, elements, styles, contents = [], [], [], [], []
+            ids, digests, elements, styles, contents, insides = [], [], [], [], [], []
             for page_id, url, source in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
                 root = parse(source)
-                digest = xxhash.xxh64_intdigest(source.encode("utf-8", "surrogatepass"))
-                for node, element in _elements(root, host_of(url), _mains(root)):
+                mains = _mains(root)
+                digest = _hash(source), _hash("\n".join(_blocks(mains, _rules(mains)))) if mains else 0
+                for node, element, inside in _elements(root, host_of(url), mains):
                     ids.append(page_id)
-                    digests.append(digest)
+                    digests.append(digest[inside])
                     elements.append(element)
-                    styles.append(xxhash.xxh64_intdigest("|".join(c.name for c in _children(node)).encode("utf-8", "surrogatepass")))
-                    contents.append(xxhash.xxh64_intdigest(_subtree_text(node).encode("utf-8", "surrogatepass")))
+                    styles.append(0 if inside else _hash("|".join(c.name for c in _children(node))))
+                    contents.append(_hash(_subtree_text(node)))
+                    insides.append(inside)
             yield pd.DataFrame(
                 {"page_id": pd.array(ids, dtype="Int64")}
                 | {
                     k: np.array(v, np.uint64).view(np.int64)
                     for k, v in (("page", digests), ("element", elements), ("style", styles), ("content", contents))
                 }
+                | {"inside": np.array(insides, bool)}
             )
 
     filled = pages.where(F.coalesce(F.length("html"), F.lit(0)) > 0).select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return map_batches(filled, run, "page_id long, page long, element long, style long, content long")
+    return map_batches(filled, run, "page_id long, page long, element long, style long, content long, inside boolean")
 
 
 def _entropy(distinct: DataFrame, value: str, name: str) -> DataFrame:
-    """element, pages and the entropy of ``value`` over its pages, divided by the greatest possible."""
+    """element, inside, pages and the entropy of ``value`` over its pages, divided by the greatest possible."""
     n = F.col("_n").cast("double")
     return (
-        distinct.groupBy("element", value)
+        distinct.groupBy("element", "inside", value)
         .agg(F.count("*").alias("_n"))
-        .groupBy("element")
+        .groupBy("element", "inside")
         .agg(F.sum("_n").alias("_m"), F.sum(n * F.log(n)).alias("_s"))
         .where(F.col("_m") > 1)
-        .select("element", F.col("_m").alias("pages"), (1 - F.col("_s") / (F.col("_m") * F.log(F.col("_m").cast("double")))).alias(name))
+        .select("element", "inside", F.col("_m").alias("pages"), (1 - F.col("_s") / (F.col("_m") * F.log(F.col("_m").cast("double")))).alias(name))
     )
 
 
-def importances(elements: DataFrame, min_pages: int = MIN_PAGES) -> DataFrame:
-    """element, pages, presentation, content: the site style trees' entropies, of elements on enough distinct pages."""
-    distinct = elements.select("page", "element", "style", "content").distinct()
+def importances(elements: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
+    """element, inside, pages, presentation, content: the site style trees' entropies, of elements on enough distinct pages.
+
+    Of elements inside marked main parts only those of low importance: the others stay anyway.
+    """
+    distinct = elements.select("page", "element", "style", "content", "inside").distinct()
     style = _entropy(distinct, "style", "presentation")
     content = _entropy(distinct, "content", "content").drop("pages")
-    return style.where(F.col("pages") >= min_pages).join(content, "element")
+    known = style.where(F.col("pages") >= min_pages).join(content, ["element", "inside"])
+    return known.where(~F.col("inside") | (F.col("content") < min_importance))
+
 
+def composite(root: _Node, host: str, mains: list[_Node], known: dict[int, tuple[float, float]]) -> tuple[dict[int, float], dict[int, float]]:
+    """Importance by ``id(node)``: composite outside marked main parts, that of the content inside.
 
-def composite(root: _Node, host: str, mains: list[_Node], known: dict[int, tuple[float, float]]) -> dict[int, float]:
-    """Composite importance by ``id(node)``; elements that aren't known are as important as can be."""
+    Elements that aren't known are as important as can be.
+    """
     out: dict[int, float] = {}
-    for node, element in reversed(_elements(root, host, mains)):
+    within: dict[int, float] = {}
+    for node, element, inside in reversed(_elements(root, host, mains)):
         presentation, content = known.get(element, (1.0, 1.0))
+        if inside:
+            within[id(node)] = content
+            continue
         inner = [out[id(c)] for c in _children(node) if id(c) in out]
         if not inner:
             out[id(node)] = content
@@ -330,22 +379,12 @@ def composite(root: _Node, host: str, mains: list[_Node], known: dict[int, tuple
             # Text of its own makes a node at least as important as that text varies.
             own = any(isinstance(p, str) and p.strip() for p in node.parts)
             out[id(node)] = max(value, content) if own else value
-    return out
+    return out, within
 
 
-def page_text(source: str, host: str, known: dict[int, tuple[float, float]], min_importance: float = MIN_IMPORTANCE) -> tuple[str, int]:
-    """The main text and the number of branches that the style tree removed."""
-    root = parse(source)
-    mains = _mains(root)
-    importance = composite(root, host, mains, known) if known else {}
-    low = {n for n, v in importance.items() if v < min_importance}
+def _rules(mains: list[_Node]):
+    """Whether an element goes for what it says it is."""
     marked = {id(n) for n in mains}
-    for n in mains:
-        up = n
-        while up is not None:
-            low.discard(id(up))
-            up = up.parent
-    removed = sum(1 for n in _walk(root) if id(n) in low and not (n.parent is not None and id(n.parent) in low))
 
     def structural(node: _Node) -> bool:
         if not node.drop or id(node) in marked:
@@ -359,25 +398,49 @@ def page_text(source: str, host: str, known: dict[int, tuple[float, float]], min
                 return False
         return not _holds_main(node)
 
+    def lead(node: _Node) -> bool:
+        return node.tag == "p" and not _words(node.name) & _BYLINE_WORDS and not any(c.tag in ("time", "address") for c in _walk(node))
+
     def inside_header(node: _Node) -> bool:
-        return node.parent is not None and node.parent.tag == "header" and node.tag not in _HEADINGS and not any(c.tag in _HEADINGS for c in _walk(node))
+        return node.parent is not None and node.parent.tag == "header" and node.tag not in _HEADINGS and not lead(node) and not any(c.tag in _HEADINGS for c in _walk(node))
+
+    return lambda n: structural(n) or inside_header(n)
 
-    rules = lambda n: structural(n) or inside_header(n)
+
+def page_text(source: str, host: str, known: dict[int, tuple[float, float]], min_importance: float = MIN_IMPORTANCE) -> tuple[str, int]:
+    """The main text and the number of branches that the style tree removed."""
+    root = parse(source)
+    mains = _mains(root)
+    rules = _rules(mains)
+    outer, inner = composite(root, host, mains, known) if known else ({}, {})
+    low = {n for n, v in outer.items() if v < min_importance}
+    for n in mains:
+        up = n
+        while up is not None:
+            low.discard(id(up))
+            up = up.parent
+    furniture = {n for n, v in inner.items() if v < min_importance}
+    branches = lambda ids: sum(1 for n in _walk(root) if id(n) in ids and not (n.parent is not None and id(n.parent) in ids)) if ids else 0
     if mains:
-        return "\n".join(_blocks(mains, rules)), removed
+        text = _blocks(mains, rules)
+        if furniture:
+            left = _blocks(mains, lambda n: rules(n) or id(n) in furniture)
+            if sum(map(len, left)) >= (1 - MAX_SHARE) * sum(map(len, text)):
+                return "\n".join(left), branches(low | furniture)
+        return "\n".join(text), branches(low)
     text = _blocks([root], lambda n: rules(n) or id(n) in low)
     if not text:
-        text, removed = _blocks([root], rules), 0
-    return "\n".join(text), removed
+        return "\n".join(_blocks([root], rules)), 0
+    return "\n".join(text), branches(low)
 
 
 def extract_text(pages: DataFrame, min_pages: int = MIN_PAGES, min_importance: float = MIN_IMPORTANCE) -> DataFrame:
     """page_id, url, text, n_chars, removed_branches (low-importance branches of the site style tree)."""
     elements = stash(page_elements(pages), "elements")
-    known = stash(importances(elements, min_pages), "importances")
+    known = stash(importances(elements, min_pages, min_importance), "importances")
     per_page = (
         elements.select("page_id", "element")
-        .join(known, "element")
+        .join(known.drop("inside").hint("merge"), "element")
         .where("page_id IS NOT NULL")
         .groupBy(F.col("page_id").alias("_p"))
         .agg(F.collect_set(F.struct("element", "presentation", "content")).alias("known"))

@@ -555,6 +555,69 @@ def test_copies_of_one_page_keep_their_text(spark):
     assert [r["text"] for r in got] == ["The same article again"]
 
 
+@pytest.mark.parametrize(
+    "body, text",
+    [
+        ('<article><p>Walk <a href="/the-hidden-valley">the valley</a></p><p title="hidden gem">A gem</p></article>', "Walk the valley\nA gem"),
+        ('<article><p data-id="menu" data-role="navigation">Kept</p></article>', "Kept"),
+        ('<article><section class="related-work">Earlier studies</section><div class="search-results-explained">How it ranks</div></article>', "Earlier studies\nHow it ranks"),
+        ('<article><p>Body</p><div class="related-posts">More</div><div class="share-buttons">Share</div><div id="cookieNotice">Yes</div></article>', "Body"),
+        ('<article><header><h1>Title</h1><p>The lead says it all.</p><p class="byline">By A</p><ul><li>tag</li></ul></header><p>Body</p></article>', "Title\nThe lead says it all.\nBody"),
+    ],
+)
+def test_names_and_headers(body, text):
+    assert html_extract.page_text(page(body), "h", {})[0] == text
+
+
+def _articles(spark, rows):
+    frame = spark.createDataFrame([(i, f"http://h.org/{i}", f"<body><article><h2>Summary</h2>{body}</article></body>") for i, body in rows], "page_id long, url string, html string")
+    return {r["page_id"]: (r["text"], r["removed_branches"]) for r in html_extract.extract_text(frame.withColumn("text", F.lit("x"))).collect()}
+
+
+def test_style_tree_decides_inside_articles(spark):
+    """The text of an article depends on what its host's other articles have."""
+    box = "<div><p>Write to the desk</p></div>"
+    varied = [(i, f"{box}<p>Story {i} tells of {i * 7} things in many words</p>") for i in range(8)]
+    got = _articles(spark, varied)
+    assert got[3] == ("Summary\nStory 3 tells of 21 things in many words", 1)
+    other = [(i, b if i == 3 else b.replace("Write to the desk", f"Note {i} of the desk")) for i, b in varied]
+    assert _articles(spark, other)[3][0] == "Summary\nWrite to the desk\nStory 3 tells of 21 things in many words"
+    # Many near copies of one article share nearly all blocks: none of them is furniture.
+    copies = [(i, "".join(f"<p>Paragraph {j} of the one article</p>" for j in range(9)) + f"<p>Printed {i}</p>") for i in range(30)]
+    assert all(t.count("\n") == 10 for t, _ in _articles(spark, copies).values())
+    # Pages with one main text count once, whatever stands around it.
+    same = [(i, varied[0][1]) for i in range(20)] + varied[1:4]
+    assert _articles(spark, same)[0][0].startswith("Summary\nWrite to the desk")
+
+
+def test_entropies_against_brute_force(spark):
+    rnd = random.Random(5)
+    rows = [(i, f"http://h{i % 2}.org/", f"<body><div class=a><p>{rnd.choice('xy')}</p></div><div class=b><p>{i % 9}</p>{'<i>z</i>' * rnd.randint(0, 1)}</div></body>") for i in range(40)]
+    frame = spark.createDataFrame([*rows, rows[0], rows[1]], "page_id long, url string, html string")
+    got = {r["element"]: r for r in html_extract.importances(html_extract.page_elements(frame)).collect()}
+    seen: dict = {}
+    for _, url, source in {r[1:]: r for r in rows}.values():
+        root = html_extract.parse(source)
+        for node, element, _ in html_extract._elements(root, html_extract.host_of(url), []):
+            seen.setdefault(element, []).append((tuple(c.name for c in html_extract._children(node)), html_extract._subtree_text(node)))
+
+    def entropy(values):
+        n = len(values)
+        return sum(-c / n * np.log(c / n) for c in (values.count(v) for v in set(values))) / np.log(n)
+
+    wanted = {e: [entropy([x[k] for x in v]) for k in (0, 1)] for e, v in seen.items() if len(v) >= html_extract.MIN_PAGES}
+    assert {int(np.int64(e).view(np.uint64)) for e in got} == set(wanted) and len(wanted) > 8
+    for e, r in got.items():
+        assert np.allclose([r["presentation"], r["content"]], wanted[int(np.int64(e).view(np.uint64))])
+
+
+def test_long_and_repeated_pages(spark):
+    long = "<article>" + "<p>many words here</p>" * 20000 + "</article>"
+    rows = [(7, "http://h.org/", long), (7, "http://h.org/", "<article><p>other</p></article>"), (None, None, "<article><p>no id</p></article>")]
+    got = html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("_p", F.lit(1)).withColumn("known", F.lit(2))).collect()
+    assert sorted(r["n_chars"] for r in got) == [5, 5, len("\n".join(["many words here"] * 20000))]
+
+
 def test_stash_is_in_the_shared_folder(spark):
     assert common.stash(spark.range(5), "t").count() == 5
     assert common.shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
