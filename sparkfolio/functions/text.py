@@ -143,13 +143,10 @@ def collapse(c: Column) -> Column:
 
 
 def overlap_tail(previous: Column, budget: Column) -> Column:
-    """The last ``budget`` characters, moved on to the next word if they begin inside one."""
-    cut = F.greatest(F.length(previous) - budget, F.lit(0))
-    tail = F.substring(previous, cut + 1, F.length(previous))
-    inside = (cut > 0) & ~F.substring(previous, cut, F.lit(1)).rlike(r"\s")
-    at = F.locate(" ", tail)
-    moved = F.when(~inside, tail).when(at > 0, F.substring(tail, at + 1, F.length(tail))).otherwise(F.lit(""))
-    return F.when(budget <= 0, F.lit("")).otherwise(F.btrim(moved))
+    """At most the last ``budget`` characters, without the part of a word that they begin in."""
+    # One character more tells whether a word is cut: it goes, and if it is of a word, so does the rest of that.
+    whole_words = F.regexp_replace(F.right(previous, budget + 1), r"^(?:\s|\S[^ ]*(?: |$))", "")
+    return F.when(budget <= 0, F.lit("")).otherwise(F.btrim(F.when(F.length(previous) <= budget, previous).otherwise(whole_words)))
 
 
 def normal_question(c: Column) -> Column:

@@ -1,23 +1,32 @@
-"""Semantic chunking of page streams, with exact page spans.
+"""Chunking of page streams as a Spark plan, with page spans that need no search.
 
-A stream (consecutive pages of one document) is one row; chunks are made stream by
-stream inside ``mapInPandas``, because the cut rule restarts its running length at every
-cut, which is a fold and not a window.  Sentence vectors come from a pluggable embedder;
-the stand-in hashes words into a fixed number of signed features.
+A stream (consecutive pages of one document) is one row.  Its text is cut into segments
+that add up to it, so that every sentence, every group of sentences and every character
+of a chunk has a known place in the text:
+
+``stream_texts`` -> ``segments`` (native) -> ``judged`` (Arrow: places and distances of
+sentences) -> ``grouped`` (native threshold and fold) -> ``pieces`` (rows) -> ``fitted``
+(Arrow only for what is too long) -> overlap, fate and pages (native, one window).
+
+Sentence vectors come from a pluggable embedder; the stand-in hashes words into signed
+features.  Rules that other operators share live in ``functions.text``.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkfolio.functions import text as T
+
 
 @dataclass(frozen=True)
 class ChunkSettings:
@@ -34,11 +43,15 @@ class ChunkSettings:
             raise ValueError("overlap < fallback size <= largest size is required")
         if self.strategy not in ("semantic", "recursive"):
             raise ValueError(f"unknown strategy {self.strategy}")
+        if self.threshold not in LIMITS:
+            raise ValueError(f"unknown threshold {self.threshold}")
 
 
-_SENTENCE = re.compile(r"(?<=[.!?])\s+|\n{2,}")
 _WORD = re.compile(r"[a-z0-9]+")
-SEPARATORS = ("\n\n", "\n", ". ", " ", "")
+#: Where long text is cut, coarsest first; where none occurs, anywhere.
+SEPARATORS = ("\n\n", "\n", ". ", " ")
+#: A sentence with what separates it from the next; all segments of a text add up to it.
+_SEGMENT = r"(?s).*?(?:(?<=[.!?])\s+|\n{2,}|\z)"
 
 
 def hashed_vectors(texts: list[str], size: int = 64) -> np.ndarray:
@@ -52,159 +65,201 @@ def hashed_vectors(texts: list[str], size: int = 64) -> np.ndarray:
     return out / np.where(norm == 0, 1, norm)
 
 
-def sentences(text: str) -> list[str]:
-    return [s.strip() for s in _SENTENCE.split(text) if s.strip()]
-
-
-def threshold_of(distances: np.ndarray, kind: str, amount: float) -> float:
-    if not len(distances):
-        return float("inf")
-    if kind == "percentile":
-        return float(np.percentile(distances, amount))
-    if kind == "standard_deviation":
-        return float(distances.mean() + amount * distances.std())
-    if kind == "interquartile":
-        low, high = np.percentile(distances, [25, 75])
-        return float(high + amount * (high - low))
-    raise ValueError(f"unknown threshold {kind}")
-
-
-def recursive_split(text: str, size: int, overlap: int, separators=SEPARATORS) -> list[str]:
-    """Pieces of at most ``size``: split at the coarsest separator that occurs, merge neighbours, keep ``overlap`` characters."""
-    separator, rest = next(((s, separators[i + 1 :]) for i, s in enumerate(separators) if s == "" or s in text), ("", ()))
-    parts = list(text) if separator == "" else [p + separator for p in text.split(separator)[:-1]] + [text.split(separator)[-1]]
-    small: list[str] = []
-    for part in parts:
-        small += [part] if len(part) <= size or not rest else recursive_split(part, size, overlap, rest)
-    pieces, held, length = [], [], 0
-    for part in small:
-        if length + len(part) > size and held:
-            pieces.append("".join(held).strip())
-            while held and (length > overlap or length + len(part) > size):
-                length -= len(held.pop(0))
-        held.append(part)
-        length += len(part)
-    pieces.append("".join(held).strip())
-    return [p for p in pieces if p]
-
-
-def semantic_split(text: str, embed: Callable[[list[str]], np.ndarray], s: ChunkSettings) -> tuple[list[str], str]:
-    """Pieces, and the strategy that made them."""
-    if len(text) <= s.fallback_chars:
-        return ([text.strip()] if text.strip() else []), "semantic"
-    parts = sentences(text)
-    if len(parts) < 3:
-        return recursive_split(text, s.fallback_chars, s.overlap_chars), "recursive"
-    try:
-        v = embed(parts)
-    except Exception:  # noqa: BLE001 - a failing model must not lose the document
-        return recursive_split(text, s.fallback_chars, s.overlap_chars), "recursive"
-    distance = 1 - (v[:-1] * v[1:]).sum(axis=1)
-    limit = threshold_of(distance, s.threshold, s.amount)
-    pieces, held, run = [], [], 0
-    for i, part in enumerate(parts):
-        held.append(part)
-        run += len(part) + 1
-        if i < len(distance) and distance[i] > limit and run >= s.min_chars:
-            pieces.append(" ".join(held))
-            held, run = [], 0
-    if held:
-        pieces.append(" ".join(held))
-    return pieces, "semantic"
-
-
-_SOLID = re.compile(r"\S+")
-_MARKS = re.compile(r"[^\w\s]|_")
-
-
-def tail(previous: str, budget: int) -> str:
-    """The whole words of the last ``budget`` characters."""
-    words = (m.start() for m in _SOLID.finditer(previous) if m.start() >= len(previous) - budget)
-    first = next(words, None) if budget > 0 else None
-    return "" if first is None else previous[first:].strip()
-
-
-def low_information(text: str) -> bool:
-    """Blank, or more than a quarter of marks."""
-    bare = text.strip()
-    return len(_MARKS.findall(bare)) > 0.25 * len(bare) or not bare
-
-
-def _squeezed(text: str) -> tuple[str, np.ndarray]:
-    """The text without white space, and where each of its characters was."""
-    at = np.array([i for i, c in enumerate(text) if not c.isspace()], dtype=np.int64)
-    return "".join(text.split()), at
-
-
-def chunk_stream(pages: list[tuple[int, str]], s: ChunkSettings, embed=hashed_vectors) -> list[dict]:
-    """Chunks of one stream: core, content, page_start, page_end, strategy and what became of each piece.
-
-    Positions ignore white space, so a piece is found exactly where it came from
-    however its sentences were joined.
-    """
-    text = "\n\n".join(c for _, c in pages)
-    starts = np.cumsum([0] + [len(c) + 2 for _, c in pages[:-1]])
-    numbers = [n for n, _ in pages]
-    if s.strategy == "recursive":
-        pieces, strategy = recursive_split(text, s.fallback_chars, s.overlap_chars), "recursive"
-    else:
-        pieces, strategy = semantic_split(text, embed, s)
-    fitting: list[str] = []
-    oversized = 0
-    for p in pieces:
-        if len(p) > s.max_chars:
-            oversized += 1
-            fitting += recursive_split(p, s.fallback_chars, s.overlap_chars)
-        else:
-            fitting.append(p)
-    squeezed, at = _squeezed(text)
-    cursor, out = 0, []
-    for j, core in enumerate(fitting):
-        before = tail(fitting[j - 1], max(0, min(s.overlap_chars, s.max_chars - len(core) - 1))) if j else ""
-        bare = "".join(core.split())
-        found = squeezed.find(bare, cursor)
-        found = found if found >= 0 else squeezed.find(bare)
-        fate = "short" if len(core.strip()) < s.min_chars else "noise" if low_information(core) else "kept"
-        if found >= 0 and bare:
-            cursor = found + 1
-            first, last = at[found], at[found + len(bare) - 1]
+# ---- spans of long text ---------------------------------------------------------------
+
+
+def _atoms(text: str, size: int, step: int) -> Iterator[tuple[int, int]]:
+    """(start, end) of parts of at most ``size``, in order, cut behind the coarsest separators that do."""
+    todo = [(0, len(text), 0)]
+    while todo:
+        start, end, level = todo.pop()
+        if end - start <= size:
+            yield start, end
+        elif level == len(SEPARATORS):
+            yield from ((i, min(i + step, end)) for i in range(start, end, step))
         else:
-            first = last = 0
-        page = lambda x: numbers[int(np.searchsorted(starts, x, side="right")) - 1]
-        out.append(
-            {"core": core, "content": f"{before} {core}".strip() if before else core, "page_start": page(first), "page_end": page(last),
-             "strategy": strategy, "fate": fate, "located": found >= 0, "oversized": oversized if j == 0 else 0}
-        )
-    return out
+            behind = [m.end() for m in re.finditer(re.escape(SEPARATORS[level]), text[start:end])]
+            edges = sorted({start, *(start + b for b in behind), end})
+            todo += [(a, b, level + 1) for a, b in zip(edges[-2::-1], edges[:0:-1], strict=True)]
 
 
-CHUNK_SCHEMA = (
-    "doc_id string, stream int, piece int, content string, core_chars int, page_start int, page_end int, strategy string, fate string, located boolean"
-)
+def long_spans(text: str, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of pieces of at most ``size``; the next one goes back by whole parts, at most ``overlap`` characters."""
+    atoms = list(_atoms(text, size, math.gcd(size, overlap) or 1))
+    spans, first = [], 0
+    for i, (_, end) in enumerate(atoms):
+        if end - atoms[first][0] > size:
+            done = atoms[i - 1][1]
+            spans.append((atoms[first][0], done))
+            first = next(j for j in range(first + 1, i + 1) if j == i or (done - atoms[j][0] <= overlap and end - atoms[j][0] <= size))
+    if atoms:
+        spans.append((atoms[first][0], atoms[-1][1]))
+    solid = [(a + len(text[a:b]) - len(text[a:b].lstrip()), a + len(text[a:b].rstrip())) for a, b in spans]
+    return [(a, b) for a, b in solid if a < b]
 
 
-def chunk_pages(streams: DataFrame, settings: ChunkSettings = ChunkSettings(), embed=hashed_vectors) -> DataFrame:
-    """Every piece of every stream with its fate; ``streams`` has doc_id, stream, page_number and content."""
-    rows = streams.groupBy("doc_id", "stream").agg(F.array_sort(F.collect_list(F.struct("page_number", "content"))).alias("pages"))
+def _spans_of(size: int, overlap: int):
+    @F.pandas_udf("array<struct<start int, end int>>")
+    def spans(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: None if t is None else [{"start": a, "end": b} for a, b in long_spans(t, size, overlap)])
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for doc_id, stream, pages in zip(batch["doc_id"], batch["stream"], batch["pages"], strict=True):
-                for j, c in enumerate(chunk_stream([(p["page_number"], p["content"]) for p in pages], settings, embed)):
-                    out.append((doc_id, stream, j, c["content"], len(c["core"]), c["page_start"], c["page_end"], c["strategy"], c["fate"], c["located"]))
-            yield pd.DataFrame(out, columns=[x.split()[0] for x in CHUNK_SCHEMA.split(", ")])
+    return spans
 
-    return rows.mapInPandas(run, CHUNK_SCHEMA)
 
+# ---- sentences, distances, threshold ----------------------------------------------------
 
-def chunk_documents(streams: DataFrame, settings: ChunkSettings = ChunkSettings(), embed=hashed_vectors) -> DataFrame:
-    """The kept chunks, numbered within their document, with location ids."""
-    from pyspark.sql import Window
 
-    from sparkfolio.functions.text import location_id
+def _judged_by(embed: Callable[[list[str]], np.ndarray]):
+    """Segments -> sentences with their start in the text and the distance to the next one (null for the last, or if the model fails)."""
+
+    @F.pandas_udf("array<struct<text string, start int, distance double>>")
+    def judged(rows: pd.Series) -> pd.Series:
+        def one(segments):
+            if segments is None:
+                return None
+            starts = np.cumsum([0, *map(len, segments)])
+            found = [(s.strip(), int(at) + len(s) - len(s.lstrip())) for s, at in zip(segments, starts[:-1], strict=True) if s.strip()]
+            distance: list = [None] * len(found)
+            if len(found) > 2:
+                try:
+                    v = np.asarray(embed([t for t, _ in found]), float)
+                    distance[:-1] = (1.0 - np.einsum("ij,ij->i", v[:-1], v[1:])).tolist()
+                except Exception:  # noqa: BLE001 - a failing model must not lose the document
+                    pass
+            return [{"text": t, "start": at, "distance": d} for (t, at), d in zip(found, distance, strict=True)]
+
+        return rows.map(one)
+
+    return judged
+
+
+def quantile(ordered: Column, share: float) -> Column:
+    """The quantile of a sorted array, interpolated between neighbours."""
+    place = F.lit(share) * (F.size(ordered) - 1)
+    low = F.floor(place).cast("int")
+    at = lambda i: F.get(ordered, F.least(i, F.size(ordered) - 1))
+    return at(low) + (place - low) * (at(low + 1) - at(low))
+
+
+def _mean(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
+
+
+#: Distance above which a sentence may end a chunk, from the sorted distances of its stream.
+LIMITS = {
+    "percentile": lambda xs, amount: quantile(xs, amount / 100),
+    "standard_deviation": lambda xs, amount: _mean(xs) + amount * F.sqrt(F.greatest(_mean(F.transform(xs, lambda x: x * x)) - _mean(xs) * _mean(xs), F.lit(0.0))),
+    "interquartile": lambda xs, amount: quantile(xs, 0.75) + amount * (quantile(xs, 0.75) - quantile(xs, 0.25)),
+}
+
+
+def _let(value: Column, body) -> Column:
+    return F.transform(F.array(value), body)[0]
+
 
+def threshold_of(distances: Column, kind: str, amount: float) -> Column:
+    """The limit of an array of distances; without any, none is above it."""
+    return F.when(F.size(distances) > 0, _let(F.array_sort(distances), lambda xs: LIMITS[kind](xs, amount))).otherwise(F.lit(float("inf")))
+
+
+def grouped(sentences: Column, limit: Column, min_chars: int) -> Column:
+    """(first, last) sentence of each chunk: one ends where the distance is above the limit and it has the characters."""
+
+    def step(state, i):
+        s = F.get(sentences, i)
+        run = state["run"] + F.length(s["text"]) + 1
+        cut = (s["distance"] > limit) & (run >= min_chars)
+        ends = F.coalesce(cut, F.lit(False)) | (i == F.size(sentences) - 1)
+        done = F.when(ends, F.concat(state["done"], F.array(F.struct(state["first"].alias("first"), i.alias("last"))))).otherwise(state["done"])
+        return F.struct(done.alias("done"), F.when(ends, i + 1).otherwise(state["first"]).alias("first"), F.when(ends, 0).otherwise(run).alias("run"))
+
+    start = F.struct(F.array().cast("array<struct<first:int,last:int>>").alias("done"), F.lit(0).alias("first"), F.lit(0).alias("run"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(sentences) - 1), start, step, lambda s: s["done"])
+
+
+# ---- the plan ---------------------------------------------------------------------------
+
+
+def stream_texts(streams: DataFrame) -> DataFrame:
+    """doc_id, stream, text (pages joined by blank lines) and ``pages`` (at: where in the text, page: its number)."""
+    rows = streams.groupBy("doc_id", "stream").agg(F.array_sort(F.collect_list(F.struct("page_number", "content"))).alias("_p"))
+    lengths = F.transform("_p", lambda p: F.length(p["content"]) + 2)
+    at = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+    return rows.select(
+        "doc_id", "stream", F.array_join(F.transform("_p", lambda p: p["content"]), "\n\n").alias("text"),
+        F.transform("_p", lambda p, i: F.struct(at(i).alias("at"), p["page_number"].alias("page"))).alias("pages"),
+    )
+
+
+def _pieces(texts: DataFrame, s: ChunkSettings, embed) -> DataFrame:
+    """One row per piece of each text: its core, where its parts come from (``map``: to, at), and how it was made."""
+    long = F.length("text") > s.fallback_chars
+    segments = F.when(long & F.lit(s.strategy == "semantic"), F.regexp_extract_all("text", F.lit(_SEGMENT), F.lit(0)))
+    rows = texts.withColumn("_s", _judged_by(embed)(segments))
+    several = F.size("_s") > 2
+    semantic = F.coalesce(several & F.get("_s", F.lit(0))["distance"].isNotNull(), F.lit(False))
+    distances = F.transform(F.slice("_s", F.lit(1), F.size("_s") - 1), lambda x: x["distance"])
+    groups = F.when(semantic, _let(threshold_of(distances, s.threshold, s.amount), lambda limit: grouped(F.col("_s"), limit, s.min_chars)))
+
+    def part(core, places):
+        return F.struct(core.alias("core"), places.alias("map"))
+
+    def of_group(g):
+        own = F.slice("_s", g["first"] + 1, g["last"] - g["first"] + 1)
+        to = lambda i: F.aggregate(F.slice(own, F.lit(1), i), F.lit(0), lambda a, x: a + F.length(x["text"]) + 1)
+        return part(F.array_join(F.transform(own, lambda x: x["text"]), " "), F.transform(own, lambda x, i: F.struct(to(i).alias("to"), x["start"].alias("at"))))
+
+    one = F.array(F.struct(F.lit(0).alias("to"), F.lit(0).alias("at")))
+    lead = F.length("text") - F.length(F.regexp_replace("text", r"(?U)^\s+", ""))
+    short = F.when(T.strip(F.col("text")) != "", F.array(part(T.strip(F.col("text")), F.array(F.struct(F.lit(0).alias("to"), lead.alias("at"))))))
+    whole = F.array(part(F.col("text"), one))
+    recursive = F.lit(s.strategy == "recursive") | (long & ~semantic)
+    made = F.when(recursive, whole).when(semantic, F.transform(groups, of_group)).otherwise(short)
+    return rows.select(
+        "doc_id", "stream", "text", "pages", F.when(recursive, "recursive").otherwise("semantic").alias("strategy"), F.posexplode(made).alias("_i", "_piece")
+    ).select("doc_id", "stream", "text", "pages", "strategy", "_i", "_piece.*")
+
+
+def chunk_pages(streams: DataFrame, settings: ChunkSettings = ChunkSettings(), embed=hashed_vectors) -> DataFrame:
+    """Every piece of every stream with its fate (kept, short, noise); ``streams`` has doc_id, stream, page_number and content.
+
+    ``located`` says that the piece, white space aside, is what the text has between its ends.
+    """
+    s = settings
+    pieces = _pieces(stream_texts(streams), s, embed)
+    too_long = F.when((F.col("strategy") == "recursive") | (F.length("core") > s.max_chars), F.col("core"))
+    spans = F.coalesce(_spans_of(s.fallback_chars, s.overlap_chars)(too_long), F.array(F.struct(F.lit(0).alias("start"), F.length("core").alias("end"))))
+    fitted = pieces.select("*", F.posexplode(spans).alias("_j", "_span"))
+
+    def place(x):
+        of = F.element_at(F.filter("map", lambda m: m["to"] <= x), -1)
+        return of["at"] + x - of["to"]
+
+    cut = fitted.select(
+        "doc_id", "stream", "pages", "strategy", "_i", "_j", "text",
+        F.substring("core", F.col("_span.start") + 1, F.col("_span.end") - F.col("_span.start")).alias("core"),
+        place(F.col("_span.start")).alias("_from"), place(F.col("_span.end") - 1).alias("_to"),
+    )
+    solid = lambda c: F.regexp_replace(c, r"(?U)\s+", "")
+    page = lambda x: F.element_at(F.filter("pages", lambda p: p["at"] <= x), -1)["page"]
+    order = Window.partitionBy("doc_id", "stream").orderBy("_i", "_j")
+    rows = cut.select(
+        "doc_id", "stream", (F.row_number().over(order) - 1).alias("piece"), F.lag("core").over(order).alias("_before"), "core",
+        page(F.col("_from")).alias("page_start"), page(F.col("_to")).alias("page_end"), "strategy",
+        (solid(F.substring("text", F.col("_from") + 1, F.col("_to") - F.col("_from") + 1)) == solid(F.col("core"))).alias("located"),
+    )
+    budget = F.greatest(F.lit(0), F.least(F.lit(s.overlap_chars), s.max_chars - F.length("core") - 1))
+    before = F.coalesce(T.overlap_tail(F.col("_before"), budget), F.lit(""))
+    fate = F.when(F.length(T.strip(F.col("core"))) < s.min_chars, "short").when(T.is_low_information(F.col("core")), "noise").otherwise("kept")
+    return rows.select(
+        "doc_id", "stream", "piece", F.when(before == "", F.col("core")).otherwise(F.concat(before, F.lit(" "), F.col("core"))).alias("content"),
+        F.length("core").alias("core_chars"), "page_start", "page_end", "strategy", fate.alias("fate"), "located",
+    )
+
+
+def chunk_documents(streams: DataFrame, settings: ChunkSettings = ChunkSettings(), embed=hashed_vectors) -> DataFrame:
+    """The kept chunks, numbered within their document, with location ids."""
     kept = chunk_pages(streams, settings, embed).where("fate = 'kept'")
     ordinal = (F.row_number().over(Window.partitionBy("doc_id").orderBy("stream", "piece")) - 1).alias("ordinal")
     numbered = kept.select("*", ordinal)
-    return numbered.select(location_id(F.col("doc_id"), F.col("page_start"), F.col("page_end"), F.col("ordinal")).alias("chunk_id"), "*")
+    return numbered.select(T.location_id(F.col("doc_id"), F.col("page_start"), F.col("page_end"), F.col("ordinal")).alias("chunk_id"), "*")
