@@ -24,10 +24,11 @@ def _checkpoint_dir(spark) -> None:
     if spark.sparkContext.getCheckpointDir() is None:
         found = spark.conf.get("spark.checkpoint.dir", None)
         if found is None:
-            import tempfile
+            from sparkfolio.sources.files import scratch
 
-            found = tempfile.mkdtemp(prefix="sparkfolio-")
-        spark.sparkContext.setCheckpointDir(found)
+            scratch(spark, "checkpoints")  # a local session gets a folder, a cluster must name one
+        else:
+            spark.sparkContext.setCheckpointDir(found)
 
 
 def greedy_survivors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -63,14 +65,13 @@ def term_statistics(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame,
     return terms, total
 
 
-def lexical_index(chunks: DataFrame, persist: bool = True) -> LexicalIndex:
-    """Postings, statistics and mean length; the postings feed all three, so they are kept (memory, then disk).
+def lexical_index(chunks: DataFrame) -> LexicalIndex:
+    """Postings, statistics and mean length, as plans.
 
-    A corpus that is asked again and again is better served from stored tables
+    A corpus that is asked again and again is served from stored tables
     (``sources.files.write_index`` and ``read_index``).
     """
     postings = term_counts(chunks)
-    postings = postings.persist() if persist else postings
     lengths = chunks.select("chunk_id", F.size(T.tokens(F.col("content"))).alias("dl"))
     terms, total = term_statistics(postings, lengths)
     return LexicalIndex(postings, terms, total.select("avgdl"))
@@ -99,17 +100,43 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def vector_search(queries: DataFrame, items: DataFrame, k: int, metadata: Column = None) -> DataFrame:
+#: Vectors of one block of queries and of one block of items.
+QUERY_BLOCK, ITEM_BLOCK = 1024, 8192
+
+
+def vector_search(queries: DataFrame, items: DataFrame, k: int, metadata: Column = None, same: bool = True) -> DataFrame:
     """query_id, item_id, score, rank: exact cosine of unit vectors; the filter comes before the ranking.
 
-    ``queries`` (query_id, q) is a stated query set that is held in blocks: it is
-    replicated to the scan of the items, whose rows are read once and never shuffled
-    before their partial top k.
+    ``queries`` (query_id, q) is a stated query set.  Blocks of it meet blocks of the
+    items; a task multiplies two of them and passes on what can be among the first
+    ``k`` of its block, with all that tie after rounding.  If both come from one table
+    (``same``), nothing finds itself.
     """
     searched = items.where(metadata) if metadata is not None else items
-    pairs = searched.join(queries, F.col("item_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "item_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score"))
-    return ranked(scored, k, F.col("item_id"))
+    n_queries, n_items = (max(1, -(-df.count() // size)) for df, size in ((queries, QUERY_BLOCK), (searched, ITEM_BLOCK)))
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.select(block("query_id", n_queries).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(n_items - 1))).alias("j"), F.col("query_id").cast("long").alias("id"), F.col("q").alias("v"))
+    right = searched.select(F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))).alias("i"), block("item_id", n_items).alias("j"), F.col("item_id").cast("long").alias("id"), "v")
+
+    def run(a, b):
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": np.empty(0, np.int64), "item_id": np.empty(0, np.int64), "score": np.empty(0)})
+        asked, found = a["id"].to_numpy(), b["id"].to_numpy()
+        x, y = (np.stack(f["v"].to_numpy()).astype(float) for f in (a, b))
+        rows, cols, scores = [], [], []
+        for s in range(0, len(x), 256):
+            score = x[s : s + 256] @ y.T
+            if same:
+                score[asked[s : s + 256, None] == found[None, :]] = -np.inf
+            least = np.partition(score, -k, axis=1)[:, -k] if k < score.shape[1] else np.full(len(score), -np.inf)
+            r, c = np.nonzero((score >= least[:, None] - 2e-6) & np.isfinite(score))
+            rows.append(asked[s + r])
+            cols.append(found[c])
+            scores.append(score[r, c])
+        return pd.DataFrame({"query_id": np.concatenate(rows), "item_id": np.concatenate(cols), "score": np.concatenate(scores)})
+
+    hits = left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInPandas(run, "query_id long, item_id long, score double")
+    return ranked(hits.withColumn("score", F.round("score", 6)), k, F.col("item_id"))
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, dense_weight: float, sparse_weight: float, known: DataFrame = None) -> DataFrame:

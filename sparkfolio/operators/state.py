@@ -34,9 +34,12 @@ def cooldown(requests: DataFrame, seconds: int = COOLDOWN_S) -> DataFrame:
 def cache_state(writes: DataFrame, now, ttl: int = TTL_S, entries: int = CACHE_ENTRIES) -> DataFrame:
     """The entries of a cache: the latest write of each key that has not expired, the newest ``entries`` of them.
 
-    ``writes``: key, stored_at (seconds), value.  ``now`` is a column or number of seconds.
+    ``writes``: key, stored_at (seconds), value.  ``now`` is a number of seconds, or a frame of one row and column that has it.
     """
     latest = writes.groupBy("key").agg(F.max(F.struct("stored_at", "value")).alias("w")).select("key", "w.stored_at", "w.value")
-    live = latest.where(F.lit(now) - F.col("stored_at") <= ttl)
-    n = F.row_number().over(Window.orderBy(F.col("stored_at").desc(), "key"))
-    return live.select("*", n.alias("_n")).where(F.col("_n") <= entries).drop("_n")
+    if isinstance(now, DataFrame):
+        at = F.col(now.columns[0])
+        live = latest.crossJoin(F.broadcast(now)).where(at - F.col("stored_at") <= ttl).drop(now.columns[0])
+    else:
+        live = latest.where(F.lit(now) - F.col("stored_at") <= ttl)
+    return live.orderBy(F.col("stored_at").desc(), "key").limit(entries)

@@ -37,9 +37,9 @@ def dd_near(spark, sf_dir):
     return survivors.join(D.absorbers(nodes, pairs, survivors), "node", "left")
 
 
-@query("jn_sim", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 500) SELECT a.vec_id AS early, b.vec_id AS late, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.35")
+@query("jn_sim", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS early, b.vec_id AS late, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.35")
 def jn_sim(spark, sf_dir):
-    return _similar(X.vectors(spark, sf_dir).where("vec_id < 500"))
+    return _similar(X.vectors(spark, sf_dir))
 
 
 @query("top_recency", f"{_C} SELECT chunk_id, row_number() OVER (ORDER BY coalesce(year, 0) DESC, doc_id, page_start, chunk_id) AS pos FROM chunks")
@@ -110,13 +110,16 @@ def snk_del_doc(spark, sf_dir):
     return X.chunks(spark, sf_dir).join(F.broadcast(gone), "doc_id", "left_anti").select("chunk_id")
 
 
-@query("src_vectors", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), n AS (SELECT count(*) AS n FROM v) SELECT vec_id, list_dot_product(v, v) >= 0.999 AS fresh FROM v, n WHERE vec_id % greatest(1, n // 3) = 0")
+@query("src_vectors", "SELECT vec_id, list_dot_product(v, CASE WHEN vec_id % 5 = 2 THEN list_reverse(v) ELSE v END) >= 0.999 AS fresh FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)")
 def src_vectors(spark, sf_dir):
-    """Stored vectors are trusted if a few samples at even strides equal fresh ones."""
-    v = X.vectors(spark, sf_dir)
-    n = v.agg(F.count("*").alias("n"))
-    picked = v.crossJoin(F.broadcast(n)).where(F.col("vec_id") % F.greatest(F.lit(1), F.floor(F.col("n") / 3)) == 0)
-    return picked.select("vec_id", (R.dot(F.col("v"), F.col("v")) >= 0.999).alias("fresh"))
+    """Stored vectors that differ from fresh ones are stale; every fifth is stored from an older model (its elements reversed)."""
+    from sparkfolio.sources.files import scratch
+
+    path = scratch(spark, "vectors")
+    v = X.vectors(spark, sf_dir).select("vec_id", "v")
+    v.withColumn("v", F.when(F.col("vec_id") % 5 == 2, F.reverse("v")).otherwise(F.col("v"))).write.parquet(path)
+    stored = spark.read.parquet(path).select("vec_id", F.col("v").alias("old"))
+    return v.join(stored, "vec_id").select("vec_id", (R.dot(F.col("v"), F.col("old")) >= 0.999).alias("fresh"))
 
 
 # ---- corpus boundary ----------------------------------------------------------------

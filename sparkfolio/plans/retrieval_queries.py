@@ -21,9 +21,24 @@ bm AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (
 sparse AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM bm b JOIN chunks USING (chunk_id)) WHERE rank <= 12)"""
 
 
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def index(spark, sf_dir) -> R.LexicalIndex:
+    """The lexical index of the corpus: built and stored on first use in a session, then read."""
+    from sparkfolio.sources.files import read_index, scratch, write_index
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _indexes:
+        folder = scratch(spark, "index")
+        write_index(R.lexical_index(X.chunks(spark, sf_dir)), folder)
+        _indexes[key] = folder
+    return read_index(spark, _indexes[key])
+
+
 def sparse(spark, sf_dir, k: int = 12):
     chunks = X.chunks(spark, sf_dir)
-    hits = R.bm25(X.questions(spark, sf_dir), R.lexical_index(chunks)).join(chunks.select("chunk_id", "pos"), "chunk_id")
+    hits = R.bm25(X.questions(spark, sf_dir), index(spark, sf_dir)).join(chunks.select("chunk_id", "pos"), "chunk_id")
     return R.ranked(hits, k, F.col("pos"))
 
 
@@ -34,26 +49,26 @@ def bm25_topk(spark, sf_dir):
 
 @query("flt_posscore", f"{_BM} SELECT query_id, count(*) AS n_hits FROM bm GROUP BY 1")
 def flt_posscore(spark, sf_dir):
-    return R.bm25(X.questions(spark, sf_dir), R.lexical_index(X.chunks(spark, sf_dir))).groupBy("query_id").agg(F.count("*").alias("n_hits"))
+    return R.bm25(X.questions(spark, sf_dir), index(spark, sf_dir)).groupBy("query_id").agg(F.count("*").alias("n_hits"))
 
 
 @query("agg_df", f"{_BM} SELECT token, df, round(idf, 6) AS idf FROM terms")
 def agg_df(spark, sf_dir):
-    return R.lexical_index(X.chunks(spark, sf_dir)).terms.select("token", "df", F.round("idf", 6).alias("idf"))
+    return index(spark, sf_dir).terms.select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("jn_term", f"{_BM} SELECT query_id, token, count(*) AS n_chunks FROM q JOIN tf USING (token) GROUP BY 1, 2")
 def jn_term(spark, sf_dir):
-    postings = R.term_counts(X.chunks(spark, sf_dir))
+    postings = index(spark, sf_dir).postings
     return R.term_counts(X.questions(spark, sf_dir), "query_id", "question").select("query_id", "token").join(postings, "token").groupBy("query_id", "token").agg(F.count("*").alias("n_chunks"))
 
 
 _VEC = "v AS (SELECT vec_id, embedding::DOUBLE[] AS v, label FROM embeddings)"
-_KNN = f"""WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id < 20 AND a.vec_id <> b.vec_id),
+_KNN = f"""WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.label, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
 knn AS (SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 12)"""
 
 
-def knn(spark, sf_dir, k: int = 12, metadata=None, asked: str = "vec_id < 20"):
+def knn(spark, sf_dir, k: int = 12, metadata=None, asked: str = "vec_id % 50 = 0"):
     v = X.vectors(spark, sf_dir)
     items = v.select(F.col("vec_id").alias("item_id"), "v", "doc")
     return R.vector_search(v.where(asked).select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), items, k, metadata)
@@ -64,7 +79,7 @@ def vec_knn(spark, sf_dir):
     return knn(spark, sf_dir)
 
 
-@query("flt_meta", f"WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id < 20 AND a.vec_id <> b.vec_id AND b.label IN (1, 3)) SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 5")
+@query("flt_meta", f"WITH {_VEC}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id AND b.label IN (1, 3)) SELECT query_id, item_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, item_id) AS rank FROM s QUALIFY rank <= 5")
 def flt_meta(spark, sf_dir):
     return knn(spark, sf_dir, 5, F.col("doc").isin(1, 3))
 
@@ -92,7 +107,7 @@ def vec_ann_check(spark, sf_dir):
     asked = keyed.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "bucket")
     pairs = keyed.join(asked, "bucket").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item_id"), F.round(R.dot(F.col("v"), F.col("q")), 6).alias("score")).distinct()
     near = R.ranked(pairs, 5, F.col("item_id"))
-    hit = knn(spark, sf_dir, 5, asked="vec_id % 50 = 0").select("query_id", "item_id").join(near.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")
+    hit = knn(spark, sf_dir, 5).select("query_id", "item_id").join(near.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")
     return hit.groupBy("query_id").agg((F.coalesce(F.sum("hit"), F.lit(0)) / F.lit(5)).alias("recall"))
 
 
@@ -107,15 +122,25 @@ def set_intersect(spark, sf_dir):
     return a.join(b, "query_id", "left").select("query_id", F.size(F.array_intersect("a", F.coalesce("b", F.array().cast("array<bigint>")))).cast("long").alias("common"))
 
 
-#: Dense hits for fusion: questions and chunks paired by a deterministic stand-in score.
-_DENSE_SQL = """dense AS (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-  SELECT query_id, chunk_id, round(('0x' || substr(md5(query_id || '|' || chunk_id), 1, 6))::BIGINT / 16777216.0::DOUBLE, 6) AS score FROM questions, chunks) QUALIFY rank <= 12)"""
+#: Dense hits for fusion: the table's vectors stand for those of chunks (by doc_id) and of questions (every seventh).
+_DENSE_SQL = """nv AS (SELECT count(*) AS n FROM embeddings), dv AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings),
+qk AS MATERIALIZED (SELECT query_id, (query_id * 7 + 3) % n AS vec_id FROM questions, nv), ck AS MATERIALIZED (SELECT chunk_id, pos, pos % n AS vec_id FROM chunks, nv),
+qv AS MATERIALIZED (SELECT query_id, v FROM qk JOIN dv USING (vec_id)), cv AS MATERIALIZED (SELECT chunk_id, pos, v FROM ck JOIN dv USING (vec_id)),
+dense AS MATERIALIZED (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM (
+  SELECT query_id, chunk_id, pos, round(list_dot_product(qv.v, cv.v), 6) AS score FROM qv, cv) QUALIFY rank <= 12)"""
 
 
 def dense(spark, sf_dir, k: int = 12):
-    score = F.round(F.conv(F.substring(F.md5(F.concat_ws("|", F.col("query_id").cast("string"), "chunk_id").cast("binary")), 1, 6), 16, 10).cast("long") / F.lit(16777216.0), 6)
-    pairs = X.chunks(spark, sf_dir).select("chunk_id").join(X.questions(spark, sf_dir).select("query_id"))
-    return R.ranked(pairs.withColumn("score", score), k, F.col("chunk_id"))
+    """Exact vector search of all questions among all chunks."""
+    v = X.vectors(spark, sf_dir)
+    v = v.crossJoin(F.broadcast(v.agg(F.count("*").alias("n"))))  # one row
+    n = v.select(F.col("n").alias("_n")).limit(1)
+    of = lambda rows, key, place: rows.crossJoin(F.broadcast(n)).withColumn("vec_id", F.pmod(place, F.col("_n"))).join(v.select("vec_id", "v"), "vec_id").select(key, "v")
+    chunks = X.chunks(spark, sf_dir).select("chunk_id", "pos")
+    items = of(chunks, F.col("pos").alias("item_id"), F.col("pos"))
+    asked = of(X.questions(spark, sf_dir), "query_id", F.col("query_id") * 7 + 3).withColumnRenamed("v", "q")
+    hits = R.vector_search(asked, items, k, same=False)
+    return hits.join(chunks, F.col("item_id") == F.col("pos")).select("query_id", "chunk_id", "score", "rank")
 
 
 _FUSED = f"""{_BM}, {_DENSE_SQL}, fused AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fusion_score DESC, chunk_id) AS fused_rank FROM (
@@ -161,7 +186,7 @@ _ALLOWED = f"{_BM}, a AS (SELECT b.*, row_number() OVER (PARTITION BY query_id O
 def flt_allowed(spark, sf_dir):
     """Lexical search restricted to allowed documents before the ranking, so nothing is lost to over-fetching."""
     chunks = X.chunks(spark, sf_dir)
-    hits = R.bm25(X.questions(spark, sf_dir), R.lexical_index(chunks)).join(chunks.where("year >= 2020").select("chunk_id", "pos"), "chunk_id")
+    hits = R.bm25(X.questions(spark, sf_dir), index(spark, sf_dir)).join(chunks.where("year >= 2020").select("chunk_id", "pos"), "chunk_id")
     return R.ranked(hits, 12, F.col("pos")).select("query_id", "chunk_id", "score", "rank")
 
 
@@ -284,9 +309,10 @@ def emb_doc(spark, sf_dir):
     return v.select("chunk_id", F.size("vector").alias("size"), F.round(F.sqrt(R.dot(F.col("vector").cast("array<double>"), F.col("vector").cast("array<double>"))), 4).alias("norm"))
 
 
-@query("rr_cross", f"WITH {X.CHUNKS_SQL}, {X.QUESTIONS_SQL} SELECT query_id, chunk_id, {_REL} AS relevance FROM questions JOIN chunks ON contains(content, question)")
+@query("rr_cross", f"{_fused_sql(0.5, 0.5)} SELECT query_id, chunk_id, {_REL} AS relevance FROM fused JOIN questions USING (query_id) JOIN chunks USING (chunk_id)")
 def rr_cross(spark, sf_dir):
-    pairs = X.chunks(spark, sf_dir).join(F.broadcast(X.questions(spark, sf_dir)), F.contains("content", "question"))
+    """Relevance of every fused candidate to its question."""
+    pairs = fused(spark, sf_dir, 0.5, 0.5).join(X.questions(spark, sf_dir), "query_id").join(X.chunks(spark, sf_dir), "chunk_id")
     return pairs.select("query_id", "chunk_id", R.lexical_relevance(F.col("question"), F.col("content")).alias("relevance"))
 
 
@@ -297,11 +323,13 @@ def jn_vocab(spark, sf_dir):
 
 
 query("bm25", f"{_BM} SELECT query_id, chunk_id, floor(score * 10000 + 0.333)::BIGINT AS score_e4 FROM bm")(
-    lambda spark, sf_dir: R.bm25(X.questions(spark, sf_dir), R.lexical_index(X.chunks(spark, sf_dir))).select("query_id", "chunk_id", F.floor(F.col("score") * 10000 + 0.333).alias("score_e4"))
+    lambda spark, sf_dir: R.bm25(X.questions(spark, sf_dir), index(spark, sf_dir)).select("query_id", "chunk_id", F.floor(F.col("score") * 10000 + 0.333).alias("score_e4"))
 )
 query("top_sparse", f"{_BM} SELECT query_id, chunk_id, rank FROM sparse WHERE rank <= 5")(lambda spark, sf_dir: sparse(spark, sf_dir, 5).select("query_id", "chunk_id", "rank"))
 query("top_dense", f"{_KNN} SELECT query_id, item_id, rank FROM knn WHERE rank <= 5")(lambda spark, sf_dir: knn(spark, sf_dir, 5).select("query_id", "item_id", "rank"))
-query("jn_knn", f"{_KNN} SELECT query_id, count(*) AS n FROM s GROUP BY 1")(lambda spark, sf_dir: knn(spark, sf_dir, 10**9).groupBy("query_id").agg(F.count("*").alias("n")))
+query("jn_knn", f"{_KNN} SELECT query_id, item_id, label, score FROM knn JOIN v ON vec_id = item_id")(
+    lambda spark, sf_dir: knn(spark, sf_dir).join(X.vectors(spark, sf_dir).select(F.col("vec_id").alias("item_id"), F.col("doc").alias("label")), "item_id").select("query_id", "item_id", "label", "score")
+)
 query("win_rank", f"WITH {X.CHUNKS_SQL}, {X.QUESTIONS_SQL}, {_DENSE_SQL} SELECT query_id, chunk_id, rank FROM dense")(lambda spark, sf_dir: dense(spark, sf_dir).select("query_id", "chunk_id", "rank"))
 
 

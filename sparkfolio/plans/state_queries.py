@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Window
@@ -12,6 +11,7 @@ from sparkfolio.functions import text as T
 from sparkfolio.operators import state as S
 from sparkfolio.registry import query
 from sparkfolio.sources import fixtures as X
+from sparkfolio.sources.files import scratch
 
 _R = "req AS (SELECT event_id, ts, user_id AS session_id, value AS latency_ms, event_type = 'error' AS failed, event_type FROM events)"
 
@@ -50,7 +50,8 @@ def writes(spark, sf_dir):
 
 
 def _now(rows):
-    return rows.agg(F.max("stored_at")).first()[0]
+    """One row: the time of the last write."""
+    return rows.agg(F.max("stored_at").alias("_now"))
 
 
 @query("st_cache", f"WITH {_WRITES} SELECT key, stored_at, value FROM latest, now WHERE t - stored_at <= 864000 QUALIFY row_number() OVER (ORDER BY stored_at DESC, key) <= 256")
@@ -62,7 +63,7 @@ def st_cache(spark, sf_dir):
 @query("flt_ttl", f"WITH {_WRITES} SELECT key, t - stored_at <= 86400 AS fresh FROM latest, now")
 def flt_ttl(spark, sf_dir):
     w = writes(spark, sf_dir)
-    return w.groupBy("key").agg(F.max("stored_at").alias("s")).select("key", (F.lit(_now(w)) - F.col("s") <= 86_400).alias("fresh"))
+    return w.groupBy("key").agg(F.max("stored_at").alias("s")).crossJoin(F.broadcast(_now(w))).select("key", (F.col("_now") - F.col("s") <= 86_400).alias("fresh"))
 
 
 @query("win_evict", f"WITH {_WRITES} SELECT key FROM latest QUALIFY row_number() OVER (ORDER BY stored_at DESC, key) > 256")
@@ -71,20 +72,21 @@ def win_evict(spark, sf_dir):
     return latest.select("key", F.row_number().over(Window.orderBy(F.col("s").desc(), "key")).alias("n")).where("n > 256").select("key")
 
 
-@query("src_qlog", "SELECT conv_id, turn, CASE WHEN length(q) > 500 THEN substr(q, 1, 500) || '...[truncated]' ELSE q END AS question FROM (SELECT conv_id, turn, translate(text, '0123456789@', '') AS q FROM conversations)")
-def src_qlog(spark, sf_dir):
-    """A question log written as JSON lines and read back: redacted, cut, malformed lines skipped."""
-    from sparkfolio.sources.files import append_query_log
+_LOG_SQL = r"regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+', '[email]', 'g'), '(^|[^\p{L}\p{N}_])[1-9][0-9]{12,}\b', '\1[number]', 'g')"
 
-    path = f"{_shared(spark)}/query-log-{uuid.uuid4().hex}"
-    rows = X.table(spark, sf_dir, "conversations").select("conv_id", "turn", T.redact(F.translate("text", "0123456789@", "")).alias("question"))
-    append_query_log(rows, path)
-    append_query_log(spark.createDataFrame([("not json",)], "value string").select(F.lit(None).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("turn"), F.lit(None).cast("string").alias("question")), path)
-    return spark.read.schema("conv_id long, turn long, question string").json(path, mode="DROPMALFORMED").where("conv_id IS NOT NULL")
 
+@query("src_qlog", f"SELECT conv_id, turn, CASE WHEN length(q) > 500 THEN substr(q, 1, 500) || '...[truncated]' ELSE q END AS question FROM (SELECT conv_id, turn, {_LOG_SQL.replace('text', 't', 1)} AS q FROM (SELECT conv_id, turn, 'ask a' || conv_id || '@mail.org or 1234567890123' || turn || ': ' || text AS t FROM conversations))")
+def src_qlog(spark, sf_dir):
+    """A question log written as JSON lines and read back: redacted, cut, broken lines skipped."""
+    from sparkfolio.sources.files import append_query_log, read_query_log
 
-def _shared(spark) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkfolio-")
+    path = scratch(spark, "query-log")
+    asked = F.concat(F.lit("ask a"), F.col("conv_id"), F.lit("@mail.org or 1234567890123"), F.col("turn"), F.lit(": "), F.col("text"))
+    rows = X.table(spark, sf_dir, "conversations").select(T.redact(asked).alias("question"), F.concat_ws("/", "conv_id", "turn").alias("rewritten"), F.lit("hybrid").alias("mode"))
+    append_query_log(rows, path)
+    spark.createDataFrame([("not json",), ('{"question": ["cut off',)], "value string").write.mode("append").text(path)
+    key = F.split("rewritten", "/")
+    return read_query_log(spark, path).select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "question")
 
 
 @query("src_jsonl", f"WITH {X.RAW_PAGES_SQL} SELECT doc_id, page_number, title, year, content FROM raw_pages")
@@ -92,7 +94,7 @@ def src_jsonl(spark, sf_dir):
     """Page records written as JSON lines and read back under the declared schema."""
     from sparkfolio.sources.files import read_records, write_records
 
-    path = f"{_shared(spark)}/records-{uuid.uuid4().hex}"
+    path = scratch(spark, "records")
     write_records(X.raw_pages(spark, sf_dir), path)
     return read_records(spark, path).select("doc_id", "page_number", "title", "year", "content")
 
@@ -103,7 +105,7 @@ def src_manifest(spark, sf_dir):
     from sparkfolio.operators.pages import document_report
     from sparkfolio.sources.files import read_manifest, write_manifest
 
-    path = f"{_shared(spark)}/manifest-{uuid.uuid4().hex}"
+    path = scratch(spark, "manifest")
     write_manifest(document_report(X.raw_pages(spark, sf_dir)).select("doc_id", "n_pages"), path)
     return read_manifest(spark, path).select("doc_id", "n_pages")
 
@@ -114,7 +116,7 @@ def src_sparse(spark, sf_dir):
     from sparkfolio.operators.retrieval import lexical_index
     from sparkfolio.sources.files import read_index, write_index
 
-    path = f"{_shared(spark)}/index-{uuid.uuid4().hex}"
+    path = scratch(spark, "index")
     write_index(lexical_index(X.chunks(spark, sf_dir)), path)
     return read_index(spark, path).terms.select("token", "df")
 
@@ -124,21 +126,31 @@ def snk_vector(spark, sf_dir):
     """Vectors upserted by document: the partition of document 3 is replaced, the others stay."""
     from sparkfolio.sources.files import upsert_vectors
 
-    path = f"{_shared(spark)}/vectors-{uuid.uuid4().hex}"
+    path = scratch(spark, "vectors")
     v = X.vectors(spark, sf_dir).select("vec_id", "v", F.col("doc").alias("doc_id"))
     upsert_vectors(spark, v, path)
     upsert_vectors(spark, v.where("vec_id < 2").withColumn("doc_id", F.lit(3)), path)
     return spark.read.parquet(path).groupBy(F.col("doc_id").alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("src_pdf", "SELECT page_id, page_id AS found FROM pages")
+@query(
+    "src_pdf",
+    "SELECT page_id, CASE WHEN page_id % 7 = 0 THEN 0 ELSE len(string_split(html, '<p>')) END AS n_pages, CASE WHEN page_id % 7 = 0 THEN 0 ELSE length(replace(html, '<p>', '')) END::BIGINT AS n_chars, page_id % 7 = 0 AS failed, "
+    "page_id % 7 <> 0 AND length(replace(html, '<p>', '')) / len(string_split(html, '<p>')) < 200 AS needs_ocr FROM pages",
+)
 def src_pdf(spark, sf_dir):
-    """Documents (html) extracted one by one by a pluggable extractor; a failing one yields an error row, not a failure."""
+    """Documents (html, one page to each ``<p>``) extracted whole by a pluggable extractor; a broken one yields an error row and stops nothing."""
     from sparkfolio.sources.files import extract
 
-    files = X.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), F.encode("html", "UTF-8").alias("content"))
-    made = extract(files, lambda raw: raw.decode("utf-8").split("<p>")[:1])
-    return made.groupBy("path").agg(F.count("*").alias("n")).select(F.col("path").cast("long").alias("page_id"), F.col("path").cast("long").alias("found"))
+    def pages_of(raw):
+        if raw.startswith(b"%broken"):
+            raise ValueError("not a document")
+        return raw.decode("utf-8").split("<p>")
+
+    content = F.when(F.col("page_id") % 7 == 0, F.encode(F.concat(F.lit("%broken"), "html"), "UTF-8")).otherwise(F.encode("html", "UTF-8"))
+    made = extract(X.table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("path"), content.alias("content")), pages_of)
+    per = made.groupBy("path").agg(F.count("page_number").alias("n_pages"), F.coalesce(F.sum(F.length("content")), F.lit(0)).alias("n_chars"), F.bool_or(F.col("error").isNotNull()).alias("failed"))
+    return per.select(F.col("path").cast("long").alias("page_id"), "n_pages", "n_chars", "failed", (~F.col("failed") & (F.col("n_chars") / F.col("n_pages") < 200)).alias("needs_ocr"))
 
 
 def _run(stream, spark, mode: str, store: str | None = None):
@@ -146,7 +158,7 @@ def _run(stream, spark, mode: str, store: str | None = None):
     name = f"s{uuid.uuid4().hex}"
     if store:
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
-    where = f"{_shared(spark)}/stream-{name}"
+    where = scratch(spark, "stream")
     run = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.table(name)
@@ -200,7 +212,7 @@ def src_gold(spark, sf_dir):
     """A gold set written as one nested JSON document and read back under its schema."""
     from sparkfolio.sources.files import read_gold
 
-    path = f"{_shared(spark)}/gold-{uuid.uuid4().hex}"
+    path = scratch(spark, "gold")
     even = F.col("item_id") % 2 == 0
     source = F.struct(F.lit("doc-1").alias("doc_id"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"), F.lit("q").alias("quote"))
     q = F.struct(F.col("item_id").cast("string").alias("id"), F.col("text").alias("question"), even.alias("answerable"), F.when(even, F.array(source)).otherwise(F.slice(F.array(source), 1, 0)).alias("sources"))
@@ -212,20 +224,40 @@ def src_gold(spark, sf_dir):
 def src_chunks(spark, sf_dir):
     from sparkfolio.sources.files import read_chunks, write_records
 
-    path = f"{_shared(spark)}/chunks-{uuid.uuid4().hex}"
+    path = scratch(spark, "chunks")
     write_records(X.chunks(spark, sf_dir), path)
     return read_chunks(spark, path).select("chunk_id", "doc_id", "page_end", "content")
 
 
-@query("src_glob", "SELECT 3 AS n_files")
+@query("src_glob", "SELECT 3 AS n_files, 0 AS n_other, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM documents")
 def src_glob(spark, sf_dir):
-    """Top-level files of one pattern only, in the order of their paths."""
+    """Top-level files of one pattern only: other suffixes and files in sub-folders are left out."""
     from sparkfolio.sources.files import corpus_files
 
-    path = f"{_shared(spark)}/corpus-{uuid.uuid4().hex}"
-    for folder in ("", "/inner"):
-        spark.range(0, 3, 1, 3).selectExpr("CAST(id AS string) AS value").write.mode("append").text(path + folder)
-    return corpus_files(spark, path, "part-*.txt").where(F.col("length") > 0).agg(F.least(F.count("*"), F.lit(3)).cast("int").alias("n_files"))
+    path = scratch(spark, "corpus")
+    docs = X.table(spark, sf_dir, "documents").select(F.to_json(F.struct("text")).alias("value"))
+    docs.repartition(3).write.text(path)
+    docs.limit(10).repartition(2).write.text(f"{path}/inner")
+    docs.limit(10).select("value").repartition(2).write.mode("append").json(path)
+    found = corpus_files(spark, path, "part-*.txt")
+    other = found.where(~F.col("path").endswith(".txt") | F.col("path").contains("/inner/")).agg(F.count("*").cast("int").alias("n_other"))
+    lines = found.select(F.explode(F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n")).alias("line"))
+    rows = lines.select(F.from_json("line", "text string")["text"].alias("text"))
+    n = found.where(F.length("content") > 0).agg(F.count("*").cast("int").alias("n_files"))
+    return n.crossJoin(other).crossJoin(rows.agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars")))
+
+
+@query("src_cmanifest", "SELECT 'missing' AS state, 0 AS n_documents UNION ALL SELECT 'not an object', 0 UNION ALL SELECT 'broken', 0 UNION ALL SELECT 'good', count(*)::INT FROM documents")
+def src_cmanifest(spark, sf_dir):
+    """A manifest that is missing, broken or no object is an empty one."""
+    from sparkfolio.sources.files import read_manifest, write_manifest
+
+    paths = {name: scratch(spark, "manifest") for name in ("missing", "not an object", "broken", "good")}
+    for name, text in (("not an object", "[1, 2]"), ("broken", '{"documents": [')):
+        spark.createDataFrame([(text,)], "value string").coalesce(1).write.text(paths[name])
+    write_manifest(X.table(spark, sf_dir, "documents").select("doc_id", "n_chars"), paths["good"])
+    counts = [read_manifest(spark, p).agg(F.count("*").cast("int").alias("n_documents")).select(F.lit(name).alias("state"), "n_documents") for name, p in paths.items()]
+    return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
 @query("src_cmanifest", "SELECT 0 AS n_documents")
@@ -233,7 +265,7 @@ def src_cmanifest(spark, sf_dir):
     """A missing manifest is an empty one."""
     from sparkfolio.sources.files import read_manifest
 
-    return read_manifest(spark, f"{_shared(spark)}/missing-{uuid.uuid4().hex}").agg(F.count("*").cast("int").alias("n_documents"))
+    return read_manifest(spark, scratch(spark, "missing")).agg(F.count("*").cast("int").alias("n_documents"))
 
 
 @query("st_log", "SELECT count(*) AS n FROM events")
@@ -241,7 +273,7 @@ def st_log(spark, sf_dir):
     """The query log as a streaming file sink."""
     from sparkfolio.streaming import requests as Q
 
-    path = f"{_shared(spark)}/log-{uuid.uuid4().hex}"
+    path = scratch(spark, "log")
     Q.append_log(Q.request_stream(spark, sf_dir), path, f"{path}-checkpoint").awaitTermination()
     return spark.read.json(path).agg(F.count("*").alias("n"))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +23,17 @@ GOLD_SCHEMA = (
 )
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the driver and all executors share; a local session without one gets a folder of its own."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not shared:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        shared = tempfile.mkdtemp(prefix="sparkfolio-")
+        spark.sparkContext.setCheckpointDir(shared)
+    return f"{shared}/{name}-{uuid.uuid4().hex}"
+
+
 def corpus_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """Files of a folder, top level only, with their digest; sub-folders are left out on purpose."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)
