@@ -18,7 +18,8 @@ and members outside a group's largest component meet the others that the size of
 and the place of the shared shingle leave possible.  Copies in one
 component are thus never paired with each other, and no partner or candidate is
 capped; many different texts around one shared passage don't meet, as their rare
-shingles differ.  Verification compares the sets of shingles of both texts.
+shingles differ.  Verification compares the weighted sets of shingles of both texts: as
+weights are counts, they are plain sets of numbered occurrences.
 
 All groups are spread: a leader's group is salted by its size, hot keys only meet in
 plain sort-merge joins (which adaptive execution splits) or in aggregates with
@@ -40,6 +41,8 @@ from .common import WS_CHARS, map_batches, stash
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
+#: ``count``: a shingle weighs as often as it occurs; ``set``: every different one weighs 1.
+WEIGHTS = "count"
 #: Bands and rows: a pair at similarity 0.8 is missed with a probability of 3e-5.
 BANDS, ROWS = 34, 6
 #: Texts are taken in blocks of about so many bytes: this bounds memory.
@@ -136,6 +139,21 @@ def shingle_sets(texts: list[str], k: int = SHINGLE_WORDS) -> tuple[np.ndarray,
     return value[at], np.diff(np.r_[at, len(value)]), doc[at]
 
 
+def element_sets(texts: list[str], weights: str) -> tuple[np.ndarray, np.ndarray]:
+    """Elements and text numbers of plain sets whose Jaccard similarity is that of the weighted ones, sorted by text and element.
+
+    With ``count`` a shingle is there once for each of its occurrences, numbered.
+    """
+    element, count, doc = shingle_sets(texts)
+    if weights == "set" or not len(element) or count.max() == 1:
+        return element, doc
+    row = np.repeat(np.arange(len(element)), count)
+    nth = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(_U)
+    value = np.where(nth == 0, element[row], mix64(element[row] + nth * _U(_BASE)))
+    order = np.lexsort((value, doc[row]))
+    return value[order], doc[row][order]
+
+
 _POISSON = np.cumsum(np.exp(-1.0) / np.cumprod(np.r_[1.0, np.arange(1.0, 20.0)]))
 
 
@@ -229,8 +247,8 @@ def most_apart(k: int, threshold: float) -> float:
     return k * p + DEVIATIONS * (k * p * (1 - p)) ** 0.5
 
 
-def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weights: str = "set") -> DataFrame:
-    """doc_id, hash (SHA-256 of the text), n (shingles), keys (band keys; null without shingles), bits (of the signature); null texts are left out.
+def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weights: str = WEIGHTS) -> DataFrame:
+    """doc_id, hash (SHA-256 of the text), n (their weight), keys (band keys; null without shingles), bits (of the signature); null texts are left out.
 
     ``weights``: ``set`` gives every distinct shingle weight 1 (Jaccard similarity),
     ``count`` its number of occurrences (weighted Jaccard similarity).
@@ -242,7 +260,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weights: str
             for block in _blocks(batch["text"].tolist()):
                 element, count, doc = shingle_sets(block)
                 weight = np.ones(len(element)) if weights == "set" else count.astype(float)
-                own = np.bincount(doc, minlength=len(block))
+                own = np.bincount(doc, weights=weight, minlength=len(block)).astype(np.int64)
                 signature = dart_minhash(element, weight, doc, len(block), bands * rows)
                 found = band_keys(signature, bands, rows).view(np.int64)
                 sizes += own.tolist()
@@ -256,8 +274,8 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, weights: str
     return map_batches(named, run, "doc_id long, hash binary, n long, keys array<long>, bits array<long>")
 
 
-def verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have at least that Jaccard similarity.
+def verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, weights: str = WEIGHTS) -> DataFrame:
+    """The pairs (a, b) whose sets of shingles, weighted alike, have at least that Jaccard similarity.
 
     ``texts``: doc_id, text.  All ``b`` of one ``a`` are streamed past its set; an
     ``a`` with many is dealt out to groups of about ``GROUP``.
@@ -279,7 +297,7 @@ def verify_pairs(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFr
             out = []
             done = 0
             for block in _blocks(batch["text"].tolist()):
-                element, _, doc = shingle_sets(block)
+                element, doc = element_sets(block, weights)
                 at = np.searchsorted(doc, np.arange(len(block) + 1))
                 rows = batch.iloc[done : done + len(block)]
                 for i, (a, role, b) in enumerate(zip(rows["a"], rows["role"], rows["b"], strict=True)):
@@ -350,7 +368,7 @@ def components(edges: DataFrame) -> DataFrame:
             return found
 
 
-def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, weights: str) -> DataFrame:
     """Pairs (a < b) across components that share a rare prefix shingle.
 
     Two sets of similarity t or more share one of the first ``n - ceil(t n) + 1``
@@ -363,7 +381,7 @@ def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float) -> Dat
             ids, shingles = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             done = 0
             for block in _blocks(batch["text"].tolist()):
-                element, _, doc = shingle_sets(block)
+                element, doc = element_sets(block, weights)
                 ids.append(batch["doc_id"].to_numpy()[done : done + len(block)][doc])
                 shingles.append(element.view(np.int64))
                 done += len(block)
@@ -458,7 +476,7 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     bands: int = BANDS,
     rows: int = ROWS,
-    weights: str = "set",
+    weights: str = WEIGHTS,
 ) -> DataFrame:
     """doc_id, class_id (the least doc_id of its class), copies (byte-equal texts), one row per document."""
     sketch = stash(sketches(docs, bands, rows, weights), "sketches")
@@ -478,7 +496,7 @@ def near_duplicates(
         docs.where(F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(wanted.hint("merge"), "doc_id", "left_semi"), "texts"
     )
     starred = members.where("rep <> leader").groupBy(F.col("rep").alias("b")).agg(F.min("leader").alias("a"))
-    links = stash(verify_pairs(stash(starred.select("a", "b"), "pairs"), texts, threshold).distinct(), "links")
+    links = stash(verify_pairs(stash(starred.select("a", "b"), "pairs"), texts, threshold, weights).distinct(), "links")
     found = components(links)
     far = most_apart(bands * rows, threshold)
     bits = reps.select(F.col("rep").alias("_rep"), "bits")
@@ -496,7 +514,7 @@ def near_duplicates(
         pairs = stash(pairs, "pairs")
         if pairs.isEmpty():
             return False
-        more = stash(verify_pairs(pairs, texts, threshold), "links")
+        more = stash(verify_pairs(pairs, texts, threshold, weights), "links")
         if more.isEmpty():
             return False
         links = stash(links.unionByName(more).distinct(), "links")
@@ -507,7 +525,7 @@ def near_duplicates(
     if extend(_drawn(inside, largest, threshold, far)):
         inside, largest = labelled(found)
     alone = stash(inside.groupBy("rep").agg(F.first("n").alias("n"), F.first("comp").alias("comp")), "open")
-    extend(_prefix_pairs(alone, texts, threshold))
+    extend(_prefix_pairs(alone, texts, threshold, weights))
     classes = stash(
         reps.join(found, F.col("rep") == F.col("node"), "left").select(
             F.col("hash").alias("_h"), F.coalesce("root", "rep").alias("class_id"), "copies"

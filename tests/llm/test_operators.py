@@ -5,6 +5,7 @@ import itertools
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -290,10 +291,41 @@ def near_rows():
 
 def test_near_duplicates_against_brute_force(spark):
     rows = near_rows()
-    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(docs(spark, rows)).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(docs(spark, rows), weights="set").collect()}
     assert got == classes(rows)
 
 
+def weighted_classes(rows, threshold=0.8):
+    parent = {i: i for i, t, _ in rows}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    def bag(text):
+        w = text.split()
+        return Counter([tuple(w)] if 0 < len(w) < 5 else zip(*(w[k:] for k in range(5))))
+
+    for (i, a, _), (j, b, _) in itertools.combinations(rows, 2):
+        if a is None or b is None:
+            continue
+        x, y = bag(a), bag(b)
+        if a == b or (x and y and (x & y).total() >= threshold * (x | y).total()):
+            lo, hi = sorted((find(i), find(j)))
+            parent[hi] = lo
+    return {i: find(i) for i in parent}
+
+
+def test_weighted_near_duplicates_against_brute_force(spark):
+    line = "one line of eight words that comes again "
+    rows = near_rows() + [(1000 + k, line * k + "and an end of its own here", "s") for k in (2, 3, 5, 9, 10, 11, 30, 36, 60)]
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_duplicates(docs(spark, rows)).collect()}
+    assert got == weighted_classes(rows)
+    # Plain sets would put all of the last ones into one class or two.
+    assert len({c for i, c in got.items() if i >= 1000}) > 3
+
+
 def test_keep_one_and_odd_input(spark, odd):
     kept = dart_minhash.keep_one(odd)
     assert kept.columns == odd.columns
@@ -348,6 +380,35 @@ def test_boosting_separates_and_ignores_held_out(spark):
     assert quality_gbt.keep_good(frame, labels).columns == frame.columns
 
 
+def test_trees_against_plain_loops():
+    """The first split against a search over all cuts, and the flat traversal against walking each tree."""
+    rng = np.random.default_rng(11)
+    x = rng.integers(0, 9, (300, 4)).astype(np.float32)
+    y = ((x[:, 2] > 4) ^ (rng.random(300) < 0.1)).astype(int)
+    model = quality_gbt.fit_trees(x, y, trees=5, depth=3)
+    p = y.mean()
+    g, h = p - y, np.full(300, p * (1 - p))
+    gains = {}
+    for f in range(4):
+        for cut in np.unique(x[:, f])[:-1]:
+            left = x[:, f] <= cut
+            score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+            if min(h[left].sum(), h[~left].sum()) >= 1:
+                gains[f, float(cut)] = score(left) + score(~left) - score(left | ~left)
+    assert (int(model.feature[0, 0]), float(model.threshold[0, 0])) == max(gains, key=gains.get)
+
+    def walk(row):
+        total = model.base
+        for t in range(5):
+            node = 0
+            for _ in range(3):
+                node = 2 * node + 1 + int(row[model.feature[t, node]] > model.threshold[t, node])
+            total += model.leaf[t, node - 7]
+        return total
+
+    assert np.allclose(model.margin(x), [walk(r) for r in x])
+
+
 def test_classifier_odd_input(spark, odd):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     trees = quality_gbt.fit_quality(odd, labels)
