@@ -1,12 +1,12 @@
 """Embedding whitening: covariance by generated column sums, LAPACK on the driver, projection in Spark.
 
-Every entry becomes a whole number.  One aggregation holds a generated Spark SQL sum for each
-pair of dimensions (upper triangle) of centred products; its one row of ``d (d + 1) / 2``
-numbers is all the driver sees.  Entries are centred by the whole number next to their mean
-before they are multiplied, so every product is a whole number and the sums are exact and the
-same in any order while they stay below 2^53; the rest of the centring (less than one half) is
-taken off the matrix.  Over ``MAX_SUMS`` pairs (more than 90 dimensions) the sums are dealt to
-several aggregations.
+Every entry becomes a whole number.  One aggregation holds generated Spark SQL sums of centred
+products of every pair of dimensions (upper triangle): a sum for each distance of two dimensions,
+grouped by the first one, as thousands of sums in one row make code that the JVM doesn't
+compile.  Its ``d (d + 1) / 2`` numbers are all the driver sees.  Entries are centred by the whole
+number next to their mean before they are multiplied, so every product is a whole number and
+the sums are exact and the same in any order while they stay below 2^53; the rest of the
+centring (less than one half) is taken off the matrix.
 
 Defined results for odd input: a null vector, or one with a null or non-finite entry, is
 dropped, and so is one with fewer entries than the longest of the table (as if the missing ones
@@ -29,8 +29,6 @@ from .common import map_batches, stash, table
 #: Whole numbers of entries: floor(SCALE * c) + OFFSET.
 SCALE, OFFSET = 64, 1_000_000
 COMPONENTS = 32
-#: Sums of one aggregation.
-MAX_SUMS = 4096
 
 
 def finite(vector: Column) -> Column:
@@ -45,35 +43,38 @@ def finite_vectors(df: DataFrame, vector: str) -> DataFrame:
     return rows.where(finite(F.col(vector)) & (F.size(vector) == size) & (F.size(vector) > 0))
 
 
-def _sums(rows: DataFrame, terms: list[str]) -> list:
-    """The sums of all SQL terms: one row comes back for each ``MAX_SUMS`` terms."""
-    found: list = []
-    for s in range(0, len(terms), MAX_SUMS):
-        found += rows.selectExpr(*[f"sum({t}) AS s{i}" for i, t in enumerate(terms[s : s + MAX_SUMS])]).first()
-    return found
+def sums(rows: DataFrame, x: str) -> tuple[int, list]:
+    """The number of vectors, and the sum of each dimension."""
+    one = rows.select(F.posexplode(x).alias("i", "e")).groupBy("i").agg(F.count("*").alias("n"), F.sum("e").alias("s"))
+    found = sorted(one.collect())  # one row for each dimension
+    return (found[0]["n"], [r["s"] for r in found]) if found else (0, [])
+
 
+def upper_products(rows: DataFrame, x: str, d: int) -> np.ndarray:
+    """The symmetric matrix of sums of products of every two dimensions of the double vectors ``x``.
 
-def upper_products(rows: DataFrame, names: list[str]) -> np.ndarray:
-    """The symmetric matrix of sums of products of every two columns."""
-    d = len(names)
-    at = np.triu_indices(d)
+    One generated sum for each distance t up to half of the dimensions, grouped by the dimension i:
+    every pair (i, i + t), the dimensions in a ring, is taken once.
+    """
+    ring = rows.select(F.concat(x, x).alias("_r"), F.explode(F.sequence(F.lit(0), F.lit(d - 1))).alias("_i"))
+    terms = [F.expr(f"sum(get(_r, _i) * get(_r, _i + {t})) AS s{t}") for t in range(d // 2 + 1)]
     found = np.zeros((d, d))
-    found[at] = _sums(rows, [f"{names[i]} * {names[j]}" for i, j in zip(*at, strict=True)])
-    return np.triu(found) + np.triu(found, 1).T
+    for row in ring.groupBy("_i").agg(*terms).collect():  # one row for each dimension
+        to = (row["_i"] + np.arange(d // 2 + 1)) % d
+        found[row["_i"], to] = found[to, row["_i"]] = row[1:]
+    return found
 
 
 def moments(rows: DataFrame, x: str) -> tuple[int, list[int], np.ndarray]:
     """n, sums S of each dimension, and the covariance (divisor n) of the whole-number vectors ``x``."""
-    first = rows.agg(F.count("*").alias("n"), F.max(F.size(x)).alias("d")).first()
-    n, d = first["n"], first["d"] or 0
+    n, total = sums(rows, x)
     if not n:
         return 0, [], np.zeros((0, 0))
-    total = [int(s) for s in _sums(rows, [f"get({x}, {i})" for i in range(d)])]
     middle = [round(s / n) for s in total]
-    names = [f"c{i}" for i in range(d)]
-    centred = rows.selectExpr(*[f"cast(get({x}, {i}) - {m} AS double) AS {c}" for i, (m, c) in enumerate(zip(middle, names, strict=True))])
+    centre = F.array(*[F.lit(m).cast("long") for m in middle])
+    centred = rows.select(F.zip_with(x, centre, lambda e, m: (e - m).cast("double")).alias("_c"))
     rest = np.array([(s - n * m) / n for s, m in zip(total, middle, strict=True)])
-    return n, total, upper_products(centred, names) / n - np.outer(rest, rest)
+    return n, total, upper_products(centred, "_c", len(total)) / n - np.outer(rest, rest)
 
 
 def principal(covariance: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -115,10 +116,9 @@ def whiten(rows: DataFrame, x: str, components: int = COMPONENTS) -> DataFrame:
     wide = stash(map_batches(named, project, StructType([*named.schema.fields[:-1], StructField("_w", ArrayType(DoubleType()))])), "whitened")
     error, place = None, np.cumsum(real) - 1
     if real.any():
-        names = [f"w{k}" for k in range(int(real.sum()))]
-        flat = wide.selectExpr(*[f"get(_w, {k}) AS {w}" for k, w in enumerate(names)])
-        mean = np.array(_sums(flat, names)) / n
-        error = float(np.abs(upper_products(flat, names) / n - np.outer(mean, mean) - np.eye(len(names))).max())
+        used_up = int(real.sum())
+        mean = np.array(sums(wide, "_w")[1]) / n
+        error = float(np.abs(upper_products(wide, "_w", used_up) / n - np.outer(mean, mean) - np.eye(used_up)).max())
     one = lambda k: F.struct(
         F.lit(k + 1).alias("component"),
         (F.get("_w", F.lit(int(place[k]))) if real[k] else F.lit(None).cast("double")).alias("whitened"),
