@@ -93,19 +93,6 @@ def similar_pairs(vectors: DataFrame, threshold: float, block: int = 4096) -> Da
     return found.withColumn("score", F.round("score", 6)).where(F.col("score") >= threshold)
 
 
-def absorbers(nodes: DataFrame, pairs: DataFrame, survivors: DataFrame, block: int = 512) -> DataFrame:
-    """node, absorber: the most similar kept earlier node within the first block of kept nodes that has one."""
-    _checkpoint_dir(nodes.sparkSession)
-    # Ranks in the order of pos, counted within sorted partitions.
-    placed = survivors.where("kept").join(nodes, "node").select("node", "pos").orderBy("pos").withColumn("_p", F.spark_partition_id()).checkpoint()
-    before = placed.groupBy("_p").agg(F.count("*").alias("_n")).select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy("pos")) + F.col("_n")
-    ranked = placed.join(F.broadcast(before), "_p").select("node", F.floor((rank - 1) / block).alias("block"), "pos")
-    hits = pairs.join(ranked.withColumnRenamed("node", "early"), "early").join(survivors.where("NOT kept").select(F.col("node").alias("late")), "late", "left_semi")
-    first = Window.partitionBy("late").orderBy("block", F.col("score").desc(), "pos")
-    return hits.select("late", "early", F.row_number().over(first).alias("n")).where("n = 1").select(F.col("late").alias("node"), F.col("early").alias("absorber"))
-
-
 def index_delta(current: DataFrame, previous: DataFrame) -> DataFrame:
     """doc_id, state (new, changed, same, removed): by digest and number of chunks."""
     c = current.select("doc_id", F.col("digest").alias("_c"), F.col("chunks").alias("_cn"))

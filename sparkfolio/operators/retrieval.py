@@ -55,14 +55,18 @@ def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "content")
     return words.select(key, F.size("_w").alias("dl"), F.explode("_w").alias("token")).groupBy(key, "token").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
+def inverse_frequencies(df: DataFrame, n: Column) -> DataFrame:
+    """(token, df, idf) of (token, df).  Negative idf becomes a share of the mean idf over terms."""
+    raw = df.withColumn("raw", F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw").alias("mean"))  # one row
+    return raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
+
+
 def term_statistics(postings: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(token, df, idf) and (n, avgdl).  Negative idf becomes a share of the mean idf over terms."""
+    """(token, df, idf) and (n, avgdl)."""
     total = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     df = postings.groupBy("token").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(F.broadcast(total)).withColumn("raw", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))
-    terms = raw.crossJoin(F.broadcast(mean)).select("token", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    return terms, total
+    return inverse_frequencies(df.crossJoin(F.broadcast(total)), F.col("n")), total
 
 
 def lexical_index(chunks: DataFrame) -> LexicalIndex:

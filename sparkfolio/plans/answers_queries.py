@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from sparkfolio.functions import text as T
 from sparkfolio.operators import dedup as D
 from sparkfolio.operators import retrieval as R
-from sparkfolio.plans.retrieval_queries import _GATE, _RERANKED, final, gated
+from sparkfolio.operators.order import positions
+from sparkfolio.plans.retrieval_queries import _BM, _GATE, _RERANKED, final, gated
 from sparkfolio.registry import query
 from sparkfolio.sources import fixtures as X
 
@@ -29,12 +30,10 @@ def _similar(vectors, threshold: float = 0.35):
 
 @query("dd_near")
 def dd_near(spark, sf_dir):
-    """Greedy survivors among all vectors, in the order of their ids."""
-    vectors = X.vectors(spark, sf_dir)
-    nodes = vectors.select(F.col("vec_id").alias("node"), F.col("vec_id").alias("pos"))
-    pairs = _similar(vectors).persist()
-    survivors = D.greedy_survivors(nodes, pairs)
-    return survivors.join(D.absorbers(nodes, pairs, survivors), "node", "left")
+    """Greedy survivors among all vectors, in the order of their ids, and what absorbed the others."""
+    from sparkfolio.operators.survivors import near_survivors
+
+    return near_survivors(X.vectors(spark, sf_dir).withColumnRenamed("vec_id", "node"), 0.35, F.col("node"))
 
 
 @query("jn_sim", "WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id AS early, b.vec_id AS late, round(list_dot_product(a.v, b.v), 6) AS score FROM v a JOIN v b ON a.vec_id < b.vec_id WHERE round(list_dot_product(a.v, b.v), 6) >= 0.35")
@@ -44,7 +43,7 @@ def jn_sim(spark, sf_dir):
 
 @query("top_recency", f"{_C} SELECT chunk_id, row_number() OVER (ORDER BY coalesce(year, 0) DESC, doc_id, page_start, chunk_id) AS pos FROM chunks")
 def top_recency(spark, sf_dir):
-    return X.chunks(spark, sf_dir).select("chunk_id", F.row_number().over(Window.orderBy(*D.newest_first())).cast("long").alias("pos"))
+    return positions(X.chunks(spark, sf_dir).select("chunk_id", "year", "doc_id", "page_start"), *D.newest_first()).select("chunk_id", "pos")
 
 
 _MANIFESTS = """cur AS (SELECT doc_id, md5(text) AS digest, len(string_split(text, chr(10))) AS chunks FROM documents WHERE doc_id % 17 <> 0),
@@ -84,11 +83,55 @@ def jn_digest(spark, sf_dir):
     return current.join(previous.select("doc_id", F.col("digest").alias("_d")), "doc_id", "left").select("doc_id", F.coalesce("_d", F.lit("")).alias("known"))
 
 
-@query("agg_parity", f"WITH {_MANIFESTS} SELECT (SELECT count(*) FROM cur) AS n_dense, (SELECT count(*) FROM prev) AS n_sparse, (SELECT count(*) FROM cur) = (SELECT count(*) FROM prev) AS same")
+#: The corpus before and after an update: documents go, come, and every tenth has another text.
+_BEFORE = "(SELECT * FROM documents WHERE doc_id % 11 <> 0)"
+_AFTER = "(SELECT * REPLACE (CASE WHEN doc_id % 10 = 0 THEN text || ' altered ' || doc_id ELSE text END AS text) FROM documents WHERE doc_id % 17 <> 0)"
+
+
+def updated_store(spark, sf_dir, dense: bool = True):
+    """An index of the corpus before, brought up to date with the corpus after."""
+    from sparkfolio.operators.upkeep import IndexStore
+    from sparkfolio.sources.files import scratch
+
+    d = X.table(spark, sf_dir, "documents")
+    altered = F.when(F.col("doc_id") % 10 == 0, F.concat("text", F.lit(" altered "), F.col("doc_id"))).otherwise(F.col("text"))
+    store = IndexStore(spark, scratch(spark, "upkeep"), dense=dense)
+    first = store.update(X.chunks_of(d.where("doc_id % 11 <> 0")))
+    return store, first, store.update(X.chunks_of(d.where("doc_id % 17 <> 0").withColumn("text", altered)))
+
+
+@query("idx_upkeep", f"{_BM.replace('FROM documents', f'FROM {_AFTER}')} SELECT query_id, chunk_id, floor(score * 10000 + 0.333)::BIGINT AS score_e4 FROM bm")
+def idx_upkeep(spark, sf_dir):
+    """BM25 over an index that was updated in place equals BM25 over one built from the changed corpus."""
+    store, _, _ = updated_store(spark, sf_dir, dense=False)
+    return R.bm25(X.questions(spark, sf_dir), store.lexical()).select("query_id", "chunk_id", F.floor(F.col("score") * 10000 + 0.333).alias("score_e4"))
+
+
+@query("idx_terms", f"WITH {X.CHUNKS_SQL.replace('FROM documents', f'FROM {_AFTER}')} SELECT token, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+(?:[./-][a-z0-9]+)*')) AS token FROM chunks) GROUP BY 1")
+def idx_terms(spark, sf_dir):
+    """Term statistics after an update: merged from those before, those added and those taken off."""
+    store, _, _ = updated_store(spark, sf_dir, dense=False)
+    return store.terms().select("token", "df")
+
+
+@query(
+    "idx_versions",
+    f"WITH a AS (FROM {_BEFORE}), b AS (FROM {_AFTER}), j AS (SELECT a.doc_id AS o, b.doc_id AS n, a.text = b.text AS same FROM a FULL OUTER JOIN b ON a.doc_id = b.doc_id), "
+    "s AS (SELECT CASE WHEN o IS NULL THEN 'new' WHEN n IS NULL THEN 'removed' WHEN same THEN 'same' ELSE 'changed' END AS state FROM j) "
+    "SELECT 1 AS version, 'new' AS state, count(*) AS n FROM a UNION ALL SELECT 2, state, count(*) FROM s GROUP BY state",
+)
+def idx_versions(spark, sf_dir):
+    """What each of two updates did to the documents."""
+    store, first, second = updated_store(spark, sf_dir, dense=False)
+    deltas = spark.read.option("recursiveFileLookup", "true").parquet(f"{store.folder}/deltas").withColumn("version", F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/deltas/", -1), "-", 1).cast("int"))
+    return deltas.groupBy("version", "state").agg(F.count("*").alias("n"))
+
+
+@query("agg_parity", f"SELECT count(*) AS n_dense, count(*) AS n_sparse, count(*) AS n_chunks, true AS same FROM {_AFTER}")
 def agg_parity(spark, sf_dir):
-    current, previous = manifests(spark, sf_dir)
-    counts = current.agg(F.count("*").alias("n_dense")).crossJoin(previous.agg(F.count("*").alias("n_sparse")))
-    return counts.select("*", (F.col("n_dense") == F.col("n_sparse")).alias("same"))
+    """Vectors, postings' chunks and the version's own count after an update, each counted in its table."""
+    store, _, version = updated_store(spark, sf_dir)
+    return store.parity(version).select("*", ((F.col("n_dense") == F.col("n_sparse")) & (F.col("n_sparse") == F.col("n_chunks"))).alias("same"))
 
 
 @query("agg_docchunks", f"WITH {_MANIFESTS} SELECT doc_id % 20 AS shelf, sum(chunks)::BIGINT AS n FROM cur GROUP BY 1")
@@ -96,12 +139,19 @@ def agg_docchunks(spark, sf_dir):
     return manifests(spark, sf_dir)[0].groupBy((F.col("doc_id") % 20).alias("shelf")).agg(F.sum("chunks").alias("n"))
 
 
-@query("agg_indexver", f"{_C} SELECT substr(sha256(string_agg(chunk_id || chr(1) || title || chr(1) || md5(content) || chr(1), '' ORDER BY chunk_id)), 1, 16) AS version FROM chunks")
+_PART_SQL = ", ".join(f"(sum(('0x' || substr(sha, {1 + 12 * i}, 12))::BIGINT::HUGEINT) % 281474976710656)::BIGINT AS p{i}" for i in range(4))
+
+
+@query(
+    "agg_indexver",
+    f"{_C}, d AS (SELECT sha256(doc_id || chr(31) || sha256(sha256(chunk_id || chr(31) || content)) || chr(31) || '1') AS sha FROM chunks), "
+    f"s AS (SELECT {_PART_SQL} FROM d) SELECT format('{{:012x}}{{:012x}}{{:012x}}{{:012x}}', p0, p1, p2, p3) AS version FROM s",
+)
 def agg_indexver(spark, sf_dir):
-    """Order-independent digest of the corpus."""
-    one = F.concat("chunk_id", F.lit("\x01"), "title", F.lit("\x01"), F.md5(F.col("content").cast("binary")), F.lit("\x01"))
-    every = F.array_join(F.array_sort(F.collect_list(one)), "")
-    return X.chunks(spark, sf_dir).agg(F.substring(F.sha2(every.cast("binary"), 256), 1, 16).alias("version"))
+    """The name of the corpus: documents' digests are summed, so parts can be summed anywhere and in any order."""
+    from sparkfolio.operators.upkeep import content_name, document_digests
+
+    return spark.createDataFrame([(content_name(document_digests(X.chunks(spark, sf_dir))),)], "version string")
 
 
 @query("snk_del_doc", f"{_C} SELECT chunk_id FROM chunks WHERE doc_id NOT IN ('doc-1', 'doc-5')")
@@ -122,6 +172,32 @@ def src_vectors(spark, sf_dir):
     return v.join(stored, "vec_id").select("vec_id", (R.dot(F.col("v"), F.col("old")) >= 0.999).alias("fresh"))
 
 
+@query(
+    "src_vectors_check",
+    "SELECT * FROM (VALUES ('fresh', false), ('older model', true), ('wrong shape', true), ('one missing', true)) t(stored, recomputed), (SELECT count(*) AS n FROM documents)",
+)
+def src_vectors_check(spark, sf_dir):
+    """Stored vectors of four kinds: only those that fit the chunks and agree with fresh ones are reused; then all are there again."""
+    from sparkfolio.operators.models import embed
+    from sparkfolio.operators.upkeep import verified_vectors
+    from sparkfolio.sources.files import scratch
+
+    chunks = X.chunks(spark, sf_dir).select("chunk_id", "pos", "content")
+    path = scratch(spark, "vectors")
+    embed(chunks, "content").select("chunk_id", "pos", "vector").write.parquet(path)
+    stored = spark.read.parquet(path)
+    kinds = {
+        "fresh": stored, "older model": stored.withColumn("vector", F.reverse("vector")),
+        "wrong shape": stored.withColumn("vector", F.slice("vector", 1, 8)), "one missing": stored.where("pos <> 7"),
+    }
+    out = None
+    for kind, rows in kinds.items():
+        found, recomputed = verified_vectors(rows, chunks)
+        one = found.agg(F.count("*").alias("n")).select(F.lit(kind).alias("stored"), F.lit(recomputed).alias("recomputed"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # ---- corpus boundary ----------------------------------------------------------------
 
 _CORPUS = """corpus AS (SELECT d.doc_id, len(string_split(d.text, chr(10))) AS total_pages, coalesce(c.chunks, 0) AS chunks, CASE WHEN d.doc_id % 13 <> 0 THEN 2015 + d.doc_id % 12 END AS year, d.source AS title
@@ -144,8 +220,7 @@ def jn_corpus(spark, sf_dir):
 
 @query("top_corpus", f"WITH {_CORPUS} SELECT doc_id, row_number() OVER (ORDER BY coalesce(year, 0) DESC, lower(title), doc_id) AS place FROM corpus")
 def top_corpus(spark, sf_dir):
-    order = Window.orderBy(F.coalesce("year", F.lit(0)).desc(), F.lower("title"), "doc_id")
-    return corpus(spark, sf_dir).select("doc_id", F.row_number().over(order).cast("long").alias("place"))
+    return positions(corpus(spark, sf_dir), F.coalesce("year", F.lit(0)).desc(), F.lower("title"), F.col("doc_id"), name="place").select("doc_id", "place")
 
 
 @query("top_years", f"WITH {_CORPUS} SELECT year, row_number() OVER (ORDER BY year DESC) AS place FROM (SELECT DISTINCT year FROM corpus WHERE year IS NOT NULL)")

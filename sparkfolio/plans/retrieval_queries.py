@@ -21,19 +21,22 @@ bm AS (SELECT query_id, chunk_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (
 sparse AS (SELECT * FROM (SELECT b.*, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos) AS rank FROM bm b JOIN chunks USING (chunk_id)) WHERE rank <= 12)"""
 
 
-_indexes: dict[tuple[str, str], str] = {}
+_stores: dict[tuple[str, str], tuple[str, tuple]] = {}
 
 
 def index(spark, sf_dir) -> R.LexicalIndex:
-    """The lexical index of the corpus: built and stored on first use in a session, then read."""
-    from sparkfolio.sources.files import read_index, scratch, write_index
+    """The lexical index of the corpus as its files are now: built on first use, brought up to date when a file has changed."""
+    from sparkfolio.operators.upkeep import IndexStore
+    from sparkfolio.sources.files import scratch, state_of
 
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _indexes:
-        folder = scratch(spark, "index")
-        write_index(R.lexical_index(X.chunks(spark, sf_dir)), folder)
-        _indexes[key] = folder
-    return read_index(spark, _indexes[key])
+    key, now = (spark.sparkContext.applicationId, sf_dir), state_of(spark, f"{sf_dir}/documents.parquet")
+    folder, then = _stores.get(key) or (scratch(spark, "index"), None)
+    store = IndexStore(spark, folder, dense=False)
+    if then != now:
+        store.update(X.chunks(spark, sf_dir))
+        store.vacuum()
+        _stores[key] = folder, now
+    return store.lexical()
 
 
 def sparse(spark, sf_dir, k: int = 12):
@@ -90,25 +93,39 @@ def vec_norms(spark, sf_dir):
     return v.groupBy(F.col("doc").alias("label")).agg(F.count("*").alias("n"), F.bool_and(F.abs(F.sqrt(R.dot(F.col("v"), F.col("v"))) - 1) < 1e-4).alias("unit"))
 
 
-#: Random hyperplanes for the approximate index: sign bits of fixed pseudo-random directions.
-def _sketch(v, tables: int = 24, bits: int = 3, size: int = 64):
-    def one(t, b):
-        signs = [1.0 if (((i * 2654435761 + (t * bits + b + 1) * 40503) >> 7) ^ (i * (t + 3) * (b + 5))) % 2 else -1.0 for i in range(size)]
-        return (R.dot(v, F.array(*map(F.lit, signs))) > 0).cast("int")
+def cell_hits(spark, sf_dir, k: int = 5):
+    """The first k by the cell index, which is built and stored first; every vector whose id is divisible by 50 asks."""
+    from sparkfolio.operators import cells
+    from sparkfolio.sources.files import scratch
 
-    return F.array(*[F.concat(F.lit(f"{t}:"), *[one(t, b).cast("string") for b in range(bits)]) for t in range(tables)])
+    folder = scratch(spark, "cells")
+    v = X.vectors(spark, sf_dir).select("vec_id", "v")
+    cells.build(v.select(F.col("vec_id").cast("long").alias("item_id"), "v"), folder)
+    index = cells.read(spark, folder)
+    return index, cells.search(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), index, k)
 
 
 @query("vec_ann_check")
 def vec_ann_check(spark, sf_dir):
-    """Approximate search (hyperplane buckets, exact scores) against exact search: recall of the first five."""
-    v = X.vectors(spark, sf_dir)
-    keyed = v.select("vec_id", "v", F.explode(_sketch(F.col("v"))).alias("bucket"))
-    asked = keyed.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"), "bucket")
-    pairs = keyed.join(asked, "bucket").where("vec_id <> query_id").select("query_id", F.col("vec_id").alias("item_id"), F.round(R.dot(F.col("v"), F.col("q")), 6).alias("score")).distinct()
-    near = R.ranked(pairs, 5, F.col("item_id"))
-    hit = knn(spark, sf_dir, 5).select("query_id", "item_id").join(near.select("query_id", "item_id", F.lit(1).alias("hit")), ["query_id", "item_id"], "left")
-    return hit.groupBy("query_id").agg((F.coalesce(F.sum("hit"), F.lit(0)) / F.lit(5)).alias("recall"))
+    """Cell index against exact search, for each question: recall of the first five, whether the first is right, share of the table's bytes looked at."""
+    from sparkfolio.operators import cells
+
+    index, near = cell_hits(spark, sf_dir)
+    n, size = int(index.sizes.sum()), index.centres.shape[1]
+    truth = knn(spark, sf_dir, 5).select("query_id", "item_id", "rank")
+    both = truth.join(near.select("query_id", "item_id", F.col("rank").alias("found"), "looked_at"), ["query_id", "item_id"], "left")
+    # A code is one byte an element and its scale; candidates are read whole, four bytes an element.
+    share = (F.max("looked_at") * (size + 4) + F.lit(5 * cells.DEPTH * 4 * size)) / F.lit(float(n * 4 * size))
+    return both.groupBy("query_id").agg(
+        (F.count("found") / F.count("*")).alias("recall"), F.bool_or((F.col("rank") == 1) & (F.coalesce("found", F.lit(0)) == 1)).alias("first_right"), F.round(share, 4).alias("bytes_share")
+    )
+
+
+@query("vec_ann_gate", "SELECT count(*) AS n_questions, true AS recall_reached, true AS few_bytes FROM embeddings WHERE vec_id % 50 = 0")
+def vec_ann_gate(spark, sf_dir):
+    """The index may serve only if recall of the first five is .95 and a question looks at less than a quarter of the bytes."""
+    per = vec_ann_check(spark, sf_dir)
+    return per.agg(F.count("*").alias("n_questions"), (F.avg("recall") >= 0.95).alias("recall_reached"), (F.avg("bytes_share") < 0.25).alias("few_bytes"))
 
 
 @query(

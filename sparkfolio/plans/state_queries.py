@@ -260,14 +260,6 @@ def src_cmanifest(spark, sf_dir):
     return counts[0].unionByName(counts[1]).unionByName(counts[2]).unionByName(counts[3])
 
 
-@query("src_cmanifest", "SELECT 0 AS n_documents")
-def src_cmanifest(spark, sf_dir):
-    """A missing manifest is an empty one."""
-    from sparkfolio.sources.files import read_manifest
-
-    return read_manifest(spark, scratch(spark, "missing")).agg(F.count("*").cast("int").alias("n_documents"))
-
-
 @query("st_log", "SELECT count(*) AS n FROM events")
 def st_log(spark, sf_dir):
     """The query log as a streaming file sink."""

@@ -10,6 +10,8 @@ def query(name: str, sql: str | None = None):
     """Register ``(spark, sf_dir) -> DataFrame`` under a name, with its DuckDB SQL if there is one."""
 
     def add(run):
+        if name in QUERIES:
+            raise ValueError(f"{name} is registered twice")
         QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql

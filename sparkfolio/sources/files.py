@@ -34,6 +34,34 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared}/{name}-{uuid.uuid4().hex}"
 
 
+def _path(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at, at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def listed(spark: SparkSession, folder: str, name: str | None = None) -> list[str]:
+    """Names in a folder of any store that Spark reads (only ``name``, if given); none if there is no such folder."""
+    at, fs = _path(spark, folder)
+    if not fs.exists(at):
+        return []
+    return [f.getPath().getName() for f in fs.listStatus(at) if name is None or f.getPath().getName() == name]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    at, fs = _path(spark, path)
+    fs.delete(at, True)
+
+
+def state_of(spark: SparkSession, path: str) -> tuple:
+    """Name, size and time of change of every file of a table: another state means another table."""
+    at, fs = _path(spark, path)
+    found, files = [], fs.listFiles(at, True)
+    while files.hasNext():
+        f = files.next()
+        found.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def corpus_files(spark: SparkSession, folder: str, pattern: str = "*.pdf") -> DataFrame:
     """Files of a folder, top level only, with their digest; sub-folders are left out on purpose."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "false").load(folder)

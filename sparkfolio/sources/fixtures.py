@@ -38,7 +38,10 @@ RAW_PAGES_SQL = """raw_pages AS (
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One chunk per document: chunk_id (location hash), doc_id, page_start, page_end, year, content, pos (order)."""
-    d = table(spark, sf_dir, "documents")
+    return chunks_of(table(spark, sf_dir, "documents"))
+
+
+def chunks_of(d: DataFrame) -> DataFrame:
     doc = F.concat(F.lit("doc-"), F.col("doc_id"))
     return d.select(
         F.substring(F.sha1(F.concat_ws("|", doc, F.lit("1"), F.lit("1"), F.lit("0")).cast("binary")), 1, 16).alias("chunk_id"),
