@@ -47,6 +47,8 @@ WEIGHTS = "count"
 BANDS, ROWS = 34, 6
 #: Texts are taken in blocks of about so many bytes: this bounds memory.
 BLOCK_BYTES = 400_000
+#: So many links are joined by one task.
+FEW_LINKS = 16_384
 #: Members of one leader compared in one task's group.
 GROUP = 128
 #: A pair at the threshold passes the comparison of signature bits within so many standard deviations (missed: 3e-6).
@@ -334,25 +336,52 @@ def _roots(parent: DataFrame) -> DataFrame:
         current = following.select("node", "root")
 
 
+def _moved(found: DataFrame, roots: DataFrame) -> DataFrame:
+    """``found`` with its roots moved to their own roots, and the nodes that are new in ``roots``."""
+    new = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+    return stash(
+        found.join(new, F.col("root") == F.col("_n"), "left")
+        .select("node", F.coalesce("_r", "root").alias("root"))
+        .unionByName(roots.join(found.select("node"), "node", "left_anti")),
+        "components",
+    )
+
+
+def _joined(batch: pd.DataFrame) -> pd.DataFrame:
+    """(node, root) of a few links, by union and find."""
+    up: dict[int, int] = {}
+
+    def root(x):
+        while (p := up.get(x, x)) != x:
+            up[x] = up.get(p, p)
+            x = p
+        return x
+
+    for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+        x, y = root(a), root(b)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    return pd.DataFrame({"node": nodes, "root": [root(n) for n in nodes]}, dtype="int64")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a < b) that isn't the least of its component.
 
     Every node hooks on its least smaller neighbour, trees are flattened, links are
-    rewritten to roots, and the rest goes round again until no link is left.
+    rewritten to roots, and the rest goes round again until at most ``FEW_LINKS`` are left,
+    which one task joins: that saves rounds of jobs that have next to nothing to do.
     """
     found = None
     while True:
+        if edges.count() <= FEW_LINKS:
+            rest = stash(edges.select("a", "b").groupBy().applyInPandas(_joined, "node long, root long"), "components")
+            return rest if found is None else _moved(found, rest)
         roots = _roots(edges.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")))
         if found is None:
             found = roots
         else:
-            new = roots.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
-            found = stash(
-                found.join(new, F.col("root") == F.col("_n"), "left")
-                .select("node", F.coalesce("_r", "root").alias("root"))
-                .unionByName(roots.join(found.select("node"), "node", "left_anti")),
-                "components",
-            )
+            found = _moved(found, roots)
         left = roots.select(F.col("node").alias("_na"), F.col("root").alias("_ra"))
         right = roots.select(F.col("node").alias("_nb"), F.col("root").alias("_rb"))
         moved = (
@@ -364,8 +393,6 @@ def components(edges: DataFrame) -> DataFrame:
             .distinct()
         )
         edges = stash(moved, "edges")
-        if edges.isEmpty():
-            return found
 
 
 def _prefix_pairs(members: DataFrame, texts: DataFrame, threshold: float, weights: str) -> DataFrame:

@@ -280,3 +280,20 @@ def test_registered_whitening(spark):
     # Signs are free; components with nearly equal eigenvalues are still apart in double precision.
     sign = np.sign((at * white).sum(axis=0))
     assert set(got["n"]) == {n} and np.abs(at * sign - white).max() < 1e-6 and got["identity_error"].max() <= 1e-4
+
+
+# ---- components ----------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("few", [0, 25, 10_000])
+def test_components_by_rounds_and_by_one_task(spark, monkeypatch, few):
+    monkeypatch.setattr(dart_minhash, "FEW_LINKS", few)
+    rnd = random.Random(9)
+    links = [(a, b) for a, b in ((rnd.randrange(120), rnd.randrange(120)) for _ in range(90)) if a < b] + [(200 + i, 201 + i) for i in range(40)]
+    root = list(range(300))
+    for _ in range(300):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    expected = {(n, root[n]) for link in links for n in link if root[n] != n}
+    assert {(r["node"], r["root"]) for r in dart_minhash.components(spark.createDataFrame(links, "a long, b long")).collect()} == expected
+    assert dart_minhash.components(spark.createDataFrame([], "a long, b long")).collect() == []
