@@ -23,13 +23,6 @@ def mean_reciprocal_rank(first: Column) -> Column:
     return F.coalesce(F.avg(F.coalesce(1 / first, F.lit(0.0))), F.lit(0.0))
 
 
-def floor_percentile(values: Column, fraction: float) -> Column:
-    """The value at index floor(n * f) of the sorted values, at most the last; 0 without values; rounded to one place."""
-    ordered = F.array_sort(F.collect_list(values))
-    at = F.least(F.floor(F.size(ordered) * fraction), F.size(ordered) - 1).cast("int")
-    return F.round(F.coalesce(F.get(ordered, at), F.lit(0.0)), 1)
-
-
 def calibrate_floor(scores: DataFrame) -> DataFrame:
     """The threshold with the fewest wrong answers, then the fewest wrong refusals; the lowest of equals.
 

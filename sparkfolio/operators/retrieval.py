@@ -47,6 +47,7 @@ class LexicalIndex:
     postings: DataFrame  # chunk_id, token, tf, dl
     terms: DataFrame  # token, idf
     mean_length: DataFrame  # one row: avgdl
+    names: DataFrame | None = None  # _key, chunk_id: if postings hold keys for chunk_id
 
 
 def term_counts(chunks: DataFrame, key: str = "chunk_id", text: str = "content") -> DataFrame:
@@ -92,7 +93,10 @@ def bm25(questions: DataFrame, index: LexicalIndex) -> DataFrame:
     weighted = asked.join(index.terms.select("token", "idf"), "token")
     hits = weighted.join(index.postings, "token").crossJoin(F.broadcast(index.mean_length))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    return hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")
+    if index.names is None:
+        return scored
+    return scored.withColumnRenamed("chunk_id", "_key").join(index.names, "_key").select("query_id", "chunk_id", "score")
 
 
 def ranked(hits: DataFrame, k: int, *tie: Column, by: str = "query_id") -> DataFrame:

@@ -2,10 +2,11 @@
 
 An ``IndexStore`` is a folder of immutable tables:
 
-* ``segments/<id>/``: ``postings`` (chunk_id, doc_id, token, tf, dl; by token), ``chunks``
-  (chunk_id, doc_id, dl), ``documents`` (doc_id, digest, chunks, length) and ``vectors`` of the
-  documents that one update added or changed;
-* ``tombstones/<version>``: (segment, doc_id) of documents that this update changed or removed;
+* ``segments/<id>/``, of the documents that one update added or changed: ``forward`` (no, chunk_id,
+  doc_id, dl, tokens, tfs: what a chunk holds), ``blocks`` (token, block, entries, most, shortest: the
+  postings of a token in ``BLOCK`` neighbouring chunks, with bounds of what they can score),
+  ``documents`` (doc_id, digest, chunks, length) and ``vectors``;
+* ``tombstones/<version>``: (segment, doc_id, no) of chunks that this update changed or removed;
 * ``terms/<version>``: token, df over everything live, merged from the terms of the version
   before, those of the new segment and, taken off, those of the documents that went;
 * ``versions/<version>``: one JSON line that names the tables above.  It is written last, so an
@@ -38,6 +39,9 @@ from .retrieval import LexicalIndex, inverse_frequencies
 
 #: An update that leaves more segments than this is followed by a merge of all of them.
 MAX_SEGMENTS = 8
+#: Chunks whose postings of a token share a row.
+BLOCK = 1024
+_BLOCKS = "token string, block long, entries array<struct<no:long,tf:int,dl:int>>, most int, shortest int"
 #: A digest is summed in parts of so many hex digits: sums of 10^15 documents stay whole numbers.
 _PART, _PARTS = 12, 4
 #: Stored vectors are trusted if so many samples, evenly spread, agree with fresh ones.
@@ -78,11 +82,30 @@ def _name(sums: list[int]) -> str:
     return "".join(f"{s % 16**_PART:0{_PART}x}" for s in sums)
 
 
-def postings_of(chunks: DataFrame) -> DataFrame:
-    """chunk_id, doc_id, token, tf, dl."""
-    words = chunks.select("chunk_id", "doc_id", T.tokens(F.col("content")).alias("_w"))
-    rows = words.select("chunk_id", "doc_id", F.size("_w").alias("dl"), F.explode("_w").alias("token"))
-    return rows.groupBy("chunk_id", "token").agg(F.first("doc_id").alias("doc_id"), F.count("*").alias("tf"), F.first("dl").alias("dl"))
+def forward_rows(chunks: DataFrame) -> DataFrame:
+    """no, chunk_id, doc_id, dl, tokens (sorted, each once), tfs: the terms of every chunk.
+
+    Equal tokens of a sorted array are neighbours, so their counts are the distances between the
+    ends of runs: no row is exploded and nothing is shuffled.  Chunks of a partition have
+    neighbouring numbers.
+    """
+    words = chunks.select("chunk_id", "doc_id", F.array_sort(T.tokens(F.coalesce("content", F.lit("")))).alias("_w"))
+    ends = F.filter(F.sequence(F.lit(1), F.size("_w")), lambda i: (i == F.size("_w")) | (F.element_at("_w", i) != F.get("_w", i)))
+    runs = words.select("chunk_id", "doc_id", "_w", F.when(F.size("_w") > 0, ends).otherwise(F.array().cast("array<int>")).alias("_e"))
+    return runs.select(
+        F.monotonically_increasing_id().alias("no"), "chunk_id", "doc_id", F.size("_w").alias("dl"),
+        F.transform("_e", lambda e: F.element_at("_w", e)).alias("tokens"),
+        F.transform("_e", lambda e, j: e - F.coalesce(F.get("_e", j - 1), F.lit(0))).alias("tfs"),
+    )
+
+
+def block_rows(forward: DataFrame) -> DataFrame:
+    """token, block, entries (no, tf, dl), most (the largest tf), shortest (the least dl): at most ``BLOCK`` entries a row."""
+    one = forward.select("no", "dl", F.explode(F.arrays_zip("tokens", "tfs")).alias("t"))
+    entry = F.struct("no", F.col("t.tfs").alias("tf"), "dl")
+    return one.groupBy(F.col("t.tokens").alias("token"), F.floor(F.col("no") / BLOCK).alias("block")).agg(
+        F.collect_list(entry).alias("entries"), F.max("t.tfs").alias("most"), F.min("dl").alias("shortest")
+    )
 
 
 class IndexStore:
@@ -118,14 +141,14 @@ class IndexStore:
     def _gone(self, version: Version) -> DataFrame | None:
         if not version.tombstones:
             return None
-        return self.spark.read.schema("segment string, doc_id string").parquet(*[f"{self.folder}/tombstones/{n:010d}" for n in version.tombstones])
+        return self.spark.read.schema("segment string, doc_id string, no long").parquet(*[f"{self.folder}/tombstones/{n:010d}" for n in version.tombstones])
 
     def _alive(self, part: str, schema: str, version: Version | None) -> DataFrame:
         version = version or self.live()
         if version is None:
             return self._read(part, [], schema)
         rows, gone = self._read(part, version.segments, schema), self._gone(version)
-        return rows if gone is None else rows.join(gone, ["segment", "doc_id"], "left_anti")
+        return rows if gone is None else rows.join(gone.select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
 
     # ---- what is live ----
 
@@ -133,10 +156,16 @@ class IndexStore:
         return self._alive("documents", "doc_id string, digest string, chunks long, length long", version)
 
     def chunks(self, version: Version | None = None) -> DataFrame:
-        return self._alive("chunks", "chunk_id string, doc_id string, dl int", version)
+        return self._alive("forward", "no long, chunk_id string, doc_id string, dl int", version)
 
     def postings(self, version: Version | None = None) -> DataFrame:
-        return self._alive("postings", "chunk_id string, doc_id string, token string, tf long, dl int", version)
+        """token, chunk (a struct of segment and number), tf, dl."""
+        version = version or self.live()
+        rows = self._read("blocks", version.segments if version else [], _BLOCKS)
+        rows = rows.select("segment", "token", F.inline("entries"))
+        gone = self._gone(version) if version else None
+        rows = rows if gone is None else rows.join(gone.select("segment", "no"), ["segment", "no"], "left_anti")
+        return rows.select("token", F.struct("segment", "no").alias("chunk_id"), "tf", "dl")
 
     def vectors(self, version: Version | None = None) -> DataFrame:
         return self._alive("vectors", "chunk_id string, doc_id string, vector array<float>", version)
@@ -152,7 +181,8 @@ class IndexStore:
         version = version or self.live()
         n, length = (version.chunks, version.length) if version else (0, 0)
         mean = self.spark.range(1).select(F.lit(length / n if n else None).cast("double").alias("avgdl"))
-        return LexicalIndex(self.postings(version).select("chunk_id", "token", "tf", "dl"), inverse_frequencies(self.terms(version), F.lit(n)), mean)
+        names = self.chunks(version).select(F.struct("segment", "no").alias("_key"), "chunk_id")
+        return LexicalIndex(self.postings(version), inverse_frequencies(self.terms(version), F.lit(n)), mean, names)
 
     # ---- updates ----
 
@@ -180,10 +210,12 @@ class IndexStore:
             return before
         segments, gone = list(before.segments) if before else [], list(before.tombstones) if before else []
         if adding:
-            self._write_segment(segment, chunks.join(adds.select("doc_id"), "doc_id", "left_semi"), adds)
+            # Where nothing stays as it is, no chunk has to be told from the others.
+            self._write_segment(segment, chunks if set(found) == {"new"} else chunks.join(adds.select("doc_id"), "doc_id", "left_semi"), adds)
             segments.append(segment)
         if dropping:
-            drops.select("segment", "doc_id").write.parquet(f"{self.folder}/tombstones/{number:010d}")
+            old = self._read("forward", before.segments, "no long, doc_id string")
+            old.join(drops.select("segment", "doc_id"), ["segment", "doc_id"], "left_semi").select("segment", "doc_id", "no").write.parquet(f"{self.folder}/tombstones/{number:010d}")
             gone.append(number)
         self._write_terms(number, before, segment if adding else None, drops if dropping else None)
         plus = self._totals(self._read("documents", [segment] if adding else [], "doc_id string, digest string, chunks long, length long"))
@@ -201,23 +233,23 @@ class IndexStore:
 
     def _write_segment(self, segment: str, chunks: DataFrame, documents: DataFrame) -> None:
         at = f"{self.folder}/segments/{segment}"
-        # Sorted runs of a token's postings; a frequent token is split by chunk, not gathered in one task.
-        postings_of(chunks).repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id").write.parquet(f"{at}/postings")
-        lengths = self.spark.read.parquet(f"{at}/postings").groupBy("chunk_id").agg(F.first("dl").alias("_l"))
-        chunks.select("chunk_id", "doc_id").join(lengths, "chunk_id", "left").select("chunk_id", "doc_id", F.coalesce("_l", F.lit(0)).alias("dl")).write.parquet(f"{at}/chunks")
-        per = self.spark.read.parquet(f"{at}/chunks").groupBy("doc_id").agg(F.sum("dl").alias("length"))
+        forward_rows(chunks).write.parquet(f"{at}/forward")
+        forward = self.spark.read.parquet(f"{at}/forward")
+        # Sorted within files, so that a reader can skip row groups; a frequent token has many blocks, which spread.
+        block_rows(forward).sortWithinPartitions("token", "block").write.parquet(f"{at}/blocks")
+        per = forward.groupBy("doc_id").agg(F.sum("dl").alias("length"))
         documents.join(per, "doc_id").select("doc_id", F.col("new_digest").alias("digest"), F.col("new_chunks").alias("chunks"), "length").write.parquet(f"{at}/documents")
         if self.dense:
             embed(chunks.select("chunk_id", "doc_id", "content"), "content", model=self.model).select("chunk_id", "doc_id", "vector").write.parquet(f"{at}/vectors")
 
     def _write_terms(self, number: int, before: Version | None, segment: str | None, drops: DataFrame | None) -> None:
-        postings = "chunk_id string, doc_id string, token string, tf long, dl int"
         parts = [self.terms(before)] if before else []
+        counted = lambda rows, sign: rows.select(F.explode("tokens").alias("token")).groupBy("token").agg((F.count("*") * sign).alias("df"))
         if segment:
-            parts.append(self._read("postings", [segment], postings).groupBy("token").agg(F.count("*").alias("df")))
+            parts.append(counted(self._read("forward", [segment], "tokens array<string>"), 1))
         if drops is not None:
-            old = self._read("postings", before.segments, postings).join(drops.select("segment", "doc_id"), ["segment", "doc_id"], "left_semi")
-            parts.append(old.groupBy("token").agg((-F.count("*")).alias("df")))
+            old = self._read("forward", before.segments, "doc_id string, tokens array<string>")
+            parts.append(counted(old.join(drops.select("segment", "doc_id"), ["segment", "doc_id"], "left_semi"), -1))
         whole = parts[0]
         for p in parts[1:]:
             whole = whole.unionByName(p)
@@ -241,8 +273,11 @@ class IndexStore:
         before = self.live()
         segment, number = uuid.uuid4().hex, before.number + 1
         at = f"{self.folder}/segments/{segment}"
-        self.postings(before).drop("segment").repartitionByRange("token", "chunk_id").sortWithinPartitions("token", "chunk_id").write.parquet(f"{at}/postings")
-        parts = {"chunks": self.chunks(before), "documents": self.documents(before)} | ({"vectors": self.vectors(before)} if self.dense else {})
+        # Chunks are numbered anew: numbers are a segment's own.
+        rows = self._alive("forward", "no long, chunk_id string, doc_id string, dl int, tokens array<string>, tfs array<int>", before)
+        rows.drop("segment", "no").select(F.monotonically_increasing_id().alias("no"), "*").write.parquet(f"{at}/forward")
+        block_rows(self.spark.read.parquet(f"{at}/forward")).sortWithinPartitions("token", "block").write.parquet(f"{at}/blocks")
+        parts = {"documents": self.documents(before)} | ({"vectors": self.vectors(before)} if self.dense else {})
         for name, rows in parts.items():
             rows.drop("segment").write.parquet(f"{at}/{name}")
         self.terms(before).write.parquet(f"{self.folder}/terms/{number:010d}")

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkfolio.operators import evaluation as E
 from sparkfolio.operators import retrieval as R
+from sparkfolio.operators.order import positions
+from sparkfolio.operators.quantiles import floor_index, nth_values, upper_median
 from sparkfolio.plans.retrieval_queries import _BM, _FUSED, _GATE, _fused_sql, dense, gated, sparse
 from sparkfolio.registry import query
 from sparkfolio.sources import fixtures as X
@@ -166,8 +168,9 @@ def top_floor(spark, sf_dir):
 
 @query("win_mid", f"WITH {_SCORES}, u AS (SELECT DISTINCT round(best, 4) AS s FROM sc) SELECT round((s + lead(s) OVER (ORDER BY s)) / 2, 6) AS mid FROM u QUALIFY lead(s) OVER (ORDER BY s) IS NOT NULL")
 def win_mid(spark, sf_dir):
-    u = scores(spark, sf_dir).select(F.round("best", 4).alias("s")).distinct()
-    return u.select(F.round((F.col("s") + F.lead("s").over(Window.orderBy("s"))) / 2, 6).alias("mid")).where("mid IS NOT NULL")
+    u = positions(scores(spark, sf_dir).select(F.round("best", 4).alias("s")).distinct(), F.col("s"))
+    following = u.select((F.col("pos") - 1).alias("pos"), F.col("s").alias("_next"))
+    return u.join(following, "pos").select(F.round((F.col("s") + F.col("_next")) / 2, 6).alias("mid"))
 
 
 def _pctl(col: str, f: float) -> str:
@@ -176,13 +179,13 @@ def _pctl(col: str, f: float) -> str:
 
 @query("agg_pctl", f"SELECT event_type, {_pctl('value', 0.5)} AS p50, {_pctl('value', 0.95)} AS p95 FROM events GROUP BY 1")
 def agg_pctl(spark, sf_dir):
-    return X.requests(spark, sf_dir).groupBy("event_type").agg(E.floor_percentile(F.col("latency_ms"), 0.5).alias("p50"), E.floor_percentile(F.col("latency_ms"), 0.95).alias("p95"))
+    found = nth_values(X.requests(spark, sf_dir), ["event_type"], "latency_ms", {"p50": floor_index(0.5), "p95": floor_index(0.95)})
+    return found.select("event_type", *[F.round(F.coalesce(c, F.lit(0.0)), 1).alias(c) for c in ("p50", "p95")])
 
 
 @query("agg_upmed", f"WITH {_SCORES} SELECT answerable, list_sort(list(best))[(count(*) // 2)::INT + 1] AS median FROM sc GROUP BY 1")
 def agg_upmed(spark, sf_dir):
-    ordered = F.array_sort(F.collect_list("best"))
-    return scores(spark, sf_dir).groupBy("answerable").agg(F.get(ordered, F.floor(F.size(ordered) / 2).cast("int")).alias("median"))
+    return nth_values(scores(spark, sf_dir), ["answerable"], "best", {"median": upper_median})
 
 
 @query("agg_mean", "SELECT user_id % 50 AS shelf, round(avg(CASE WHEN event_type <> 'error' THEN value END), 6) AS mean FROM events GROUP BY 1")
@@ -227,8 +230,9 @@ def ev_quality(spark, sf_dir):
 @query("ev_latency", f"SELECT {_pctl('value', 0.5)} AS retrieval_p50, round(coalesce(list_sort(list(value) FILTER (event_type = 'click'))[least(floor((count(*) FILTER (event_type = 'click')) * 0.95), (count(*) FILTER (event_type = 'click')) - 1)::INT + 1], 0), 1) AS generation_p95 FROM events WHERE event_type <> 'error'")
 def ev_latency(spark, sf_dir):
     r = X.requests(spark, sf_dir).where(~F.col("failed"))
-    generated = F.when(F.col("event_type") == "click", F.col("latency_ms"))
-    return r.agg(E.floor_percentile(F.col("latency_ms"), 0.5).alias("retrieval_p50"), E.floor_percentile(generated, 0.95).alias("generation_p95"))
+    retrieval = nth_values(r, [], "latency_ms", {"retrieval_p50": floor_index(0.5)})
+    generation = nth_values(r.where("event_type = 'click'"), [], "latency_ms", {"generation_p95": floor_index(0.95)})
+    return retrieval.crossJoin(F.broadcast(generation)).select(*[F.round(F.coalesce(c, F.lit(0.0)), 1).alias(c) for c in ("retrieval_p50", "generation_p95")])
 
 
 @query("ev_bycat", f"WITH {_RES} SELECT event_type AS category, count(*) AS n, round(avg(value), 6) AS mean FROM res WHERE outcome = 'generated' GROUP BY 1")

@@ -235,11 +235,10 @@ def src_digest(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
 
 
-@query("src_prose", f"{_W} SELECT doc_id, page_number FROM raw_pages WHERE NOT (CASE WHEN page_number % 3 = 0 THEN 70 ELSE 40 END / 100.0 > 0.6)")
+@query("src_prose", f"WITH {X.LAYOUT_SQL} SELECT doc_id, page, block FROM blocks WHERE (doc_id, block) NOT IN (SELECT (doc_id, block) FROM met WHERE (ix1 - ix0) * (iy1 - iy0) / area > 0.6)")
 def src_prose(spark, sf_dir):
-    """Text blocks that lie in a table by more than 0.6 of their area are dropped (bounding boxes: x0, y0, x1, y1)."""
-    from sparkfolio.functions.tables import overlap_ratio
+    """Text blocks that lie in one of their page's tables by more than 0.6 of their area are dropped."""
+    from sparkfolio.operators import spatial
 
-    covered = F.when(F.col("page_number") % 3 == 0, 70.0).otherwise(40.0)
-    box, area = F.array(*map(F.lit, (0.0, 0.0, 100.0, 10.0))), F.array(F.lit(0.0), F.lit(0.0), covered, F.lit(10.0))
-    return X.raw_pages(spark, sf_dir).where(overlap_ratio(box, area) <= 0.6).select("doc_id", "page_number")
+    blocks, tables = X.layout(spark, sf_dir)
+    return spatial.prose_outside(blocks, tables, ["doc_id", "page"], ["doc_id", "page", "block"]).select("doc_id", "page", "block")

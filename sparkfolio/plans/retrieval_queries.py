@@ -33,7 +33,9 @@ def index(spark, sf_dir) -> R.LexicalIndex:
     folder, then = _stores.get(key) or (scratch(spark, "index"), None)
     store = IndexStore(spark, folder, dense=False)
     if then != now:
-        store.update(X.chunks(spark, sf_dir))
+        chunks, cores = X.chunks(spark, sf_dir), spark.sparkContext.defaultParallelism
+        # A plain scan of a few files is one or two tasks; tokenising is the work.
+        store.update(chunks.repartition(cores) if chunks.rdd.getNumPartitions() < cores else chunks)
         store.vacuum()
         _stores[key] = folder, now
     return store.lexical()

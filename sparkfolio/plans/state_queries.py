@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sparkfolio.functions import text as T
 from sparkfolio.operators import state as S
+from sparkfolio.operators.order import positions
 from sparkfolio.registry import query
 from sparkfolio.sources import fixtures as X
 from sparkfolio.sources.files import scratch
@@ -69,7 +67,7 @@ def flt_ttl(spark, sf_dir):
 @query("win_evict", f"WITH {_WRITES} SELECT key FROM latest QUALIFY row_number() OVER (ORDER BY stored_at DESC, key) > 256")
 def win_evict(spark, sf_dir):
     latest = writes(spark, sf_dir).groupBy("key").agg(F.max("stored_at").alias("s"))
-    return latest.select("key", F.row_number().over(Window.orderBy(F.col("s").desc(), "key")).alias("n")).where("n > 256").select("key")
+    return positions(latest, F.col("s").desc(), F.col("key"), name="n").where("n > 256").select("key")
 
 
 _LOG_SQL = r"regexp_replace(regexp_replace(text, '[\p{L}\p{N}_.+-]+@[\p{L}\p{N}_-]+\.[\p{L}\p{N}_.]+', '[email]', 'g'), '(^|[^\p{L}\p{N}_])[1-9][0-9]{12,}\b', '\1[number]', 'g')"
@@ -154,14 +152,36 @@ def src_pdf(spark, sf_dir):
 
 
 def _run(stream, spark, mode: str, store: str | None = None):
-    """A bounded run of a stream into memory."""
-    name = f"s{uuid.uuid4().hex}"
+    """A bounded run of a stream into Parquet files of the shared folder, read back; nothing passes the driver.
+
+    In append mode the file sink commits every batch once.  In complete mode each batch is the whole result
+    and goes to a folder of its own, over which a batch that runs again writes; the last one counts.
+    The state store's provider is set for this run only.
+    """
+    key, path, batches = "spark.sql.streaming.stateStore.providerClass", scratch(spark, "stream"), []
+    before = spark.conf.get(key, None)
     if store:
-        spark.conf.set("spark.sql.streaming.stateStore.providerClass", store)
-    where = scratch(spark, "stream")
-    run = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", where).trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name)
+        spark.conf.set(key, store)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True)
+        if mode == "append":
+            run = writer.format("parquet").option("path", f"{path}/rows").start()
+        else:
+
+            def keep(batch, number):
+                batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+                batches.append(number)
+
+            run = writer.foreachBatch(keep).start()
+        run.awaitTermination()
+    finally:
+        if store and before is None:
+            spark.conf.unset(key)
+        elif store:
+            spark.conf.set(key, before)
+    if mode == "append":
+        return spark.read.schema(stream.schema).parquet(f"{path}/rows")
+    return spark.read.schema(stream.schema).parquet(f"{path}/batch={max(batches)}") if batches else spark.createDataFrame([], stream.schema)
 
 
 @query("st_budget_stream", f"WITH {_R} SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS used FROM req GROUP BY 1")

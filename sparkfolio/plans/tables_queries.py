@@ -107,9 +107,19 @@ def tab_split(spark, sf_dir):
     return X.table(spark, sf_dir, "documents").select("doc_id", F.posexplode(G.split_markdown(table, 2400)).alias("part", "content"))
 
 
-@query("jn_bbox", "SELECT doc_id, greatest(0, least(100, 30 + doc_id % 50) - doc_id % 50) / 100.0::DOUBLE AS share FROM documents")
+_UNITS = "units AS (SELECT doc_id, block, count(*) AS covered FROM (SELECT DISTINCT doc_id, block, x, unnest(range(iy0, iy1)) AS y FROM (SELECT *, unnest(range(ix0, ix1)) AS x FROM met)) GROUP BY 1, 2)"
+
+
+@query(
+    "jn_bbox",
+    f"WITH {X.LAYOUT_SQL}, {_UNITS}, m AS (SELECT doc_id, block, count(*) AS n_tables, max((ix1 - ix0) * (iy1 - iy0) / area) AS largest FROM met GROUP BY 1, 2) "
+    "SELECT b.doc_id, page, b.block, coalesce(n_tables, 0) AS n_tables, round(coalesce(largest, 0), 6) AS largest, round(coalesce(covered / ((x1 - x0) * (y1 - y0)), 0), 6) AS together "
+    "FROM blocks b LEFT JOIN m ON b.doc_id = m.doc_id AND b.block = m.block LEFT JOIN units u ON b.doc_id = u.doc_id AND b.block = u.block",
+)
 def jn_bbox(spark, sf_dir):
-    """Share of a page's text block that a table's box covers."""
-    x = (F.col("doc_id") % 50).cast("double")
-    block, area = F.array(*map(F.lit, (0.0, 0.0, 100.0, 10.0))), F.array(x, F.lit(0.0), x + 30, F.lit(10.0))
-    return X.table(spark, sf_dir, "documents").select("doc_id", G.overlap_ratio(block, area).alias("share"))
+    """Shares of every text block that its page's tables cover: the largest of one table, and that of all together."""
+    from sparkfolio.operators import spatial
+
+    blocks, tables = X.layout(spark, sf_dir)
+    found = spatial.coverage(blocks, tables, ["doc_id", "page"], ["doc_id", "page", "block"])
+    return found.select("doc_id", "page", "block", "n_tables", F.round("largest", 6).alias("largest"), F.round("together", 6).alias("together"))

@@ -61,6 +61,32 @@ CHUNKS_SQL = """chunks AS (
          text AS content, doc_id AS pos FROM documents)"""
 
 
+def layout(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Text blocks (doc_id, page, block) and tables (doc_id, page) as rectangles: ten lines of a document to a page.
+
+    A block is as wide as its line is long; every line with an even length also has a table near it, whose
+    place and size follow from that length, so a page has several that overlap blocks and each other.
+    """
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("_i", "_line"))
+    at = lines.select("doc_id", F.floor(F.col("_i") / 10).alias("page"), F.col("_i").cast("long").alias("block"), (F.col("_i") % 10).alias("_r"), F.length("_line").alias("_n"))
+    x, y = F.col("_n") % 4 * 5, F.col("_r") * 12
+    blocks = at.select("doc_id", "page", "block", *_box(x, y, 10 + F.least("_n", F.lit(80)), F.lit(10)))
+    u, w = F.col("_n") % 37, F.col("_r") * 12 + F.col("_n") % 9 - 4
+    tables = at.where("_n % 2 = 0").select("doc_id", "page", *_box(u, w, 20 + F.col("_n") % 50, 8 + F.col("_n") % 13))
+    return blocks, tables
+
+
+def _box(x, y, width, height) -> list:
+    return [c.cast("double").alias(name) for c, name in ((x, "x0"), (y, "y0"), (x + width, "x1"), (y + height, "y1"))]
+
+
+LAYOUT_SQL = """lay AS MATERIALIZED (SELECT doc_id, (i - 1) // 10 AS page, i - 1 AS block, (i - 1) % 10 AS r, length(lines[i]) AS n FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents))),
+blocks AS (SELECT doc_id, page, block, n % 4 * 5 AS x0, r * 12 AS y0, n % 4 * 5 + 10 + least(n, 80) AS x1, r * 12 + 10 AS y1 FROM lay),
+tables AS (SELECT doc_id, page, n % 37 AS x0, r * 12 + n % 9 - 4 AS y0, n % 37 + 20 + n % 50 AS x1, r * 12 + n % 9 + 4 + n % 13 AS y1 FROM lay WHERE n % 2 = 0),
+met AS (SELECT b.doc_id, b.page, b.block, (b.x1 - b.x0) * (b.y1 - b.y0) AS area, greatest(b.x0, t.x0) AS ix0, greatest(b.y0, t.y0) AS iy0, least(b.x1, t.x1) AS ix1, least(b.y1, t.y1) AS iy1
+  FROM blocks b JOIN tables t ON b.doc_id = t.doc_id AND b.page = t.page AND b.x0 < t.x1 AND t.x0 < b.x1 AND b.y0 < t.y1 AND t.y0 < b.y1)"""
+
+
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
 

@@ -5,12 +5,6 @@ from sparkfolio.operators import evaluation as E
 from sparkfolio.operators.providers import Chain, GaveUp, RetryPolicy, call_with_retry
 
 
-def test_floor_percentile_index(spark):
-    rows = spark.createDataFrame([(1.0,), (2.0,), (3.0,), (10.0,)], "x double")
-    assert rows.agg(E.floor_percentile(rows.x, 0.5)).first()[0] == 3.0
-    assert rows.where("x < 0").agg(E.floor_percentile(rows.x, 0.5)).first()[0] == 0.0
-
-
 def test_floor_calibration_is_lexicographic(spark):
     rows = spark.createDataFrame([(True, 0.9), (True, 0.2), (True, 0.5), (False, 0.3), (False, 0.1)], "answerable boolean, best double")
     got = E.calibrate_floor(rows).first()
