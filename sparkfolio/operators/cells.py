@@ -43,7 +43,8 @@ def fit_centres(sample: np.ndarray, cells: int, rounds: int = ROUNDS) -> np.ndar
     start = np.unique(np.linspace(0, len(sample) - 1, cells).round().astype(int))
     centres = sample[start].copy()
     for _ in range(rounds):
-        cell = (sample @ centres.T).argmax(1)
+        # A slice at a time: the driver never holds all products.
+        cell = np.concatenate([(sample[s : s + 1024] @ centres.T).argmax(1) for s in range(0, len(sample), 1024)])
         total = np.zeros_like(centres)
         np.add.at(total, cell, sample)
         length = np.linalg.norm(total, axis=1)

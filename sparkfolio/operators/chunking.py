@@ -181,13 +181,17 @@ def grouped(sentences: Column, limit: Column, min_chars: int) -> Column:
 
 
 def stream_texts(streams: DataFrame) -> DataFrame:
-    """doc_id, stream, text (pages joined by blank lines) and ``pages`` (at: where in the text, page: its number)."""
-    rows = streams.groupBy("doc_id", "stream").agg(F.array_sort(F.collect_list(F.struct("page_number", "content"))).alias("_p"))
-    lengths = F.transform("_p", lambda p: F.length(p["content"]) + 2)
-    at = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+    """doc_id, stream, text (pages joined by blank lines) and ``pages`` (at: where in the text, page: its number).
+
+    Places are running sums over a stream's pages; pages without content take no place.
+    """
+    before = Window.partitionBy("doc_id", "stream").orderBy("page_number", "content").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.coalesce(F.sum(F.length("content") + 2).over(before), F.lit(0)).cast("int")
+    placed = streams.where(F.col("content").isNotNull()).select("doc_id", "stream", "page_number", "content", at.alias("at"))
+    rows = placed.groupBy("doc_id", "stream").agg(F.array_sort(F.collect_list(F.struct("at", "page_number", "content"))).alias("_p"))
     return rows.select(
         "doc_id", "stream", F.array_join(F.transform("_p", lambda p: p["content"]), "\n\n").alias("text"),
-        F.transform("_p", lambda p, i: F.struct(at(i).alias("at"), p["page_number"].alias("page"))).alias("pages"),
+        F.transform("_p", lambda p: F.struct(p["at"].alias("at"), p["page_number"].alias("page"))).alias("pages"),
     )
 
 

@@ -106,3 +106,12 @@ def test_settings_are_checked():
 def test_streams_table(spark):
     made = pieces(spark, [(1, "Plain words fill this page. " * 20), (2, "||| --- |||")])
     assert {r["fate"] for r in made} <= {"kept", "short", "noise"} and made
+
+
+def test_pages_without_content_take_no_place(spark):
+    first, second = "first page words " * 12, "other words of a later page " * 12
+    got = pieces(spark, [(1, None), (2, first), (3, None), (4, second)], ChunkSettings(strategy="recursive", fallback_chars=300, overlap_chars=0))
+    for r in got:
+        assert (r["page_start"], r["page_end"]) == (2 if "first" in r["content"] else 4, 4 if "later" in r["content"] else 2)
+    assert any(r["page_start"] == 4 for r in got) and all(r["located"] for r in got)
+    assert pieces(spark, [(1, None), (2, None)]) == []
