@@ -124,6 +124,10 @@ class IndexStore:
         found = json.loads(self.spark.read.text(f"{self.folder}/versions/{done[-1]}").first()["value"])
         return Version(**found)
 
+    def next_number(self) -> int:
+        live = self.live()
+        return live.number + 1 if live else 1
+
     def _commit(self, version: Version) -> Version:
         line = self.spark.createDataFrame([(json.dumps(asdict(version)),)], "value string")
         line.coalesce(1).write.text(f"{self.folder}/versions/{version.number:010d}")
@@ -186,11 +190,12 @@ class IndexStore:
 
     # ---- updates ----
 
-    def update(self, chunks: DataFrame, digests: DataFrame | None = None) -> Version:
+    def update(self, chunks: DataFrame, digests: DataFrame | None = None, vectors: DataFrame | None = None) -> Version:
         """Make ``chunks`` (chunk_id, doc_id, content) the content of both indexes.
 
         ``digests`` (doc_id, digest) are those of the source files; without them the
         chunks are digested.  A document is the same if digest and number of chunks are.
+        ``vectors`` (chunk_id, vector) of all chunks, if they are there already, aren't made again.
         """
         before = self.live()
         number, segment = (before.number + 1 if before else 1), uuid.uuid4().hex
@@ -211,7 +216,7 @@ class IndexStore:
         segments, gone = list(before.segments) if before else [], list(before.tombstones) if before else []
         if adding:
             # Where nothing stays as it is, no chunk has to be told from the others.
-            self._write_segment(segment, chunks if set(found) == {"new"} else chunks.join(adds.select("doc_id"), "doc_id", "left_semi"), adds)
+            self._write_segment(segment, chunks if set(found) == {"new"} else chunks.join(adds.select("doc_id"), "doc_id", "left_semi"), adds, vectors)
             segments.append(segment)
         if dropping:
             old = self._read("forward", before.segments, "no long, doc_id string")
@@ -231,7 +236,7 @@ class IndexStore:
     def _totals(self, documents: DataFrame) -> list[int]:
         return [int(v or 0) for v in documents.agg(F.sum("chunks"), F.sum("length"), F.count("*"), *_identity()).first()]
 
-    def _write_segment(self, segment: str, chunks: DataFrame, documents: DataFrame) -> None:
+    def _write_segment(self, segment: str, chunks: DataFrame, documents: DataFrame, vectors: DataFrame | None) -> None:
         at = f"{self.folder}/segments/{segment}"
         forward_rows(chunks).write.parquet(f"{at}/forward")
         forward = self.spark.read.parquet(f"{at}/forward")
@@ -239,7 +244,9 @@ class IndexStore:
         block_rows(forward).sortWithinPartitions("token", "block").write.parquet(f"{at}/blocks")
         per = forward.groupBy("doc_id").agg(F.sum("dl").alias("length"))
         documents.join(per, "doc_id").select("doc_id", F.col("new_digest").alias("digest"), F.col("new_chunks").alias("chunks"), "length").write.parquet(f"{at}/documents")
-        if self.dense:
+        if self.dense and vectors is not None:
+            forward.select("chunk_id", "doc_id").join(vectors, "chunk_id").select("chunk_id", "doc_id", F.col("vector").cast("array<float>").alias("vector")).write.parquet(f"{at}/vectors")
+        elif self.dense:
             embed(chunks.select("chunk_id", "doc_id", "content"), "content", model=self.model).select("chunk_id", "doc_id", "vector").write.parquet(f"{at}/vectors")
 
     def _write_terms(self, number: int, before: Version | None, segment: str | None, drops: DataFrame | None) -> None:

@@ -230,6 +230,23 @@ def ret_hybrid(spark, sf_dir):
     return final(spark, sf_dir).select("query_id", "chunk_id", "fused_rank", "rerank_score", "final_rank")
 
 
+@query("ret_modes")
+def ret_modes(spark, sf_dir):
+    """The composed path in all four modes: pages chunked, deduplicated and indexed, questions embedded, ranked passages of each mode."""
+    from dataclasses import replace
+
+    from sparkfolio.operators import corpus as C
+    from sparkfolio.sources.files import scratch
+
+    pages = X.raw_pages(spark, sf_dir)
+    made = C.build(pages.where(F.length("content") > 0), scratch(spark, "corpus"))
+    out = None
+    for mode in ("dense", "sparse", "hybrid", "hybrid_rerank"):
+        found = C.ask(X.questions(spark, sf_dir), made, replace(HYBRID, mode=mode)).select(F.lit(mode).alias("mode"), "query_id", "chunk_id", "final_rank")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
 @query("top_rerank", f"{_RERANKED} SELECT query_id, string_agg(chunk_id, ',' ORDER BY final_rank) AS top FROM fin GROUP BY 1")
 def top_rerank(spark, sf_dir):
     ordered = F.array_sort(F.collect_list(F.struct("final_rank", "chunk_id")))
