@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, MapType, StringType, StructField, StructType
 
 
 @dataclass(frozen=True)
@@ -52,6 +54,14 @@ def call_with_retry(call: Callable[[], str], classify: Callable[[Exception], tup
     raise AssertionError("unreachable")
 
 
+@dataclass(frozen=True)
+class Reply:
+    text: str | None
+    provider: str | None
+    calls: dict[str, int]
+    errors: list[str]
+
+
 @dataclass
 class Chain:
     """Providers in order; one that ran out of its daily quota is skipped for a while."""
@@ -62,14 +72,56 @@ class Chain:
     cooldown_s: float = 3600.0
     marks: dict[str, float] = field(default_factory=dict)
 
-    def answer(self, prompt: str, now: float, sleep: Callable[[float], None]) -> tuple[str | None, str | None]:
-        """The first answer and who gave it; (None, None) if all fail: the caller then serves the evidence itself."""
+    def ask(self, prompt: str, now: float, sleep: Callable[[float], None]) -> Reply:
+        """The first answer, who gave it, how often each provider was called, and why others gave none."""
+        calls: dict[str, int] = {}
+        errors: list[str] = []
         for name, call in self.providers.items():
             if self.marks.get(name, float("-inf")) > now:
+                errors.append(f"{name}: cooling")
                 continue
+            calls[name] = 0
+
+            def count(name=name):
+                calls[name] += 1
+
             try:
-                return call_with_retry(lambda: call(prompt), self.classify, self.policy, sleep), name  # noqa: B023
+                return Reply(call_with_retry(lambda call=call: call(prompt), self.classify, self.policy, sleep, count), name, calls, errors)
             except GaveUp as error:
+                errors.append(f"{name}: {error.reason}")
                 if error.reason == "daily_quota":
                     self.marks[name] = now + self.cooldown_s
-        return None, None
+        return Reply(None, None, calls, errors)
+
+    def answer(self, prompt: str, now: float, sleep: Callable[[float], None]) -> tuple[str | None, str | None]:
+        """The first answer and who gave it; (None, None) if all fail: the caller then serves the evidence itself."""
+        reply = self.ask(prompt, now, sleep)
+        return reply.text, reply.provider
+
+
+def generate(rows: DataFrame, make_chain: Callable[[], Chain], clock: Callable[[], float] = time.time, sleep: Callable[[float], None] = time.sleep) -> DataFrame:
+    """Adds mode, text, provider, failover, calls (by provider) and errors to ``rows`` (refused, prompt, evidence, ...).
+
+    The chain is made once in every task, so its clients and cooldown marks live as long as the task; a
+    provider without quota is asked again by other tasks, once each.  Refused rows call nobody; where all
+    providers fail, the evidence is served as it is.  Calls are a column, not an accumulator: a task that runs again
+    would be counted twice there.
+    """
+
+    def run(batches):
+        chain = make_chain()
+        for batch in batches:
+            made = [None if refused else chain.ask(prompt, clock(), sleep) for refused, prompt in zip(batch["refused"], batch["prompt"], strict=True)]
+            first = next(iter(chain.providers), None)
+            yield batch.assign(
+                mode=["refused" if m is None else "degraded" if m.text is None else "generated" for m in made],
+                text=[None if m is None else e if m.text is None else m.text for m, e in zip(made, batch["evidence"], strict=True)],
+                provider=[m.provider if m else None for m in made],
+                failover=[bool(m and m.provider is not None and m.provider != first) for m in made],
+                calls=[m.calls if m else {} for m in made],
+                errors=[m.errors if m else [] for m in made],
+            ).astype({"mode": object, "text": object, "provider": object})
+
+    kept = rows.drop("mode", "text", "provider", "failover", "calls", "errors")
+    extra = [("mode", StringType()), ("text", StringType()), ("provider", StringType()), ("failover", BooleanType()), ("calls", MapType(StringType(), IntegerType())), ("errors", ArrayType(StringType()))]
+    return kept.mapInPandas(run, StructType([*kept.schema.fields, *[StructField(n, t) for n, t in extra]]))

@@ -450,6 +450,54 @@ def gen_answer(spark, sf_dir):
     return gated(spark, sf_dir).select("query_id", F.when(F.col("refused"), "refused").otherwise("degraded").alias("mode"), "n_admitted")
 
 
+_HEX = "(instr('0123456789abcdef', substr(md5(question), @, 1)) - 1)"
+_ONE, _TWO = _HEX.replace("@", "1"), _HEX.replace("@", "2")
+
+
+@query(
+    "gen_chain",
+    f"{_GATE}, h AS (SELECT query_id, refused, {_ONE} AS a, {_TWO} AS b FROM gate JOIN questions USING (query_id)) "
+    "SELECT query_id, CASE WHEN refused THEN 'refused' WHEN a < 6 AND b < 8 THEN 'degraded' ELSE 'generated' END AS mode, "
+    "CASE WHEN refused OR a < 6 AND b < 8 THEN NULL WHEN a < 6 THEN 'second' ELSE 'first' END AS provider, NOT refused AND a < 6 AND b >= 8 AS failover, "
+    "CASE WHEN refused THEN 0 WHEN a < 6 THEN 1 WHEN a < 12 THEN 2 ELSE 1 END AS calls_first, CASE WHEN NOT refused AND a < 6 THEN 1 ELSE 0 END AS calls_second FROM h",
+)
+def gen_chain(spark, sf_dir):
+    """Answers from a chain of two providers in the tasks: by the question's digest the first one refuses for good, fails once or answers; so does the second."""
+    from hashlib import md5
+
+    from sparkfolio.operators.providers import Chain, RetryPolicy, generate
+
+    def chain():
+        failed: set[str] = set()
+
+        def digits(prompt):
+            return [int(c, 16) for c in md5(prompt.partition(": ")[2].encode()).hexdigest()[:2]]
+
+        def first(prompt):
+            a = digits(prompt)[0]
+            if a < 6:
+                raise ValueError("permanent")
+            if a < 12 and prompt not in failed:
+                failed.add(prompt)
+                raise TimeoutError("once")
+            failed.discard(prompt)
+            return "first [1]"
+
+        def second(prompt):
+            if digits(prompt)[1] < 8:
+                raise ValueError("permanent")
+            return "second [1]"
+
+        kind = lambda e: ("transient", None) if isinstance(e, TimeoutError) else ("permanent", None)
+        return Chain({"first": first, "second": second}, kind, RetryPolicy())
+
+    rows = gated(spark, sf_dir).join(X.questions(spark, sf_dir), "query_id").select("query_id", "refused", "question")
+    asked = rows.select("query_id", "refused", F.concat(F.lit("Answer from the evidence: "), "question").alias("prompt"), F.lit("evidence [1]").alias("evidence"))
+    made = generate(asked, chain, sleep=lambda seconds: None)  # offline providers need no pause
+    calls = lambda name: F.coalesce(F.element_at("calls", name), F.lit(0)).alias(f"calls_{name}")
+    return made.select("query_id", "mode", "provider", "failover", calls("first"), calls("second"))
+
+
 @query("ret_llmrewrite", f"WITH {X.TURNS_SQL} SELECT conv_id, turn, question AS rewritten FROM turns")
 def ret_llmrewrite(spark, sf_dir):
     """A model's rewrite only counts for follow-ups, on one line and up to 300 characters; offline the rules stand in."""

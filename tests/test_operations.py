@@ -47,3 +47,29 @@ def test_configuration_checks_and_fingerprint():
     assert Settings(primary_key=" ").primary_key is None
     assert Settings(primary_key="x").fingerprint() == Settings().fingerprint()
     assert Settings(near_duplicate_threshold=0.9).fingerprint() != Settings().fingerprint()
+
+
+def test_chains_run_in_tasks_with_cooldown_and_failover(spark):
+    from sparkfolio.operators.providers import generate
+
+    def chain():
+        def first(prompt):
+            raise RuntimeError("daily" if "quota" in prompt else "busy" if "busy" in prompt else "bad")
+
+        def second(prompt):
+            if "nobody" in prompt:
+                raise RuntimeError("bad")
+            return prompt.upper()
+
+        kinds = {"daily": "daily_quota", "busy": "transient", "bad": "permanent"}
+        return Chain({"first": first, "second": second}, lambda e: (kinds[str(e)], None), RetryPolicy(attempts=2))
+
+    rows = [(1, False, "bad a", "e1"), (2, False, "busy b", "e2"), (3, True, "c", "e3"), (4, False, "bad nobody", "e4"), (5, False, "quota d", "e5"), (6, False, "bad e", "e6")]
+    df = spark.createDataFrame(rows, "id long, refused boolean, prompt string, evidence string").coalesce(1).sortWithinPartitions("id")
+    got = {r["id"]: r for r in generate(df, chain, clock=lambda: 0.0, sleep=lambda s: None).collect()}
+    assert [(got[i]["mode"], got[i]["text"], got[i]["provider"], got[i]["failover"]) for i in range(1, 7)] == [
+        ("generated", "BAD A", "second", True), ("generated", "BUSY B", "second", True), ("refused", None, None, False),
+        ("degraded", "e4", None, False), ("generated", "QUOTA D", "second", True), ("generated", "BAD E", "second", True),
+    ]
+    assert [got[i]["calls"] for i in range(1, 7)] == [{"first": 1, "second": 1}, {"first": 3, "second": 1}, {}, {"first": 1, "second": 1}, {"first": 1, "second": 1}, {"second": 1}]
+    assert got[6]["errors"] == ["first: cooling"] and got[4]["errors"] == ["first: permanent", "second: permanent"]
