@@ -18,6 +18,8 @@ from sparkfolio.functions import text as T
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 RRF_K = 60
+#: Rows of (question, term, weight) that are broadcast: about ten megabytes.
+ASKED_TERMS = 100_000
 
 
 @dataclass(frozen=True)
@@ -86,11 +88,13 @@ def bm25(questions: DataFrame, index: LexicalIndex) -> DataFrame:
     """query_id, chunk_id and the positive Okapi scores; a repeated question word counts repeatedly.
 
     Terms of questions meet their statistics before the postings, so only the postings
-    of asked terms are joined.  The one-row table of the mean length is the only side
-    that is broadcast by hand.
+    of asked terms are joined.  Questions of at most ``ASKED_TERMS`` terms (they are counted) go to
+    the postings, which then aren't shuffled; more meet them by Spark's choice.
     """
     asked = term_counts(questions, "query_id", "question").select("query_id", "token", F.col("tf").alias("qtf"))
     weighted = asked.join(index.terms.select("token", "idf"), "token")
+    if asked.count() <= ASKED_TERMS:
+        weighted = F.broadcast(weighted)
     hits = weighted.join(index.postings, "token").crossJoin(F.broadcast(index.mean_length))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     scored = hits.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score")).where("score > 0")

@@ -198,7 +198,7 @@ class IndexStore:
         ``vectors`` (chunk_id, vector) of all chunks, if they are there already, aren't made again.
         """
         before = self.live()
-        number, segment = (before.number + 1 if before else 1), uuid.uuid4().hex
+        number, segment = (before.number + 1 if before else 1), uuid.uuid4().hex[:12]
         counted = document_digests(chunks) if digests is None else chunks.groupBy("doc_id").agg(F.count("*").alias("chunks")).join(digests.select("doc_id", F.coalesce("digest", F.lit("")).alias("digest")), "doc_id", "left").fillna("", ["digest"])
         old = self.documents(before)
         states = index_delta(counted, old)
@@ -278,7 +278,7 @@ class IndexStore:
     def merge(self) -> Version:
         """One segment of everything live, without tombstones: the same content and name under a new number."""
         before = self.live()
-        segment, number = uuid.uuid4().hex, before.number + 1
+        segment, number = uuid.uuid4().hex[:12], before.number + 1
         at = f"{self.folder}/segments/{segment}"
         # Chunks are numbered anew: numbers are a segment's own.
         rows = self._alive("forward", "no long, chunk_id string, doc_id string, dl int, tokens array<string>, tfs array<int>", before)
