@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkfolio.operators import retrieval as R
 from sparkfolio.operators.dedup import greedy_survivors, index_delta, similar_pairs
@@ -95,3 +96,20 @@ def test_delta_states(spark):
     cur = spark.createDataFrame([("a", "1", 2), ("b", "2", 2), ("c", "3", 1)], "doc_id string, digest string, chunks int")
     old = spark.createDataFrame([("a", "1", 2), ("b", "x", 2), ("d", "4", 1)], "doc_id string, digest string, chunks int")
     assert {r["doc_id"]: r["state"] for r in index_delta(cur, old).collect()} == {"a": "same", "b": "changed", "c": "new", "d": "removed"}
+
+
+def test_pairs_within_a_label_are_multiplied_in_blocks(spark, tmp_path):
+    """Labels of several blocks, one of one row, none and null; no pair is scored by interpreted lambdas."""
+    rng = np.random.default_rng(5)
+    label = [None if i % 9 == 0 else 77 if i == 5 else i % 2 for i in range(90)]
+    v = rng.normal(size=(90, 8))
+    v = (v / np.linalg.norm(v, axis=1, keepdims=True)).tolist()
+    v[7] = None
+    rows = spark.createDataFrame(list(zip(range(90), v, label, strict=True)), "node long, v array<double>, doc int")
+    found = {(r["early"], r["late"]): r["score"] for r in similar_pairs(rows, 0.3, block=8, within="doc").collect()}
+    dots = {(a, b): round(sum(x * y for x, y in zip(v[a], v[b], strict=True)), 6) for a in range(90) for b in range(a + 1, 90) if v[a] and v[b] and label[a] is not None and label[a] == label[b]}
+    assert found == {k: s for k, s in dots.items() if s >= 0.3}
+    rows.select(F.col("node").alias("vec_id"), F.col("v").alias("embedding"), F.col("doc").alias("label")).write.parquet(str(tmp_path / "embeddings.parquet"))
+    query = QUERIES["sim_pairs"](spark, str(tmp_path))
+    assert {(r["a"], r["b"]): r["score"] for r in query.collect()} == found
+    assert "lambdafunction" not in query._jdf.queryExecution().executedPlan().toString()
