@@ -1,6 +1,10 @@
+import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from sparkfolio import registry
 from sparkfolio.config import Bands, Settings
+from sparkfolio.functions.numbers import half_away
 from sparkfolio.operators import evaluation as E
 from sparkfolio.operators.providers import Chain, GaveUp, RetryPolicy, call_with_retry
 
@@ -73,3 +77,18 @@ def test_chains_run_in_tasks_with_cooldown_and_failover(spark):
     ]
     assert [got[i]["calls"] for i in range(1, 7)] == [{"first": 1, "second": 1}, {"first": 3, "second": 1}, {}, {"first": 1, "second": 1}, {"first": 1, "second": 1}, {"second": 1}]
     assert got[6]["errors"] == ["first: cooling"] and got[4]["errors"] == ["first: permanent", "second: permanent"]
+
+
+def test_halves_are_rounded_as_in_sql(spark):
+    """Every score of five places; those that end in 5 are halves at four places."""
+    ours = spark.range(100_000).select("id", half_away(F.col("id") / 100_000, 4).alias("s"), half_away(-F.col("id") / 100_000, 4).alias("t"))
+    theirs = duckdb.sql("SELECT i AS id, round(i / 100000::DOUBLE, 4) AS s, round(-i / 100000::DOUBLE, 4) AS t FROM range(100000) r(i)").fetchall()
+    assert sorted(map(tuple, ours.collect())) == sorted(theirs)
+
+
+@pytest.mark.parametrize("name", ["win_mid", "ev_cal", "top_floor", "agg_upmed"])
+def test_scores_that_lie_densely(spark, tmp_path, name):
+    spark.range(30_000).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality")).coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
+    ours = registry.QUERIES[name](spark, str(tmp_path))
+    theirs = duckdb.sql(registry.ORACLES[name].replace("FROM labels", f"FROM '{tmp_path}/labels.parquet/*.parquet'")).fetchall()
+    assert sorted(map(tuple, ours.collect())) == sorted(theirs)
