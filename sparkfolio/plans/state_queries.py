@@ -252,7 +252,7 @@ def src_chunks(spark, sf_dir):
 @query("src_glob", "SELECT 3 AS n_files, 0 AS n_other, count(*) AS n_rows, sum(length(text))::BIGINT AS n_chars FROM documents")
 def src_glob(spark, sf_dir):
     """Top-level files of one pattern only: other suffixes and files in sub-folders are left out."""
-    from sparkfolio.sources.files import corpus_files
+    from sparkfolio.sources.files import corpus_files, corpus_lines
 
     path = scratch(spark, "corpus")
     docs = X.table(spark, sf_dir, "documents").select(F.to_json(F.struct("text")).alias("value"))
@@ -261,9 +261,8 @@ def src_glob(spark, sf_dir):
     docs.limit(10).select("value").repartition(2).write.mode("append").json(path)
     found = corpus_files(spark, path, "part-*.txt")
     other = found.where(~F.col("path").endswith(".txt") | F.col("path").contains("/inner/")).agg(F.count("*").cast("int").alias("n_other"))
-    lines = found.select(F.explode(F.split(F.rtrim(F.decode("content", "UTF-8"), F.lit("\n")), "\n")).alias("line"))
-    rows = lines.select(F.from_json("line", "text string")["text"].alias("text"))
-    n = found.where(F.length("content") > 0).agg(F.count("*").cast("int").alias("n_files"))
+    rows = corpus_lines(spark, path, "part-*.txt").select(F.from_json("value", "text string")["text"].alias("text"))
+    n = found.where("length > 0").agg(F.count("*").cast("int").alias("n_files"))
     return n.crossJoin(other).crossJoin(rows.agg(F.count("*").alias("n_rows"), F.sum(F.length("text")).alias("n_chars")))
 
 

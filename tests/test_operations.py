@@ -7,6 +7,7 @@ from sparkfolio.config import Bands, Settings
 from sparkfolio.functions.numbers import half_away
 from sparkfolio.operators import evaluation as E
 from sparkfolio.operators.providers import Chain, GaveUp, RetryPolicy, call_with_retry
+from sparkfolio.sources.files import corpus_lines
 
 
 def test_floor_calibration_is_lexicographic(spark):
@@ -92,3 +93,25 @@ def test_scores_that_lie_densely(spark, tmp_path, name):
     ours = registry.QUERIES[name](spark, str(tmp_path))
     theirs = duckdb.sql(registry.ORACLES[name].replace("FROM labels", f"FROM '{tmp_path}/labels.parquet/*.parquet'")).fetchall()
     assert sorted(map(tuple, ours.collect())) == sorted(theirs)
+
+
+def test_lines_of_a_pattern_are_read_in_parts(spark, tmp_path):
+    """Large files are split among tasks; sub-folders, other suffixes and empty files give no lines."""
+    folder = tmp_path / "files"
+    (folder / "inner").mkdir(parents=True)
+    for name, n in (("part-1.txt", 4000), ("part-2.txt", 3), ("part-3.txt", 0), ("part-4.json", 5), ("inner/part-5.txt", 7)):
+        (folder / name).write_text("".join(f'{{"text":"line {i}\u2028 of {name}"}}\n' for i in range(n)), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        lines = corpus_lines(spark, str(folder), "part-*.txt")
+        assert lines.rdd.getNumPartitions() > 4 and lines.count() == lines.distinct().count() == 4003
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
+def test_src_glob_never_holds_a_file(spark, tmp_path):
+    spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("a\nb\r \u00e4 "), "id").alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    found = registry.QUERIES["src_glob"](spark, str(tmp_path))
+    assert "content" not in found._jdf.queryExecution().executedPlan().toString()
+    assert tuple(found.first()) == (3, 0, 50, sum(len(f"a\nb\r \u00e4 {i}") for i in range(50)))
