@@ -67,5 +67,5 @@ def ask(questions: DataFrame, corpus: Corpus, s: R.RetrievalSettings = R.Retriev
     items = corpus.store.vectors(corpus.version).join(place, "chunk_id").select(F.col("pos").alias("item_id"), F.col("vector").cast("array<double>").alias("v"))
     asked = embed_queries(questions, "question", model=corpus.model).select("query_id", F.col("vector").cast("array<double>").alias("q"))
     dense = R.vector_search(asked, items, s.dense_k, same=False).join(place, F.col("item_id") == F.col("pos")).select("query_id", "chunk_id", "score", "rank")
-    hits = R.bm25(questions, corpus.store.lexical(corpus.version)).join(place, "chunk_id")
+    hits = R.bm25(questions, corpus.store.lexical(corpus.version), s.sparse_k).join(place, "chunk_id")
     return R.retrieve(questions, corpus.chunks, dense, R.ranked(hits, s.sparse_k, F.col("pos")), s)
