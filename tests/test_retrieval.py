@@ -113,3 +113,13 @@ def test_pairs_within_a_label_are_multiplied_in_blocks(spark, tmp_path):
     query = QUERIES["sim_pairs"](spark, str(tmp_path))
     assert {(r["a"], r["b"]): r["score"] for r in query.collect()} == found
     assert "lambdafunction" not in query._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mean_frequency_does_not_depend_on_the_order(spark):
+    """The mean over terms is the exact sum's, however the terms are dealt."""
+    df = [1 + i * i % 977 for i in range(20_000)]
+    rows = spark.createDataFrame([(f"t{i}", n) for i, n in enumerate([*df, 1500])], "token string, df long")
+    raw = [math.log(2000 - n + 0.5) - math.log(n + 0.5) for n in [*df, 1500]]
+    exact = R.EPSILON * (math.fsum(raw) / len(raw))
+    for dealt in (rows.coalesce(1), rows.repartition(13), rows.orderBy(F.col("df").desc())):
+        assert abs(R.inverse_frequencies(dealt, F.lit(2000)).where("token = 't20000'").first()["idf"] - exact) <= 1e-15
