@@ -120,9 +120,9 @@ def test_pages_without_content_take_no_place(spark):
 
 def test_a_group_of_many_sentences_on_many_pages(spark):
     """Work grows with sentences and pages, not with their product or square."""
-    rows = spark.createDataFrame([("d", n, f"All of these words are the same {'again' if n % 2 else 'later'}.") for n in range(1, 4001)], "doc_id string, page_number int, content string")
+    rows = spark.createDataFrame([("d", n, f"All of these words are the same {'again' if n % 2 else 'later'}.") for n in range(1, 8001)], "doc_id string, page_number int, content string")
     began = time.time()
     made = C.chunk_documents(rows.withColumn("stream", F.lit(0)), ChunkSettings(threshold="standard_deviation", amount=9.0)).select("ordinal", "page_start", "page_end", "core_chars").orderBy("ordinal").collect()
     assert time.time() - began < 60
-    assert len(made) > 100 and made[0]["page_start"] == 1 and made[-1]["page_end"] == 4000
+    assert len(made) > 200 and made[0]["page_start"] == 1 and made[-1]["page_end"] == 8000
     assert all(a["page_end"] >= b["page_start"] - 1 for a, b in zip(made, made[1:], strict=False)) and all(r["page_end"] - r["page_start"] < 40 for r in made)
