@@ -123,3 +123,24 @@ def test_mean_frequency_does_not_depend_on_the_order(spark):
     exact = R.EPSILON * (math.fsum(raw) / len(raw))
     for dealt in (rows.coalesce(1), rows.repartition(13), rows.orderBy(F.col("df").desc())):
         assert abs(R.inverse_frequencies(dealt, F.lit(2000)).where("token = 't20000'").first()["idf"] - exact) <= 1e-15
+
+
+def test_texts_of_few_candidates_are_not_shuffled(spark):
+    """Candidates go to the chunks even where Spark's size check would not send them; many are left to it."""
+    texts = spark.createDataFrame([(c, f"{c} flood plan") for c in "abc"], "chunk_id string, content string")
+    q = spark.createDataFrame([(1, "a flood"), (2, "c plan")], "query_id long, question string")
+    d, s = hits(spark, [(1, "a", 1, 0.9), (1, "b", 2, 0.8), (2, "c", 1, 0.7)]), hits(spark, [(1, "b", 1, 5.0), (1, "c", 2, 4.0)])
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = R.retrieve(q, texts, d, s)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        got = {(r["query_id"], r["chunk_id"]): r["rerank_score"] for r in found.collect()}
+        many = R.of_chunks(d, texts, R.ASKED_TERMS + 1)
+        left = many._jdf.queryExecution().executedPlan().toString()
+        rows = lambda t: sorted((r["query_id"], r["content"]) for r in t.collect())
+        assert rows(many) == rows(R.of_chunks(d, texts, 3)) == [(1, "a flood plan"), (1, "b flood plan"), (2, "c flood plan")]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert "SortMergeJoin [chunk_id" not in plan and "BroadcastHashJoin [chunk_id" in plan and "SortMergeJoin [chunk_id" in left
+    assert got == {(1, "a"): 1.0, (1, "b"): 0.5, (1, "c"): 0.5, (2, "c"): 1.0}
