@@ -144,3 +144,27 @@ def test_texts_of_few_candidates_are_not_shuffled(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
     assert "SortMergeJoin [chunk_id" not in plan and "BroadcastHashJoin [chunk_id" in plan and "SortMergeJoin [chunk_id" in left
     assert got == {(1, "a"): 1.0, (1, "b"): 0.5, (1, "c"): 0.5, (2, "c"): 1.0}
+
+
+def test_gold_lines_are_not_shuffled(spark, tmp_path, monkeypatch):
+    """Few texts go to the lines even where Spark's size check would not send them; many are left to it, with the same rows."""
+    texts = ["the flood plan for heat", "flood plan", "a", "no line\nholds this text", "plan plan plan", "  spaces  inside  ", None, "heat for the flood plan in camps"]
+    pages = ["x the flood plan for heat y\nthe flood plan for heat. the flood plan for heat", "plan plan plan plan\n\nno line\nholds this text", "flood plans", None, "", "a  spaces  inside  b", "heat for the flood plan in campsite"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([(i, t, "en", "web") for i, t in enumerate(pages)], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    exact = sorted((q, f"doc-{i}", p) for i, t in enumerate(pages) if t is not None for p, line in enumerate(t.split("\n"), 1) for q, asked in enumerate(texts) if asked is not None and asked in line)
+    rows = lambda t: sorted((r["query_id"], r["doc_id"], r["page"]) for r in t.collect())
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        few = X.gold(spark, str(tmp_path))
+        plan = few._jdf.queryExecution().executedPlan().toString()
+        assert rows(few) == exact and len(exact) > 10
+        assert "Exchange hashpartitioning" not in plan
+        monkeypatch.setattr(X, "FEW_TEXTS", 0)
+        many = X.gold(spark, str(tmp_path))
+        left = many._jdf.queryExecution().executedPlan().toString()
+        assert rows(many) == exact
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+    assert "Exchange hashpartitioning" in left
