@@ -43,3 +43,12 @@ def test_entry_points(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_report_lines_hold_the_rates(spark, duck):
+    """What the ablation measured is in the lines, not the number of questions alone."""
+    lines = {r["line"] for r in registry.QUERIES["snk_report"](spark, SF).collect()}
+    rows = registry.QUERIES["ev_ablate"](spark, SF).collect()
+    assert lines == {f"| {r['config']} | {r['n']} | {r['hit_1']:.6f} | {r['hit_3']:.6f} | {r['hit_5']:.6f} | {r['mrr']:.6f} |" for r in rows}
+    assert len({line.split(" | ", 2)[2] for line in lines}) > 1
+    assert lines == set(duck.sql(registry.ORACLES["snk_report"]).df()["line"])
