@@ -111,11 +111,10 @@ def src_manifest(spark, sf_dir):
 @query("src_sparse", f"WITH {X.CHUNKS_SQL} SELECT token, count(*) AS df FROM (SELECT DISTINCT chunk_id, unnest(regexp_extract_all(lower(content), '[a-z0-9]+(?:[./-][a-z0-9]+)*')) AS token FROM chunks) GROUP BY 1")
 def src_sparse(spark, sf_dir):
     """The lexical index written as tables and read back."""
-    from sparkfolio.operators.retrieval import lexical_index
     from sparkfolio.sources.files import read_index, write_index
 
     path = scratch(spark, "index")
-    write_index(lexical_index(X.chunks(spark, sf_dir)), path)
+    write_index(X.chunks(spark, sf_dir), path)
     return read_index(spark, path).terms.select("token", "df")
 
 
