@@ -61,11 +61,16 @@ def build(pages: DataFrame, folder: str, settings: ChunkSettings = ChunkSettings
     return Corpus(final, store, store.update(final, vectors=vectors.select("chunk_id", "vector")), model)
 
 
-def ask(questions: DataFrame, corpus: Corpus, s: R.RetrievalSettings = R.RetrievalSettings()) -> DataFrame:
-    """Ranked passages of all questions (query_id, question) in the mode of the settings."""
+def hits(questions: DataFrame, corpus: Corpus, s: R.RetrievalSettings = R.RetrievalSettings()) -> tuple[DataFrame, DataFrame]:
+    """Ranked dense and lexical hits of all questions (query_id, question); the mode doesn't matter to them."""
     place = corpus.chunks.select("chunk_id", "pos")
     items = corpus.store.vectors(corpus.version).join(place, "chunk_id").select(F.col("pos").alias("item_id"), F.col("vector").cast("array<double>").alias("v"))
     asked = embed_queries(questions, "question", model=corpus.model).select("query_id", F.col("vector").cast("array<double>").alias("q"))
     dense = R.vector_search(asked, items, s.dense_k, same=False).join(place, F.col("item_id") == F.col("pos")).select("query_id", "chunk_id", "score", "rank")
-    hits = R.bm25(questions, corpus.store.lexical(corpus.version), s.sparse_k).join(place, "chunk_id")
-    return R.retrieve(questions, corpus.chunks, dense, R.ranked(hits, s.sparse_k, F.col("pos")), s)
+    found = R.bm25(questions, corpus.store.lexical(corpus.version), s.sparse_k).join(place, "chunk_id")
+    return dense, R.ranked(found, s.sparse_k, F.col("pos"))
+
+
+def ask(questions: DataFrame, corpus: Corpus, s: R.RetrievalSettings = R.RetrievalSettings()) -> DataFrame:
+    """Ranked passages of all questions (query_id, question) in the mode of the settings."""
+    return R.retrieve(questions, corpus.chunks, *hits(questions, corpus, s), s)

@@ -1,5 +1,7 @@
 """Greedy survivors block by block, and positions, against plain walks."""
 
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -64,3 +66,16 @@ def test_positions(spark):
     got = sorted((r["pos"], r["a"], r["b"]) for r in positions(df, F.col("a").desc(), F.col("b")).collect())
     assert got == [(n + 1, a, b) for n, (a, b) in enumerate(sorted(rows, key=lambda r: (-r[0], r[1])))]
     assert positions(df.limit(0), F.col("a")).count() == 0
+
+
+def test_rows_are_not_written_again_for_every_block(spark):
+    """What is written grows with the rows, not with rows times blocks; distant vectors all survive."""
+    folder = spark.conf.get("spark.checkpoint.dir")
+    written = lambda: sum(os.path.getsize(os.path.join(at, n)) for at, _, names in os.walk(folder) for n in names)
+    v = np.random.default_rng(14).normal(size=(2400, 64))
+    v = v / np.linalg.norm(v, axis=1)[:, None]
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "node long, v array<double>")
+    before = written()
+    found = S.near_survivors(rows, 0.95, F.col("node"), block=200)
+    assert found.where("kept").count() == 2400
+    assert written() - before < 4 * v.nbytes
